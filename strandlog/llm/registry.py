@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op6_byte_level_bpe
+from .quality import op10_quality_classifier
 from .rlz_dedup import op4_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op4_substring_dedup, op6_byte_level_bpe, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}

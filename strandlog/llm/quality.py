@@ -27,7 +27,7 @@ from ._words import Words, chunks, texts_of
 FOLDS = 5
 THRESHOLD = 0.3
 #: Weights of the pooled covariance and of the identity in each class's covariance.
-TO_POOLED, TO_IDENTITY = 0.1, 0.02
+TO_POOLED, TO_IDENTITY = 0.1, 0.1
 
 _KINDS = {
     "upper": bytes(range(0x41, 0x5B)),

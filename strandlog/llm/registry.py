@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_level_bpe
+from .license_scan import op2_license_scan
 from .quality import op10_quality_classifier
 from .rlz_dedup import op4_substring_dedup
+from .sketch import op5_document_fingerprints
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op6_byte_level_bpe, op10_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_license_scan, op4_substring_dedup, op5_document_fingerprints, op6_byte_level_bpe, op10_quality_classifier)
+}
 
 ORACLE_SQL: dict[str, str] = {}

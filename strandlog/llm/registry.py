@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_level_bpe
+from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .license_scan import op2_license_scan
 from .quality import op10_quality_classifier
 from .rlz_dedup import op4_substring_dedup
 from .sketch import op5_document_fingerprints
+from .url_filter import op9_url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_license_scan, op4_substring_dedup, op5_document_fingerprints, op6_byte_level_bpe, op10_quality_classifier)
+    for f in (
+        op2_license_scan,
+        op3_benchmark_decontamination,
+        op4_substring_dedup,
+        op5_document_fingerprints,
+        op6_byte_level_bpe,
+        op9_url_filter,
+        op10_quality_classifier,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}

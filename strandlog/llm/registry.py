@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_byte_level_bpe
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
+from .jaccard_join import op8_ngram_jaccard_join
 from .license_scan import op2_license_scan
 from .quality import op10_quality_classifier
 from .rlz_dedup import op4_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
         op4_substring_dedup,
         op5_document_fingerprints,
         op6_byte_level_bpe,
+        op8_ngram_jaccard_join,
         op9_url_filter,
         op10_quality_classifier,
     )

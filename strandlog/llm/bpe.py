@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from ._words import chunks, hash_spans, texts_of
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 3 << 20
 #: Pieces a task remembers; beyond that it starts afresh.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 NO_RANK = np.int64(1 << 40)
 
 # The code points of white space and the contractions that the public pattern names.
@@ -124,15 +124,19 @@ class RankQueue:
             self.push(r, places[i:j])
 
 
+def token_list(data: bytes) -> list[bytes]:
+    """The tokens of a rank file, each at its rank."""
+    ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, data.splitlines())}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
 class Vocabulary:
     """The tables of a rank file: base64 of a token and its rank on each line."""
 
     def __init__(self, data: bytes):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
-        self.n = max(self.ranks.values()) + 1
-        self.tokens = [b""] * self.n
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        tokens = token_list(data)
+        self.ranks = {token: rank for rank, token in enumerate(tokens) if token}
+        self.n, self.tokens = len(tokens), tokens
         self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)])
         self.border = self.n  # no token; takes part in no pair
         self.shift = np.int64(self.n.bit_length() + 1)
@@ -289,9 +293,13 @@ def _with(docs: DataFrame, **columns: T.DataType) -> tuple[list[str], T.StructTy
     return names, T.StructType([*docs.select(*names).schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens and ids: a text's ids as little-endian unsigned 32-bit integers (binary)."""
-    names, schema = _with(docs, n_tokens=T.LongType(), ids=T.BinaryType())
+def encode(docs: DataFrame, path: str, text: str = "text", back: bool = False) -> DataFrame:
+    """docs with n_tokens and ids: a text's ids as little-endian unsigned 32-bit integers (binary).
+
+    back: with decoded as well, what decode() makes of the ids, by the same Python worker.
+    """
+    new = {"n_tokens": T.LongType(), "ids": T.BinaryType()} | ({"decoded": T.BinaryType()} if back else {})
+    names, schema = _with(docs, **new)
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -301,10 +309,10 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             texts = texts_of(batch.column(text))
             for a, b in chunks(texts, CHUNK_BYTES):
                 ids = v.encode(texts[a:b])
-                part = batch.slice(a, b - a).select(names)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [*names, "n_tokens", "ids"]
-                )
+                out = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+                if back:
+                    out.append(pa.array([b"".join([v.tokens[i] for i in x.tolist()]) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, *out], [*names, *new])
 
     return docs.mapInArrow(run, schema)
 
@@ -316,7 +324,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(ranks.value).tokens
+        tokens = token_list(ranks.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
@@ -331,13 +339,13 @@ def _digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = decode(encode(docs, path), path)
+    out = encode(docs, path, back=True)
     return out.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("decoded_sha256", F.sha2("decoded", 256))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their ids."""
-    return _digests(docs).drop("decoded")
+    return _digests(docs).drop("ids", "decoded")
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_level_bpe
+from .chat import op7_chat_formatting
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .jaccard_join import op8_ngram_jaccard_join
 from .license_scan import op2_license_scan
@@ -10,19 +11,22 @@ from .quality import op10_quality_classifier
 from .rlz_dedup import op4_substring_dedup
 from .sketch import op5_document_fingerprints
 from .url_filter import op9_url_filter
+from .warc import OP1_SQL, op1_warc_derivatives
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_warc_derivatives,
         op2_license_scan,
         op3_benchmark_decontamination,
         op4_substring_dedup,
         op5_document_fingerprints,
         op6_byte_level_bpe,
+        op7_chat_formatting,
         op8_ngram_jaccard_join,
         op9_url_filter,
         op10_quality_classifier,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL}

@@ -9,7 +9,7 @@ cost from every state before it to every state after it. The matrices of a conve
 fixes the states at the chunks' borders; then each chunk is repaired and rendered on its own.
 
 Defined results: order is by turn (null first), role, text; a null text is empty; a null conv_id is a conversation of
-its own; a null or unknown role may become any role at a small cost. Ties go to the first of the states in STATES.
+its own; a null or unknown role may become any role at a small cost. Of repairs of equal cost any may be taken.
 Columns beside the four are not read.
 """
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Space and \t \n \v \f \r.
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -18,8 +19,7 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+_powers: list[np.ndarray] = []
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, so that any of their bits can be used."""
@@ -31,16 +31,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 1 << 12).bit_length()
-    if size not in _powers:
-        if size > 4 * _SEGMENT:  # a single enormous word: not worth keeping
-            ups, downs = np.full(size, _BASE), np.full(size, _INVERSE)
-            ups[0] = downs[0] = 1
-            return np.cumprod(ups, dtype=np.uint64), np.cumprod(downs, dtype=np.uint64)
-        ups, downs = np.full(size, _BASE), np.full(size, _INVERSE)
-        ups[0] = downs[0] = 1
-        _powers[size] = (np.cumprod(ups, dtype=np.uint64), np.cumprod(downs, dtype=np.uint64))
-    return _powers[size]
+    """Powers of the base and of its inverse, n of each at least; kept, unless for a single enormous word."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(n, 1 << 12).bit_length()
+        tables = [np.full(size, x) for x in (_BASE, _INVERSE)]
+        for t in tables:
+            t[0] = 1
+            np.cumprod(t, dtype=np.uint64, out=t)
+        if size > 4 * _SEGMENT:
+            return tables[0], tables[1]
+        _powers[:] = tables
+    return _powers[0], _powers[1]
 
 
 def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -123,10 +124,22 @@ class Words:
         return texts, mix(out ^ np.uint64(0xD6E8FEB86659FD93))
 
 
-def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_first(words: Words, k: int) -> np.ndarray:
+    """The hashes of shingles() with their words' bytes in the top four bits, most bytes lowest.
+
+    Long words are rare words, so by these hashes shingles that few texts share by chance come first.
+    """
+    hashes = words.shingles(k)
+    total = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
+    size = total[k:][: len(hashes)] - total[: len(hashes)]
+    return (hashes >> np.uint64(4)) | ((15 - np.clip((size - 12) // 2, 0, 15)).astype(np.uint64) << np.uint64(60))
+
+
+def shingle_sets(words: Words, k: int, hashed=Words.shingles) -> tuple[np.ndarray, np.ndarray]:
     """Every text's distinct k-word shingles as (first, hashes): text i has hashes[first[i]:first[i + 1]], sorted.
 
-    A text of fewer words has its whole sequence as one shingle; a text without words has none.
+    A text of fewer words has its whole sequence as one shingle; a text without words has none. hashed: what hashes
+    the shingles, in the order of their places.
     """
     counts = words.counts()
     sizes = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
@@ -134,7 +147,7 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.empty(first[-1], np.uint64)
     few, whole = words.short(k)
     long = np.repeat(counts >= k, sizes)
-    hashes[long] = words.shingles(k)[words.whole(k)]
+    hashes[long] = hashed(words, k)[words.whole(k)]
     hashes[first[few]] = whole
     for a, b in zip(first[:-1], first[1:]):
         hashes[a:b].sort()
@@ -144,21 +157,37 @@ def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(new)))[first], hashes[new]
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """A text column's values as UTF-8 bytes, nulls as empty texts."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    binary = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [x or b"" for x in column.cast(binary).to_pylist()]
+class Texts:
+    """A text column's values as UTF-8 bytes, nulls as empty texts; only what is asked for is copied out of the column."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        self.column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        self.lengths = pc.fill_null(pc.binary_length(self.column), 0).to_numpy(zero_copy_only=False)
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            start, stop, _ = at.indices(len(self))
+            return [x or b"" for x in self.column.slice(start, stop - start).to_pylist()]
+        return self.column[int(at)].as_py() or b""
+
+
+def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
+    return Texts(column)
 
 
-def chunks(texts: list[bytes], size: int = 2 << 20):
+def chunks(texts: Texts | list[bytes], size: int = 2 << 20):
     """(from, to) ranges of texts of about `size` bytes; a longer text is a range of its own."""
+    lengths = texts.lengths.tolist() if isinstance(texts, Texts) else list(map(len, texts))
     start = total = 0
-    for i, x in enumerate(texts):
-        if total and total + len(x) > size:
+    for i, n in enumerate(lengths):
+        if total and total + n > size:
             yield start, i
             start, total = i, 0
-        total += len(x)
-    if start < len(texts):
-        yield start, len(texts)
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)

@@ -1,10 +1,10 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 Documents with equal shingle sets form a class. A class's shingles have one global order: those that stand in no crowd
-first, by hash, then the crowded ones by their count. For sets that reach the threshold, the first l common shingles lie
+first, the longest before others and then by hash, then the crowded ones by their count. For sets that reach the threshold, the first l common shingles lie
 in both l-prefixes, whose length is n - ceil(t * n) + l. Every class picks its l by estimated cost: a longer prefix is
-more postings, but fewer documents share l of its shingles by chance. A pair is a candidate if its prefixes share as
-many shingles as its sizes and the two l ask for (see _required), and then its whole sets are compared.
+more postings, but fewer documents share l of its shingles by chance. A pair is a candidate if m shingles, the
+smaller l of the two, meet where the pair's first m common shingles can stand; then its whole sets are compared.
 
 Components don't need all pairs of a crowd. First each posting list is compared with one leader only, in rounds with
 other leaders while that still pays; then all pairs of classes that are not connected yet are generated from the
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ._graph import components
 from ._shared import kept
-from ._words import LOWER, Words, chunks, mix, shingle_sets, texts_of
+from ._words import Words, chunks, longest_first, mix, shingle_sets, texts_of
 
 SHINGLE, PERCENT = 4, 85
 #: Of the shingles, the order knows so many of the most crowded by count. It only decides on cost, never on results.
@@ -45,7 +45,7 @@ BITMAP_BITS = 1 << 22
 
 
 def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    return shingle_sets(Words([x.translate(LOWER) for x in texts]), k)
+    return shingle_sets(Words(texts, lower=True), k, longest_first)
 
 
 def _marks(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def crowded(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(text))
-            for a, b in chunks(texts, 8 << 20):
+            for a, b in chunks(texts, 4 << 20):
                 found, counts = np.unique(_sets(texts[a:b], k)[1], return_counts=True)
                 found, counts = found[counts >= CROWD], counts[counts >= CROWD]
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], ["shingle", "docs"])
@@ -132,11 +132,20 @@ def _classes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(token, mark, n, l, s) of the tokens that two classes share; s: the number of a class's postings."""
-    tokens = classes.select("mark", "n", "l", F.explode("prefix").alias("token"))
+    """(token, mark, n, l, pos, j, s) of the tokens that two classes share.
+
+    pos: the token's place in its class's order; j: its place among the class's shared tokens; s: their number.
+    """
+    tokens = classes.select("mark", "n", "l", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("token")
-    found = tokens.join(shared, "token").select("token", "mark", "n", "l")
-    return found.withColumn("s", F.count("*").over(Window.partitionBy("mark")))  # a class has few postings
+    own = Window.partitionBy("mark")  # a prefix at most
+    found = tokens.join(shared, "token").withColumn("j", F.row_number().over(own.orderBy("pos")) - 1)
+    return found.select("token", "mark", "n", "l", "pos", "j", F.count("*").over(own).cast("int").alias("s"))
+
+
+def _common(an: Column, bn: Column, percent: int) -> Column:
+    """Common shingles of sets of these sizes that reach the threshold."""
+    return F.floor((percent * (an + bn) + 99 + percent) / (100 + percent))
 
 
 def _required(an: Column, al: Column, bn: Column, bl: Column, percent: int) -> Column:
@@ -145,7 +154,7 @@ def _required(an: Column, al: Column, bn: Column, bl: Column, percent: int) -> C
     It has o = ceil(t / (1 + t) * (an + bn)) common shingles at least. The m-th of them in the global order has o - m after
     it, so it lies in a prefix of n - ceil(t * n) + l shingles if m <= o - ceil(t * n) + l.
     """
-    least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent))
+    least = _common(an, bn, percent)
     need = lambda n: F.floor((percent * n + 99) / 100)
     return F.least(least - need(an) + al, least - need(bn) + bl)
 
@@ -157,15 +166,36 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return near & (F.least(sa, sb) >= _required(an, al, bn, bl, percent))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of marks whose sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
-    bit = F.pmod(F.xxhash64("mark"), F.lit(BITMAP_BITS))
-    words = ends.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+def _early(a: str, b: str, percent: int) -> Column:
+    """Whether rows of the two classes meet at a token that can be among the pair's first m common ones, m the smaller l.
+
+    Of o common tokens o - m follow the m-th, in both orders. And before it stand no more tokens that no other class
+    has than a set may have beyond the common ones.
+    """
+    (an, al, pa_, ja), (bn, bl, pb, jb) = ([F.col(x + y) for y in ("n", "l", "pos", "j")] for x in (a, b))
+    common, more = _common(an, bn, percent), F.least(al, bl) - 1
+    return (pa_ + common <= an + more) & (pb + common <= bn + more) & (pa_ - ja + common <= an) & (pb - jb + common <= bn)
+
+
+def _bits(marks: DataFrame):
+    """A broadcast bit table of fixed size in which the bits of these marks are set."""
+    bit = F.col("mark").bitwiseAND(BITMAP_BITS - 1)  # marks are mixed
+    words = marks.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
     table = np.zeros(BITMAP_BITS // 64, np.int64)
     for r in words.toLocalIterator():  # at most BITMAP_BITS / 64 rows
         table[r["word"]] = r["bits"]
-    shipped = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    return marks.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+
+def _in_bits(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = marks & (BITMAP_BITS - 1)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of marks whose sets reach the threshold."""
+    ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    shipped = _bits(ends)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,18 +205,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int
                 marks = _marks(first, hashes)
                 rows = np.flatnonzero(np.diff(first))
                 rows = rows[np.sort(np.unique(marks[rows], return_index=True)[1])] if len(rows) else rows
+                rows = rows[_in_bits(shipped.value, marks[rows])]
                 yield pa.RecordBatch.from_arrays([pa.array(marks[rows]), pa.array([texts[a + i] for i in rows], pa.binary())], ["mark", "body"])
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shipped.value
-        for batch in batches:
-            at = np.asarray(batch.column("bit")).astype(np.int64)
-            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.filter(pa.array(hit)).select(["mark", "body"])
-
     found = docs.select(text).mapInArrow(fetch, "mark long, body binary")
     # the bits hold back most texts that no pair needs; the join below is exact
-    found = found.withColumn("bit", bit).mapInArrow(wanted, "mark long, body binary")
     bodies = found.join(ends, "mark", "left_semi").groupBy("mark").agg(F.max("body").alias("body"))
     left, right = bodies.select(F.col("mark").alias("a"), F.col("body").alias("x")), bodies.select(F.col("mark").alias("b"), F.col("body").alias("y"))
 
@@ -213,7 +236,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int
 
 def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the marks of sets that are linked with another set."""
-    postings = kept(_postings(_classes(docs, text, k, percent)))
+    postings = kept(_postings(kept(_classes(docs, text, k, percent))))
     postings_n = postings.count()
     strong = F.col("s") >= _required(F.col("n"), F.col("l"), F.col("n"), F.col("l"), percent)
     links = labels = None
@@ -231,20 +254,20 @@ def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percen
             break
         rows = rows.join(lists.drop("cost"), "token")
         last = cost <= PAYS * postings_n or seed == LEADER_ROUNDS
-        other = [F.col(c).alias("o" + c) for c in ("mark", "n", "l", "s", "component")]
+        other = [F.col(c).alias("o" + c) for c in ("mark", "n", "l", "s", "pos", "j", "component")]
         if last:
             few = rows.where("component <> largest").select("token", *other)
-            pairs = few.join(rows, (few.token == rows.token) & _possible("o", "", percent) & (F.col("ocomponent") != F.col("component")))
-            pairs = pairs.where((F.col("component") == F.col("largest")) | (F.col("omark") < F.col("mark")))
+            meet = (few.token == rows.token) & (F.col("ocomponent") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("omark") < F.col("mark")))
+            pairs = few.join(rows, meet & _possible("o", "", percent) & _early("o", "", percent))
+            pairs = pairs.groupBy(F.col("omark").alias("a"), F.col("mark").alias("b")).agg(F.count("*").alias("met"), F.max(F.least("ol", "l")).alias("matches"))
+            pairs = pairs.where("met >= matches")
         else:  # the leader has the fewest shingles of its own, or in later rounds any
             own = (F.col("l") - F.col("s") - F.floor((percent * F.col("n") + 99) / 100) + F.col("n")) if not seed else F.lit(0)
             order = F.struct(own.alias("own"), F.xxhash64("mark", F.lit(seed)).alias("h"), "mark", "n", "l", "s", "component")
             leaders = rows.groupBy("token").agg(F.min(order).alias("leader"))
             leaders = leaders.select(F.col("token").alias("t"), *(F.col(f"leader.{c}").alias("o" + c) for c in ("mark", "n", "l", "s", "component")))
             pairs = rows.join(leaders, (F.col("token") == F.col("t")) & _possible("o", "", percent) & (F.col("ocomponent") != F.col("component")))
-        required = F.max(_required(F.col("on"), F.col("ol"), F.col("n"), F.col("l"), percent))
-        pairs = pairs.groupBy(F.least("omark", "mark").alias("a"), F.greatest("omark", "mark").alias("b")).agg(F.count("*").alias("shared"), required.alias("required"))
-        pairs = pairs.where(F.col("shared") >= (F.col("required") if last else LEADER_MATCHES))
+            pairs = pairs.groupBy(F.col("omark").alias("a"), F.col("mark").alias("b")).agg(F.count("*").alias("met")).where(F.col("met") >= LEADER_MATCHES)
         found = kept(_verified(docs, kept(pairs.select("a", "b")), text, k, percent))
         links = found if links is None else kept(links.union(found))
         labels = components(links)
@@ -258,22 +281,32 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
     marked = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("_mark", T.LongType())])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(text))
-            for a, b in chunks(texts):
-                first, hashes = _sets(texts[a:b], k)
-                n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, pa.array(n, pa.int64()), pa.array(_marks(first, hashes), mask=n == 0)], [*names, "n_shingles", "_mark"])
-
     labels = linked_classes(docs, text, k, percent)
-    rows = docs.select(*names).mapInArrow(mark, marked)
     ids = kept(docs.select(key, text).mapInArrow(mark_only(key, text, k), f"_mark long, _key {docs.schema[key].dataType.simpleString()}"))
     named = ids.join(labels, ids["_mark"] == labels["node"], "left").select("_mark", "_key", F.coalesce("component", "_mark").alias("_group"))
-    least = named.groupBy("_group").agg(F.min("_key").alias("_least"))
-    classes = named.groupBy("_mark").agg(F.max("_group").alias("_group")).join(least, "_group").select(F.col("_mark").alias("_of"), "_least")
-    out = rows.join(classes, rows["_mark"] == classes["_of"], "left")
-    return out.select(*names, "n_shingles", F.coalesce("_least", key).alias("component_id"))
+    groups = named.groupBy("_group").agg(F.min("_key").alias("_least"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
+    classes = kept(named.groupBy("_mark").agg(F.max("_group").alias("_group")).join(groups, "_group").select(F.col("_mark").alias("mark"), "_least"))
+    shipped = _bits(classes)
+
+    def marks_of(grouped: bool):
+        """The rows that may be of a group, or all the others, which need no join."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = texts_of(batch.column(text))
+                for a, b in chunks(texts):
+                    first, hashes = _sets(texts[a:b], k)
+                    n, marks = np.diff(first), _marks(first, hashes)
+                    part = pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, pa.array(n, pa.int64()), pa.array(marks)], [*names, "n_shingles", "_mark"])
+                    yield part.filter(pa.array(((n > 0) & _in_bits(shipped.value, marks)) == grouped))
+
+        return run
+
+    source = docs.select(*names)
+    alone = source.mapInArrow(marks_of(False), marked).select(*names, "n_shingles", F.col(key).alias("component_id"))
+    rows = source.mapInArrow(marks_of(True), marked)
+    joined = rows.join(classes, rows["_mark"] == classes["mark"], "left").select(*names, "n_shingles", F.coalesce("_least", key).alias("component_id"))
+    return alone.unionByName(joined)
 
 
 def mark_only(key: str, text: str, k: int):

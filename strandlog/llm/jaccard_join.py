@@ -38,7 +38,7 @@ MATCHES = (1, 2, 3, 4, 5, 6, 8, 12)
 #: Cost of a candidate in postings; share of uncrowded shingles that another document has by chance.
 VERIFY_COST, CHANCE = 8.0, 0.05
 #: Leaders are tried while all pairs would take more than so many times the postings, in at most so many rounds.
-PAYS, LEADER_ROUNDS = 1, 2
+PAYS, LEADER_ROUNDS = 1, 1
 #: A pair of a leader is compared if it shares so many postings.
 LEADER_MATCHES = 3
 BITMAP_BITS = 1 << 22
@@ -131,13 +131,15 @@ def _classes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     return rows.groupBy("mark").agg(F.max("n").alias("n"), F.max("l").alias("l"), F.max("prefix").alias("prefix"))
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(token, mark, n, l, pos, j, s) of the tokens that two classes share.
+def _postings(classes: DataFrame, percent: int) -> DataFrame:
+    """(token, mark, n, l, pos, j, s) of the tokens that two classes share which may be a pair.
 
     pos: the token's place in its class's order; j: its place among the class's shared tokens; s: their number.
     """
     tokens = classes.select("mark", "n", "l", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("token")
+    two = [F.min("mark").alias("low"), F.max("mark").alias("high"), F.min("n").alias("few"), F.max("n").alias("many"), F.count("*").alias("classes")]
+    shared = tokens.groupBy("token").agg(*two).where((F.col("low") < F.col("high")) & ((F.col("classes") > 2) | (F.col("few") * 100 >= F.col("many") * percent)))
+    shared = shared.select("token")  # a token of two classes only counts if their sizes can make a pair
     own = Window.partitionBy("mark")  # a prefix at most
     found = tokens.join(shared, "token").withColumn("j", F.row_number().over(own.orderBy("pos")) - 1)
     return found.select("token", "mark", "n", "l", "pos", "j", F.count("*").over(own).cast("int").alias("s"))
@@ -236,7 +238,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int
 
 def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the marks of sets that are linked with another set."""
-    postings = kept(_postings(kept(_classes(docs, text, k, percent))))
+    postings = kept(_postings(kept(_classes(docs, text, k, percent)), percent))
     postings_n = postings.count()
     strong = F.col("s") >= _required(F.col("n"), F.col("l"), F.col("n"), F.col("l"), percent)
     links = labels = None

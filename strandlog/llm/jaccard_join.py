@@ -256,12 +256,14 @@ def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percen
             break
         rows = rows.join(lists.drop("cost"), "token")
         last = cost <= PAYS * postings_n or seed == LEADER_ROUNDS
+        # which of a pair is the other depends on the token
+        ends = F.least("omark", "mark").alias("a"), F.greatest("omark", "mark").alias("b")
         other = [F.col(c).alias("o" + c) for c in ("mark", "n", "l", "s", "pos", "j", "component")]
         if last:
             few = rows.where("component <> largest").select("token", *other)
             meet = (few.token == rows.token) & (F.col("ocomponent") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("omark") < F.col("mark")))
             pairs = few.join(rows, meet & _possible("o", "", percent) & _early("o", "", percent))
-            pairs = pairs.groupBy(F.col("omark").alias("a"), F.col("mark").alias("b")).agg(F.count("*").alias("met"), F.max(F.least("ol", "l")).alias("matches"))
+            pairs = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.max(F.least("ol", "l")).alias("matches"))
             pairs = pairs.where("met >= matches")
         else:  # the leader has the fewest shingles of its own, or in later rounds any
             own = (F.col("l") - F.col("s") - F.floor((percent * F.col("n") + 99) / 100) + F.col("n")) if not seed else F.lit(0)
@@ -269,7 +271,7 @@ def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percen
             leaders = rows.groupBy("token").agg(F.min(order).alias("leader"))
             leaders = leaders.select(F.col("token").alias("t"), *(F.col(f"leader.{c}").alias("o" + c) for c in ("mark", "n", "l", "s", "component")))
             pairs = rows.join(leaders, (F.col("token") == F.col("t")) & _possible("o", "", percent) & (F.col("ocomponent") != F.col("component")))
-            pairs = pairs.groupBy(F.col("omark").alias("a"), F.col("mark").alias("b")).agg(F.count("*").alias("met")).where(F.col("met") >= LEADER_MATCHES)
+            pairs = pairs.groupBy(*ends).agg(F.count("*").alias("met")).where(F.col("met") >= LEADER_MATCHES)
         found = kept(_verified(docs, kept(pairs.select("a", "b")), text, k, percent))
         links = found if links is None else kept(links.union(found))
         labels = components(links)

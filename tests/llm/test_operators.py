@@ -163,6 +163,32 @@ def test_jaccard_join_crowd_without_all_pairs(spark):
     assert got == {d: find(d) for d in sets}
 
 
+def test_jaccard_join_crowds_joined_by_one_pair(spark):
+    """Two crowds whose only link is a pair that must meet at several tokens, some of which one crowd crowds, some the other."""
+    r = random.Random(11)
+    fresh = lambda w, at, n, size: [*w[:at], *("".join(r.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n)), *w[at + n :]]
+    crowds = []
+    for g in range(8):
+        x = fresh(fresh(fresh(fresh([""] * 203, 0, 203, 3), 0, 16, 30), 191, 12, 8), 100, 9, 8)
+        y = fresh(x, 0, 16, 30)  # the threshold's last place: 184 shingles of 216
+        own = [x, y]
+        for end, at, n, pairs in ((x, 191, 12, 2 + g % 2), (y, 100, 9, 3 - g % 2)):
+            for _ in range(pairs):
+                copy = fresh(end, at, n, 8)
+                own += [copy, fresh(copy, 50, 1, 3)]
+        crowds.append(own)
+    rows = [(12 * g + i, " ".join(own[i])) for i in range(12) for g, own in enumerate(crowds)]
+    sets = {d: shingled(t, 4) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    least = {d: d for d in sets}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert len(set(least.values())) == 8
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, text string")  # few of a crowd in a part, so that prefixes ask for several matches
+    assert {x.doc_id: x.component_id for x in jaccard_join.join_components(docs).collect()} == least
+
+
 def test_jaccard_join_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "A B C d e"), (7, "other words are here now"), (3, "")], "doc_id long, text string")
     got = sorted((x.doc_id or 0, x.n_shingles, x.component_id) for x in jaccard_join.join_components(df).collect())

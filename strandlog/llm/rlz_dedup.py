@@ -35,6 +35,8 @@ _OUT = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.StringType
 def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of whole windows and each one's anchor, cut."""
     places = words.whole(window)
+    if not len(places):
+        return places, np.empty(0, np.uint64)
     least = B.cut(words.shingles(anchor))
     steps, have = window - anchor + 1, 1
     while have < steps:  # a sliding minimum whose reach doubles

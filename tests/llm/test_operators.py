@@ -102,6 +102,12 @@ def test_substring_dedup(docs, rows):
     assert got[120].kept is None and got[121].kept == ""
 
 
+@pytest.mark.parametrize("n", range(16))
+def test_windows_of_few_words(n):
+    places, anchors = rlz_dedup._windows(Words([b" ".join(b"w%d" % i for i in range(n))]), 13, 5)
+    assert places.tolist() == list(range(max(0, n - 12))) and len(anchors) == len(places)
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (9, text)], "doc_id long, text string")

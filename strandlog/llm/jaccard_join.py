@@ -280,16 +280,19 @@ def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percen
     return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with n_shingles and component_id, the least key that links reach from a document, itself included."""
-    names = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, group: str | None = None) -> DataFrame:
+    """docs with n_shingles and component_id, the least key that links reach from a document, itself included.
+
+    group: the name of one more column, a mark of the document's component, null for a document that is alone in it.
+    """
+    names = [c for c in docs.columns if c not in ("n_shingles", "component_id", group)]
     marked = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("_mark", T.LongType())])
 
     labels = linked_classes(docs, text, k, percent)
     ids = kept(docs.select(key, text).mapInArrow(mark_only(key, text, k), f"_mark long, _key {docs.schema[key].dataType.simpleString()}"))
     named = ids.join(labels, ids["_mark"] == labels["node"], "left").select("_mark", "_key", F.coalesce("component", "_mark").alias("_group"))
     groups = named.groupBy("_group").agg(F.min("_key").alias("_least"), F.count("*").alias("_size")).where("_size > 1").drop("_size")
-    classes = kept(named.groupBy("_mark").agg(F.max("_group").alias("_group")).join(groups, "_group").select(F.col("_mark").alias("mark"), "_least"))
+    classes = kept(named.groupBy("_mark").agg(F.max("_group").alias("_group")).join(groups, "_group").select(F.col("_mark").alias("mark"), "_least", "_group"))
     shipped = _bits(classes)
 
     def marks_of(grouped: bool):
@@ -306,10 +309,11 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
         return run
 
+    of_group = lambda mark: [mark.alias(group)] if group else []
     source = docs.select(*names)
-    alone = source.mapInArrow(marks_of(False), marked).select(*names, "n_shingles", F.col(key).alias("component_id"))
+    alone = source.mapInArrow(marks_of(False), marked).select(*names, "n_shingles", F.col(key).alias("component_id"), *of_group(F.lit(None).cast("long")))
     rows = source.mapInArrow(marks_of(True), marked)
-    joined = rows.join(classes, rows["_mark"] == classes["mark"], "left").select(*names, "n_shingles", F.coalesce("_least", key).alias("component_id"))
+    joined = rows.join(classes, rows["_mark"] == classes["mark"], "left").select(*names, "n_shingles", F.coalesce("_least", key).alias("component_id"), *of_group(F.col("_group")))
     return alone.unionByName(joined)
 
 
@@ -329,11 +333,12 @@ def mark_only(key: str, text: str, k: int):
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near duplicates (five-word shingles, 0.8 or more) the document of least id."""
     names = docs.columns
-    out = join_components(docs, k=5, percent=80)
+    out = join_components(docs, k=5, percent=80, group="_component")
     out = out.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():  # rows of one id: one stays
-        ids = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-        out = ids.unionByName(out.where("doc_id is null"))
+    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():  # rows of one id in one component: that of least text stays
+        several = F.col("doc_id").isNotNull() & F.col("_component").isNotNull()
+        one = out.where(several).groupBy("_component", "doc_id").agg(F.min(F.struct("text", *(c for c in names if c not in ("doc_id", "text")))).alias("_row"))
+        out = one.select("doc_id", "_row.*").select(*names).unionByName(out.where(~several).select(*names))
     return out.select(*names)
 
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from strandlog.llm import quality
+from strandlog.llm import jaccard_join, quality
 
 
 def write(spark, folder):
@@ -60,6 +60,15 @@ def test_stages_return_documents(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).collect() == []
 
 
+def test_near_dedup_keeps_unlike_rows_of_one_id(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "a b c d e f g"), (7, "other words are in this one"), (7, ""), (7, ""), (7, None), (5, base + " y"), (5, base + " x"), (6, base + " z"), (None, base), (9, "alone"), (9, "alone")]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(3)
+    order = lambda x: (str(x[0]), str(x[1]))
+    got = sorted(((x.doc_id, x.text) for x in jaccard_join.stage(spark, docs, str(tmp_path)).collect()), key=order)
+    assert got == sorted([*rows[:5], (5, base + " x"), (None, base), (9, "alone")], key=order)
+
+
 def test_statistics_are_finite():
     x = quality.statistics([b"", b"a", b"\n\n", b"word " * 100, "é漢 😀".encode()])
     assert x.shape == (5, len(quality.FEATURES)) and np.isfinite(x).all()

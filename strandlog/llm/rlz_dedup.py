@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by an index of windows, in place of a relative Lempel-Ziv parse.
 
-Each document is parsed greedily against the documents of smaller id: a factor is a longest stretch of words
-that one earlier document holds from some place on, where "earliest document that has this window" picks the
-source. The reference is indexed in blocks (see _blocks): an anchor, the least of the five-word hashes in a window,
+Each window of a document is looked up among the documents of smaller id; neighbouring windows whose earliest holder is
+the same document are one span. Places in the source are not kept, so nothing is extended to a longest match and
+a span's windows may stand apart in its source. The words removed are those of all windows that an earlier document
+has. The reference is indexed in blocks (see _blocks): an anchor, the least of the five-word hashes in a window,
 first tells which windows can occur twice at all; only those windows' hashes are sent, with the block's smallest
-document id, and answered with the smallest id of all. The next factor may start within the last one, so the
-windows that straddle a factor's end are looked up as well, and a factor of at least `window` words is a duplicate span.
+document id, and answered with the smallest id of all. Windows over a span's end are looked up as well.
 
 Copies cost one entry a block and window, whatever their number. Memory: a block of a few MB and a bucket of hashes.
 
@@ -74,7 +74,8 @@ def _earliest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs with n_words, n_removed, kept (the words left, joined by one space; null for a null text) and spans.
 
-    spans: the factors as (start, stop, source): words start to stop - 1 stand in document `source` as well.
+    spans: (start, stop, source): each window of words start to stop - 1 stands in document `source` as well, not always
+    one after the other.
     """
     columns = [c for c in docs.columns if c not in (*_OUT, "_block")]
     docs = docs.select(*columns)

@@ -1,10 +1,12 @@
 """URL filters: a path-template tree per host, in DataFrame functions only.
 
-Each host's paths form a tree of segments. Segments that look generated (numbers, hex, dates) become wildcards, and so
-do the segments of a place in the tree that takes many different values. Sibling branches that differ in their last
+Each host's paths form a tree of segments, built level by level. Segments that look generated (numbers, hex, dates)
+become wildcards, and so do the segments of a place in the tree (below wildcards as well) that takes many different
+values. Sibling branches that differ in their last
 literal segment merge where their shares of blocked URLs are statistically alike. The URLs that a rule decides are the
-labels: a template's purity is its share of blocked ones, smoothed towards its host's and that towards the overall share.
-A URL that no rule fits is blocked if its template has MIN_LABELS labelled URLs and a purity of REJECT_FROM or more.
+labels: a template's purity is its share of blocked ones, smoothed towards its family's, that towards its host's and that
+towards the overall share, so a branch without labels takes the purity of the nearest level that has some.
+A URL that no rule fits is blocked if its template has a purity of REJECT_FROM or more.
 
 Rows are counted by (host, path) before anything is shuffled or joined, so a host or URL that repeats costs one row.
 
@@ -19,6 +21,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import kept
+
 # The rules, as (action, host and path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -29,8 +33,6 @@ ALIKE = 2.0
 #: Weight of the level above in a purity, in URLs.
 PRIOR = 4.0
 REJECT_FROM = 0.5
-#: Fewer labelled URLs than this neither merge a branch nor reject a template.
-MIN_LABELS = 3
 
 
 def host_of(url: Column) -> Column:
@@ -63,20 +65,27 @@ def _shape(segment: Column) -> Column:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """urls: host, path, n, blocked, allowed (counts), one row for each host and path. Adds template."""
+    """urls: host, path, n, blocked, allowed (counts), one row for each host and path. Adds tokens."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    nodes = urls.select("host", "path", "n", F.transform(segments, lambda s: F.struct(s.alias("s"), _shape(s).alias("w"))).alias("parts"))
-    above = F.aggregate(F.slice("parts", 1, F.col("i")), F.lit(""), lambda a, p: F.concat(a, F.lit("/"), F.coalesce(p["w"], p["s"])))
-    placed = nodes.select("host", "path", "n", "parts", F.posexplode("parts").alias("i", "part")).select(
-        "host", "path", "n", "i", above.alias("above"), F.col("part.s").alias("s"), F.col("part.w").alias("w")
-    )
-    values = placed.where(F.col("w").isNull()).groupBy("host", "above", "s").agg(F.sum("n").alias("n"))
-    wild = values.groupBy("host", "above").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    wild = wild.where((F.col("kinds") > MANY_VALUES) & (F.col("kinds") > MANY_SHARE * F.col("n"))).select("host", "above", F.lit(True).alias("many"))
-    token = F.coalesce("w", F.when(F.col("many"), F.lit("*")), "s")
-    tokens = placed.join(wild, ["host", "above"], "left").groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("i", token.alias("t")))).alias("tokens"))
-    joined = urls.join(tokens, ["host", "path"], "left")
-    return joined.withColumn("tokens", F.coalesce(F.transform("tokens", lambda t: t["t"]), F.array().cast("array<string>")))
+    names, none = urls.columns, F.array().cast("array<string>")
+    rest = kept(urls.select(*names, F.transform(segments, lambda s: F.struct(s.alias("s"), _shape(s).alias("w"))).alias("parts"), none.alias("tokens")))
+    done, i = [], 0
+    # where no more paths go on than MANY_VALUES, no deeper place takes more values
+    while rest.where(F.size("parts") > i).limit(MANY_VALUES + 1).count() > MANY_VALUES:
+        part = F.col("parts")[i]
+        here = rest.where(F.size("parts") > i).withColumns({"above": F.array_join("tokens", "/"), "s": part["s"], "w": part["w"]})
+        values = here.where(F.col("w").isNull()).groupBy("host", "above", "s").agg(F.sum("n").alias("n"))
+        wild = values.groupBy("host", "above").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+        wild = wild.where((F.col("kinds") > MANY_VALUES) & (F.col("kinds") > MANY_SHARE * F.col("n"))).select("host", "above", F.lit(True).alias("many"))
+        token = F.coalesce("w", F.when(F.col("many"), F.lit("*")), "s")
+        done.append(rest.where(F.size("parts") <= i).select(*names, "tokens"))
+        rest = kept(here.join(wild, ["host", "above"], "left").select(*names, "parts", F.concat("tokens", F.array(token)).alias("tokens")))
+        i += 1
+    left = F.transform(F.slice("parts", i + 1, F.size("parts") + 1), lambda p: F.coalesce(p["w"], p["s"]))
+    out = rest.select(*names, F.concat("tokens", left).alias("tokens"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def _is_wild(token: Column) -> Column:
@@ -85,7 +94,7 @@ def _is_wild(token: Column) -> Column:
 
 def judge_templates(urls: DataFrame) -> DataFrame:
     """(host, path, template, purity, labels) for the rows of templates()."""
-    tree = templates(urls)
+    tree = kept(templates(urls))
     last = F.array_max(F.transform(F.sequence(F.lit(0), F.size("tokens")), lambda i: F.when((i < F.size("tokens")) & ~_is_wild(F.get("tokens", i)), i)))
     path = lambda tokens: F.concat(F.lit("/"), F.array_join(tokens, "/"))
     tree = tree.withColumn("last", last).withColumn("own", path(F.col("tokens")))
@@ -96,14 +105,17 @@ def judge_templates(urls: DataFrame) -> DataFrame:
     marked, all_marked = F.col("blocked") + F.col("allowed"), F.col("family_blocked") + F.col("family_allowed")
     share, all_share = (F.col("blocked") + 0.5) / (marked + 1), (F.col("family_blocked") + 0.5) / (all_marked + 1)
     alike = F.abs(share - all_share) <= ALIKE * F.sqrt(all_share * (1 - all_share) * (1 / (marked + 1) + 1 / (all_marked + 1)))
-    merged = own.join(family, ["host", "family"]).withColumn("template", F.when(alike & (marked >= MIN_LABELS), F.col("family")).otherwise(F.col("own")))
+    merged = own.join(family, ["host", "family"]).withColumn("template", F.when(alike, F.col("family")).otherwise(F.col("own")))
     overall = own.agg(*sums).first()
     base = ((overall["blocked"] or 0) + 1) / ((overall["blocked"] or 0) + (overall["allowed"] or 0) + 2)
-    hosts = own.groupBy("host").agg(*sums).select("host", ((F.col("blocked") + PRIOR * base) / (marked + PRIOR)).alias("host_purity"))
-    groups = merged.groupBy("host", "template").agg(*sums).join(hosts, "host")
-    groups = groups.select("host", "template", ((F.col("blocked") + PRIOR * F.col("host_purity")) / (marked + PRIOR)).alias("purity"), marked.alias("labels"))
+    smoothed = lambda blocked, marked, above: (blocked + PRIOR * above) / (marked + PRIOR)
+    hosts = own.groupBy("host").agg(*sums).select("host", smoothed(F.col("blocked"), marked, base).alias("host_purity"))
+    above = family.join(hosts, "host").withColumn("family_purity", smoothed(F.col("family_blocked"), all_marked, F.col("host_purity")))
+    groups = merged.groupBy("host", "family", "template").agg(*sums).join(above, ["host", "family"])
+    level = F.when(F.col("template") == F.col("family"), F.col("host_purity")).otherwise(F.col("family_purity"))
+    groups = groups.select("host", "family", "template", smoothed(F.col("blocked"), marked, level).alias("purity"), marked.alias("labels"))
     named = tree.select("host", "path", "family", "own").join(merged.select("host", "family", "own", "template"), ["host", "family", "own"])
-    return named.join(groups, ["host", "template"]).select("host", "path", "template", "purity", "labels")
+    return named.join(groups, ["host", "family", "template"]).select("host", "path", "template", "purity", "labels")
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -116,7 +128,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
         F.count("*").alias("n"), F.count(F.when(action == "block", 1)).alias("blocked"), F.count(F.when(action == "allow", 1)).alias("allowed")
     )
     out = rows.join(judge_templates(urls), ["host", "path"], "left")
-    verdict = F.coalesce(action, F.when((F.col("purity") >= REJECT_FROM) & (F.col("labels") >= MIN_LABELS), "block").otherwise("allow"))
+    verdict = F.coalesce(action, F.when(F.col("purity") >= REJECT_FROM, "block").otherwise("allow"))
     return out.select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "template", "purity", "labels")
 
 

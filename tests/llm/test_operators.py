@@ -363,6 +363,17 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(frame.limit(0)).collect() == []
 
 
+def test_url_templates_without_labels(spark):
+    """Unlabelled branches take the purity of their family or host, and places below a wildcard are one place."""
+    urls = [f"http://bad.org/{a}/p{i}" for a in ("x", "y", "z") for i in range(4)] + [f"http://good.org/{a}/p{i}" for a in ("x", "y", "z") for i in range(4)]
+    urls += [f"http://deep.org/{i % 16}000/{chr(97 + i)}q/end" for i in range(16)] + [f"http://wide.org/{chr(97 + i)}/{chr(97 + i)}r/end" for i in range(16)]
+    rules = [("block", "bad.org/x/"), ("block", "bad.org/y/"), ("allow", "good.org/x/"), ("allow", "good.org/y/")]
+    got = {x.url: x for x in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert len(got) == len(urls)
+    assert {got[f"http://bad.org/z/p{i}"].verdict for i in range(4)} == {"block"} and {got[f"http://good.org/z/p{i}"].verdict for i in range(4)} == {"allow"}
+    assert len({x.template for x in got.values() if x.host == "deep.org"}) == 1 and len({x.template for x in got.values() if x.host == "wide.org"}) == 1
+
+
 def cheapest(roles):
     best = {0: 0}
     for role in roles:

@@ -6,11 +6,14 @@ in both l-prefixes, whose length is n - ceil(t * n) + l. Every class picks its l
 more postings, but fewer documents share l of its shingles by chance. A pair is a candidate if m shingles, the
 smaller l of the two, meet where the pair's first m common shingles can stand; then its whole sets are compared.
 
-Components don't need all pairs of a crowd. First each posting list is compared with one leader only, in rounds with
-other leaders while that still pays; then all pairs of classes that are not connected yet are generated from the
-posting lists, the rows outside a list's largest component against all. A class that has fewer shared shingles in its
-prefix than a pair asks for is left out of that pair beforehand: edited copies whose own shingles fill their prefixes
-make no pairs, however large their crowd. No link between components is lost.
+Components don't need all pairs of a crowd. First each posting list is compared with one leader only; then all pairs of
+classes that are not connected yet are generated from the posting lists, the rows outside a list's largest component
+against all. A class that has fewer shared shingles in its prefix than a pair asks for is left out of that pair
+beforehand: edited copies whose own shingles fill their prefixes make no pairs, however large their crowd. Two classes
+meet at their first m common shingles only: a posting knows the shingles before it, and where m of them are the
+partner's as well the pair has met already. Of the pairs that are left, most are settled by parity bitmaps: a set's bits
+flip once for each shingle, so two bitmaps differ in no more bits than the sets differ in shingles. Texts are fetched
+for the others. No link between components is lost.
 
 Defined results: a null text or one without words has an empty set and is linked with nothing; a text of fewer words
 than a shingle has is one shingle; rows of one doc_id are documents of their own; component is the least key reached.
@@ -37,8 +40,6 @@ CROWDED, CROWD = 1 << 16, 4
 MATCHES = (1, 2, 3, 4, 5, 6, 8, 12)
 #: Cost of a candidate in postings; share of uncrowded shingles that another document has by chance.
 VERIFY_COST, CHANCE = 8.0, 0.05
-#: Leaders are tried while all pairs would take more than so many times the postings, in at most so many rounds.
-PAYS, LEADER_ROUNDS = 1, 1
 #: A pair of a leader is compared if it shares so many postings.
 LEADER_MATCHES = 3
 BITMAP_BITS = 1 << 22
@@ -72,6 +73,23 @@ def crowded(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[order], np.array([r["docs"] for r in top], np.int64)[order]
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bitmap of two to four bits a shingle, in which each shingle flips the bit that its hash names."""
+    size = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    bits = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ; the longer one is folded first, which keeps its parities."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def choose_matches(n: int, need: int, df: np.ndarray) -> int:
     """The number of matches of least estimated cost. df: documents of each shingle, in order, 1 if not crowded."""
     best, least = 1, np.inf
@@ -89,7 +107,7 @@ def choose_matches(n: int, need: int, df: np.ndarray) -> int:
 
 
 def _classes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """(mark, n, l, prefix): one row for each distinct set that isn't empty."""
+    """(mark, n, l, prefix, parity): one row for each distinct set that isn't empty."""
     hot, counts = crowded(docs, text, k)
     shipped = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
@@ -116,19 +134,20 @@ def _classes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
                         order = np.argsort(of, kind="stable")
                         own, of = own[order], of[order]
                     l = choose_matches(n, need, of)  # noqa: E741
-                    out.append((marks[i], n, l, own[: n - need + l].view(np.int64)))
+                    out.append((marks[i], n, l, own[: n - need + l].view(np.int64), parity(own)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int64()),
                         pa.array([x[1] for x in out], pa.int32()),
                         pa.array([x[2] for x in out], pa.int32()),
                         pa.array([x[3] for x in out], pa.list_(pa.int64())),
+                        pa.array([x[4] for x in out], pa.binary()),
                     ],
-                    ["mark", "n", "l", "prefix"],
+                    ["mark", "n", "l", "prefix", "parity"],
                 )
 
-    rows = docs.select(text).mapInArrow(run, "mark long, n int, l int, prefix array<bigint>")
-    return rows.groupBy("mark").agg(F.max("n").alias("n"), F.max("l").alias("l"), F.max("prefix").alias("prefix"))
+    rows = docs.select(text).mapInArrow(run, "mark long, n int, l int, prefix array<bigint>, parity binary")
+    return rows.groupBy("mark").agg(*(F.max(c).alias(c) for c in ("n", "l", "prefix", "parity")))
 
 
 def _postings(classes: DataFrame, percent: int) -> DataFrame:
@@ -236,48 +255,62 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of marks whose parity bitmaps don't differ too much for the threshold."""
+    for c in "ab":
+        pairs = pairs.join(classes.select(F.col("mark").alias(c), F.col("n").alias(c + "n"), F.col("parity").alias(c + "bits")), c)
+    most = F.col("an") + F.col("bn") - 2 * _common(F.col("an"), F.col("bn"), percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("abits").to_pylist(), batch.column("bbits").to_pylist(), batch.column("most").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array([differing(x, y) <= m for x, y, m in rows], pa.bool_()))
+
+    return pairs.select("a", "b", "abits", "bbits", most.alias("most")).mapInArrow(compare, "a long, b long")
+
+
+def _ends() -> tuple[Column, Column]:
+    """The two classes of a meeting; which of them is the other one depends on the token."""
+    return F.least("omark", "mark").alias("a"), F.greatest("omark", "mark").alias("b")
+
+
+def _leader_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every class and the leaders of its tokens; a leader has the fewest shingles of its own."""
+    own = F.col("l") - F.col("s") - F.floor((percent * F.col("n") + 99) / 100) + F.col("n")
+    order = F.struct(own.alias("own"), F.xxhash64("mark").alias("h"), "mark", "n", "l", "s")
+    leaders = postings.groupBy("token").agg(F.min(order).alias("leader"))
+    leaders = leaders.select("token", *(F.col(f"leader.{c}").alias("o" + c) for c in ("mark", "n", "l", "s")))
+    pairs = postings.join(leaders, "token").where(_possible("o", "", percent) & (F.col("omark") != F.col("mark")))
+    return pairs.groupBy(*_ends()).agg(F.count("*").alias("met")).where(F.col("met") >= LEADER_MATCHES).select("a", "b")
+
+
+def _open_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all classes of different components that share as many postings as a pair of them must."""
+    rows = postings.join(labels, postings.mark == labels.node, "left").withColumn("component", F.coalesce("component", "mark")).drop("node")
+    sizes = rows.groupBy("token", "component").agg(F.count("*").alias("size"))
+    lists = sizes.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("size", "component")).alias("most"))
+    lists = lists.where("several > 1").select("token", F.col("most.component").alias("largest"))
+    order = Window.partitionBy("mark").orderBy("pos").rowsBetween(-MATCHES[-1], -1)  # a prefix at most
+    rows = kept(rows.join(lists, "token").withColumn("before", F.collect_list("token").over(order)))
+    other = [F.col(c).alias("o" + c) for c in ("mark", "n", "l", "s", "pos", "j", "component", "before")]
+    few = rows.where("component <> largest").select("token", *other)
+    meet = (few.token == rows.token) & (F.col("ocomponent") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("omark") < F.col("mark")))
+    first = F.size(F.array_intersect("before", "obefore")) < F.least("ol", "l")
+    pairs = few.join(rows, meet & _possible("o", "", percent) & _early("o", "", percent) & first)
+    return pairs.groupBy(*_ends()).agg(F.count("*").alias("met"), F.max(F.least("ol", "l")).alias("matches")).where("met >= matches").select("a", "b")
+
+
 def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the marks of sets that are linked with another set."""
-    postings = kept(_postings(kept(_classes(docs, text, k, percent)), percent))
-    postings_n = postings.count()
-    strong = F.col("s") >= _required(F.col("n"), F.col("l"), F.col("n"), F.col("l"), percent)
-    links = labels = None
-    for seed in range(LEADER_ROUNDS + 1):
-        rows = postings
-        if labels is None:
-            rows = rows.withColumn("component", F.col("mark"))
-        else:
-            rows = rows.join(labels, rows.mark == labels.node, "left").withColumn("component", F.coalesce("component", "mark")).drop("node")
-        groups = rows.groupBy("token", "component").agg(F.count("*").alias("size"), F.count(F.when(strong, 1)).alias("strong"))
-        lists = groups.groupBy("token").agg(F.count("*").alias("groups"), F.sum("strong").alias("rows"), F.max(F.struct("size", "component", "strong")).alias("most"))
-        lists = kept(lists.where("groups > 1").select("token", F.expr("(rows - most.strong) * rows").alias("cost"), F.col("most.component").alias("largest")))
-        cost = lists.agg(F.sum("cost").alias("x")).first()["x"]
-        if cost is None:
-            break
-        rows = rows.join(lists.drop("cost"), "token")
-        last = cost <= PAYS * postings_n or seed == LEADER_ROUNDS
-        # which of a pair is the other depends on the token
-        ends = F.least("omark", "mark").alias("a"), F.greatest("omark", "mark").alias("b")
-        other = [F.col(c).alias("o" + c) for c in ("mark", "n", "l", "s", "pos", "j", "component")]
-        if last:
-            few = rows.where("component <> largest").select("token", *other)
-            meet = (few.token == rows.token) & (F.col("ocomponent") != F.col("component")) & ((F.col("component") == F.col("largest")) | (F.col("omark") < F.col("mark")))
-            pairs = few.join(rows, meet & _possible("o", "", percent) & _early("o", "", percent))
-            pairs = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.max(F.least("ol", "l")).alias("matches"))
-            pairs = pairs.where("met >= matches")
-        else:  # the leader has the fewest shingles of its own, or in later rounds any
-            own = (F.col("l") - F.col("s") - F.floor((percent * F.col("n") + 99) / 100) + F.col("n")) if not seed else F.lit(0)
-            order = F.struct(own.alias("own"), F.xxhash64("mark", F.lit(seed)).alias("h"), "mark", "n", "l", "s", "component")
-            leaders = rows.groupBy("token").agg(F.min(order).alias("leader"))
-            leaders = leaders.select(F.col("token").alias("t"), *(F.col(f"leader.{c}").alias("o" + c) for c in ("mark", "n", "l", "s", "component")))
-            pairs = rows.join(leaders, (F.col("token") == F.col("t")) & _possible("o", "", percent) & (F.col("ocomponent") != F.col("component")))
-            pairs = pairs.groupBy(*ends).agg(F.count("*").alias("met")).where(F.col("met") >= LEADER_MATCHES)
-        found = kept(_verified(docs, kept(pairs.select("a", "b")), text, k, percent))
-        links = found if links is None else kept(links.union(found))
-        labels = components(links)
-        if last:
-            break
-    return labels if labels is not None else docs.sparkSession.createDataFrame([], "node long, component long")
+    classes = kept(_classes(docs, text, k, percent))
+    postings = kept(_postings(classes, percent))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return kept(_verified(docs, kept(_near(pairs, classes, percent)), text, k, percent))
+
+    links = linked(_leader_pairs(postings, percent))
+    links = links.union(linked(_open_pairs(postings, components(links), percent)))
+    return components(links)
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, group: str | None = None) -> DataFrame:

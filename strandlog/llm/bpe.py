@@ -4,12 +4,12 @@ Texts are split as the public pattern says, on arrays of code points. The distin
 the task hasn't met yet lie one behind another as linked lists of tokens, a border between them. Each merge rank has a
 bucket with the places whose pair has this rank; three levels of 64-bit words say which buckets are in use, and
 find-first-set picks the lowest. A bucket is worked off as one array: entries whose pair has changed meanwhile are
-stale and skipped, the rest merge, and the pairs that arise go to their buckets. So one enormous piece costs as much
-a byte as many small ones.
+stale and skipped, the rest merge, and the pairs that arise go to their buckets.
 
 Merging all of a bucket at once gives what merging one by one gives unless the merged token takes part in a pair of
-lower rank; such tokens are known from the vocabulary, and of their buckets each piece merges only its first entry
-before the queue is asked again.
+lower rank; such tokens are known from the vocabulary. Of their buckets, pieces with several entries merge from left to
+right, and what arises at this rank or a lower one goes first. An entry costs a logarithm of their number, so one
+enormous piece takes time in proportion to its length, whatever it holds.
 
 Defined results: a null or empty text has no ids and decodes to nothing. Other columns pass unchanged; columns named
 like the operator's own are replaced. Memory: a text and a few MB of others; the vocabulary, whose file is broadcast.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import unicodedata
 from collections.abc import Iterator
 
@@ -190,11 +191,14 @@ class Vocabulary:
                 continue
             if len(at) > 1:
                 at = np.unique(at)
-                if self.lower[r]:  # only each piece's first
-                    one = np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))
-                    if not one.all():
-                        queue.push(r, at[~one])
-                        at = at[one]
+                if self.lower[r]:
+                    same = owner[at[1:]] == owner[at[:-1]]
+                    if same.any():
+                        several = np.append(same, False) | np.append(False, same)
+                        self._in_turn(r, at[several], token, rank, after, before, dead, queue)
+                        at = at[~several]
+                        if not len(at):
+                            continue
                 elif (meets := after[at[:-1]] == at[1:]).any():  # as in "aaa": of touching entries every other one
                     take = np.ones(len(at), bool)
                     for i in np.flatnonzero(meets):
@@ -221,6 +225,29 @@ class Vocabulary:
         stays = inside & ~dead
         return token[stays].astype(np.uint32), np.bincount(owner[stays] - 1, minlength=len(pieces))
 
+    def _in_turn(self, r: int, places: np.ndarray, token, rank, after, before, dead, queue: RankQueue) -> None:
+        """Merges these entries of rank r one by one from the left; before each, all of lower rank that has arisen."""
+        turn = [(r, at) for at in places.tolist()]
+        while turn:
+            x, at = heapq.heappop(turn)
+            if rank[at] != x:
+                continue
+            second = after[at]
+            third = after[second]
+            token[at] = x
+            after[at] = third
+            before[third] = at
+            dead[second] = True
+            rank[second] = NO_RANK
+            for q in (int(before[at]), at):
+                a, b = token[q], token[after[q]]
+                y = int(NO_RANK) if a == self.border or b == self.border else self.ranks.get(self.tokens[a] + self.tokens[b], int(NO_RANK))
+                rank[q] = y
+                if y <= r:
+                    heapq.heappush(turn, (y, q))
+                elif y < NO_RANK:
+                    queue.push(y, np.array([q]))
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text."""
         data = b"".join(texts)

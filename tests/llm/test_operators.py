@@ -95,13 +95,31 @@ def remove_repeated(rows, window=13):
 
 def test_substring_dedup(docs, rows):
     extra = docs.withColumn("spans", F.lit(1)).withColumn("kept", F.lit("x"))
+    text = {d: t for d, t, *_ in rows}
     got = {x.doc_id: x for x in rlz_dedup.dedup_substrings(extra).collect()}
     for d, (n, gone, kept) in remove_repeated(rows).items():
         assert (got[d].n_words, got[d].n_removed, got[d].kept or "") == (n, gone, kept)
-        assert all(s.source < d and s.stop - s.start >= 13 for s in got[d].spans)
+        words = (text[d] or "").encode().split()
+        covered = set()
+        for s in got[d].spans:
+            assert s.source < d and s.stop - s.start >= 13
+            assert words[s.start : s.stop] == text[s.source].encode().split()[s.at : s.at + s.stop - s.start], "a factor stands in its source"
+            covered |= set(range(s.start, s.stop))
+        assert len(covered) == gone
+        parse = [s for s in got[d].spans if not s.border]
+        assert parse == sorted(parse, key=lambda s: (s.start, s.stop)) and all(a.stop < b.stop for a, b in zip(parse, parse[1:]))
     assert got[120].kept is None and got[121].kept == ""
 
 
+def test_factors():
+    place = lambda *x: np.array(x)
+    # a gap of 12 places on one diagonal leaves no word out; a window over the border of two factors is one of its own
+    assert rlz_dedup.factors(place(0, 0), place(0, 13), place(5, 5), place(7, 20), 13) == [(0, 0, 26, 5, 7, False)]
+    assert rlz_dedup.factors(place(0, 0), place(0, 14), place(5, 5), place(7, 21), 13) == [(0, 0, 13, 5, 7, False), (0, 14, 27, 5, 21, False)]
+    got = rlz_dedup.factors(place(0, 0, 0, 1), place(0, 7, 13, 2), place(5, 4, 5, 5), place(0, 3, 50, 1), 13)
+    assert got == [(0, 7, 20, 4, 3, True), (0, 0, 13, 5, 0, False), (0, 13, 26, 5, 50, False), (1, 2, 15, 5, 1, False)]
+
+
 @pytest.mark.parametrize("n", range(16))
 def test_windows_of_few_words(n):
     places, anchors = rlz_dedup._windows(Words([b" ".join(b"w%d" % i for i in range(n))]), 13, 5)
@@ -142,6 +160,53 @@ def test_jaccard_join(docs, rows, k, percent):
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def test_parity_bitmaps_never_exceed_the_difference():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = (r.integers(0, 1 << 63, r.integers(1, 300)).astype(np.uint64) for _ in "xy")
+        common = r.integers(0, 1 << 63, r.integers(0, 900)).astype(np.uint64)
+        bits = [jaccard_join.parity(np.unique(np.concatenate((z, common)))) for z in (x, y)]
+        assert jaccard_join.differing(*bits) <= len(np.setxor1d(np.append(x, common), np.append(y, common)))
+
+
+def drifting(seed: int) -> list[tuple[int, str]]:
+    """Four chains of near copies, each edited from an earlier one of its chain."""
+    r = random.Random(seed)
+    rows, chains = [], []
+    for _ in range(4):
+        chains.append([["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(r.randint(60, 160))]])
+    for i in range(160):
+        chain = r.choice(chains)
+        words = list(r.choice(chain[-12:]))
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice(["new", "other", "".join(r.choice("xyz") for _ in range(6))])
+        chain.append(words)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_jaccard_join_drifting_chains(spark):
+    """Twenty tables of chains, joined as one: no table has a word of another."""
+    rows = [(seed * 1000 + d, " ".join(f"{seed}{w}" for w in t.split())) for seed in range(20) for d, t in drifting(seed)]
+    sets, parent = {d: shingled(t, 4) for d, t in rows}, {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if b // 1000 != a // 1000:
+                break
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = {x.doc_id: x.component_id for x in jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: find(d) for d in ids}
+
+
 def test_jaccard_join_crowd_without_all_pairs(spark):
     """A crowd of near copies whose links need more than one leader."""
     r = random.Random(5)
@@ -235,6 +300,30 @@ def test_bpe_odd_texts(vocabulary):
     assert [x.tolist() for x in v.encode([t.encode() for t in some])] == [theirs.encode_ordinary(t) for t in some]
 
 
+@pytest.mark.parametrize("unit", ["st", "in", "abc", "aab", "zq", ""])
+def test_bpe_long_pieces(vocabulary, unit):
+    """Pieces of many equal pairs, as the public library merges them, in time proportional to their length."""
+    import time
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    path, pattern = vocabulary
+    own = bpe.vocabulary(open(path, "rb").read())
+    public = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    r = random.Random(2)
+    text = lambda n: unit * (n // len(unit)) if unit else "".join(r.choice("stinaeo") for _ in range(n))
+    for n in (64, 1000, 20_000):
+        x = text(n)
+        assert own.encode([x.encode()])[0].tolist() == public.encode_ordinary(x)
+    took = []
+    for n in (1 << 17, 1 << 20):
+        began = time.process_time()
+        own.merge([text(n).encode()])
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1
+
+
 def test_rank_queue_pops_lowest_first():
     r, q = random.Random(0), bpe.RankQueue(50_000)
     ranks = [r.randrange(50_000) for _ in range(500)]

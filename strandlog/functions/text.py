@@ -17,11 +17,11 @@ def c(x: Column | str) -> Column:
 
 
 def natural_key(x: Column | str, nocase: bool = False) -> Column:
-    """Digit runs compare as numbers: each gets its length, two digits, before it."""
+    """Digit runs compare as numbers: each gets its length before it, as a digit for every nine and one for the rest."""
     s = F.lower(c(x)) if nocase else c(x)
     parts = F.regexp_extract_all(s, F.lit(r"(\d+|\D+)"), F.lit(1))
     number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 2, "0"), number(p))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.repeat(F.lit("9"), F.floor(F.length(number(p)) / 9).cast("int")), (F.length(number(p)) % 9).cast("string"), number(p))).otherwise(p)), "")
 
 
 def ipv4_number(x: Column | str) -> Column:
@@ -201,3 +201,81 @@ def json_contains(text: Column | str, value: str) -> Column:
     is_list = F.ltrim(c(text)).startswith("[")
     scalar = F.regexp_replace(F.trim(c(text)), r'^"(.*)"$', "$1")
     return F.when(is_list, F.coalesce(F.array_contains(items, value), F.lit(False))).when(F.ltrim(c(text)).startswith("{"), F.lit(False)).otherwise(scalar == value)
+
+
+# -- encodings, hashes, regex matches, dates ---------------------------------------------------------
+
+
+def encode(x: Column | str, how: str) -> Column:
+    """The UTF-8 bytes as base64 or hex, or a text as part of a URI."""
+    return {"base64": F.base64(c(x).cast("binary")), "hex": F.hex(c(x).cast("binary")), "uri": F.replace(F.url_encode(c(x)), F.lit("+"), F.lit("%20"))}[how]
+
+
+def decode(x: Column | str, how: str) -> Column:
+    return {"base64": F.unbase64(c(x)).cast("string"), "hex": F.unhex(c(x)).cast("string"), "uri": F.try_url_decode(F.replace(c(x), F.lit("+"), F.lit("%2B")))}[how]
+
+
+def hash_key(*xs: Column | str) -> Column:
+    """A 64-bit hash of values, each with its length, so that ("ab", "c") and ("a", "bc") differ and null is a value."""
+    return F.xxhash64(*(part for x in xs for part in (F.coalesce(F.length(c(x).cast("string")), F.lit(-1)), c(x).cast("string"))))
+
+
+def regexp_match(x: Column | str, pattern: str) -> Column:
+    """The capture of the first match as a text; of several captures a JSON object by name (or col_0, col_1), numbers unquoted."""
+    import re
+
+    plain = re.sub(r"\(\?P?<\w+>", "(", pattern)
+    named = re.findall(r"(?<!\\)\((?:\?P?<(\w+)>|(?!\?))", pattern)
+    if len(named) == 1:
+        return F.when(c(x).rlike(plain), F.regexp_extract(c(x), plain, 1))
+    names = [n or f"col_{i}" for i, n in enumerate(named)]
+    return F.get(captures_json(c(x), plain, names), F.lit(0)) if names else F.when(c(x).rlike(plain), F.regexp_extract(c(x), plain, 0))
+
+
+# Letters of strftime and the layouts that give the same.
+STRFTIME = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "f": "ss.SSS", "j": "DDD", "e": "d", "I": "hh", "p": "a", "b": "MMM", "a": "EEE", "L": "SSS", "6": "SSSSSS", "z": "XX"}
+
+
+def strftime(t: Column | str, layout: str) -> Column:
+    """t as text; %s are seconds since 1970, %J the Julian day, %F and %T a date and a time."""
+    layout = layout.replace("%F", "%Y-%m-%d").replace("%T", "%H:%M:%S")
+    parts, i = [], 0
+    while i < len(layout):
+        if layout[i] != "%":
+            end = layout.find("%", i)
+            end = len(layout) if end < 0 else end
+            parts.append(F.lit(layout[i:end]))
+            i = end
+            continue
+        letter, i = layout[i + 1], i + 2
+        if letter == "%":
+            parts.append(F.lit("%"))
+        elif letter == "s":
+            parts.append(F.floor(F.unix_micros(c(t).cast("timestamp")) / 1_000_000).cast("string"))
+        elif letter == "J":
+            parts.append((F.unix_micros(c(t).cast("timestamp")) / 86400e6 + 2440587.5).cast("string"))
+        else:
+            parts.append(F.date_format(c(t), STRFTIME[letter]))
+    return F.concat(*parts)
+
+
+def modified(t: Column | str, *modifiers: str) -> Column:
+    """t moved by modifiers such as "+1 day", "-3 months", "start of month", "weekday 1"; one after the other."""
+    import re
+
+    out = c(t).cast("timestamp")
+    for m in modifiers:
+        m = m.strip().lower()
+        if m.startswith("start of "):
+            out = F.date_trunc(m[9:], out)
+        elif found := re.fullmatch(r"weekday ([0-6])", m):
+            out = out + F.make_interval(days=F.pmod(F.lit(int(found[1])) - (F.dayofweek(out) - 1), F.lit(7)).cast("int"))
+        elif found := re.fullmatch(r"([-+]?\d+(?:\.\d+)?) (second|minute|hour|day|month|year)s?", m):
+            n, unit = float(found[1]), found[2]
+            if unit in ("month", "year"):
+                out = out + F.make_ym_interval(**{f"{unit}s": F.lit(int(n))})
+            else:
+                out = F.timestamp_micros(F.unix_micros(out) + F.lit(round(n * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit] * 1_000_000)))
+        else:
+            raise ValueError(f"no such modifier: {m}")
+    return out

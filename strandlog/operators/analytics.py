@@ -55,6 +55,26 @@ def object_of(df: DataFrame, keys: list[str], name: str, key: str, value: Column
     return parts.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias(name))
 
 
+def object_group(df: DataFrame, keys: list[str], name: str, key: str, value: str) -> DataFrame:
+    """A JSON object of key and value for each group, the keys in order; null keys go, a key that repeats keeps its greatest value."""
+    from strandlog.functions.json_text import value as variant
+
+    parts = df.where(F.col(key).isNotNull()).groupBy(*keys, F.col(key).cast("string").alias("_k")).agg(F.max(value).alias("_v"))
+    entries = F.collect_list(F.struct("_k", "_v"))
+    pairs = F.transform(F.array_sort(entries), lambda e: F.struct(e["_k"], variant(e["_v"])))
+    return parts.groupBy(*keys).agg(F.to_json(F.map_from_entries(pairs)).alias(name))
+
+
+def list_group(df: DataFrame, keys: list[str], name: str, order: str, value: str) -> DataFrame:
+    """A JSON list of the values of each group, in order; nulls stay as null."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("_v")))), lambda e: e["_v"])
+    return df.groupBy(*keys).agg(F.to_json(items).alias(name))
+
+
+def sum_object(df: DataFrame, keys: list[str], name: str, key: str, value: str) -> DataFrame:
+    return object_of(df, keys, name, key, F.sum(value))
+
+
 def column_statistics(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     aggs = []
     for x in columns:
@@ -88,6 +108,15 @@ def time_difference(a: Column | str, b: Column | str) -> Column:
     return (F.unix_micros(F.try_to_timestamp(c(a))) - F.unix_micros(F.try_to_timestamp(c(b)))) / 1e6
 
 
+def in_zone(t: Column | str, zone: str) -> Column:
+    """The time as ISO text in a zone, with the zone's offset at that time."""
+    local = F.from_utc_timestamp(F.to_utc_timestamp(c(t), F.current_timezone()), zone)
+    minutes = F.floor((micros(local) - micros(F.to_utc_timestamp(c(t), F.current_timezone()))) / 60_000_000)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), two(F.floor(F.abs(minutes) / 60)), two(F.abs(minutes) % 60))
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), offset)
+
+
 def histogram(messages: DataFrame, seconds: int, time: str = "log_time", level: str = "log_level", gaps: bool = False) -> DataFrame:
     """(bucket, normal, warnings, errors); gaps: one more row, without counts, for each stretch of empty buckets."""
     o = level_ordinal(level)
@@ -107,6 +136,30 @@ def count_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("total"))
 
 
+def average_of(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.avg(column).alias("value"))
+
+
+def sum_of(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum(column).alias("total"))
+
+
+def by(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(*aggregates)
+
+
+def timeseries(df: DataFrame, seconds: int, *aggregates: Column, time: str = "log_time") -> DataFrame:
+    """Aggregates by time slice."""
+    return df.groupBy(time_slice(time, seconds).alias("tslice")).agg(*aggregates)
+
+
+def hist(df: DataFrame, seconds: int, column: str, top: int = 10, time: str = "log_time") -> DataFrame:
+    """(tslice, v): for each time slice one JSON object of its top values and the rest as Other, the most frequent first."""
+    counts = top_values(df, seconds, column, top, time)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("_o"), F.col("value").alias("k"), F.col("total").alias("v"))))
+    return counts.groupBy(F.col("bucket").alias("tslice")).agg(F.to_json(F.map_from_entries(F.transform(ranked, lambda x: F.struct(x["k"], x["v"])))).alias("v"))
+
+
 def top_values(df: DataFrame, seconds: int, column: str, top: int = 10, time: str = "log_time") -> DataFrame:
     """(bucket, value, total): of each bucket the top - 1 most frequent values, and the rest as Other."""
     counts = df.groupBy(time_slice(time, seconds).alias("bucket"), F.col(column).cast("string").alias("value")).agg(F.count("*").alias("total"))
@@ -154,25 +207,56 @@ def summarize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
-def access_report(log: DataFrame) -> dict[str, DataFrame]:
-    """Tables of a web log: totals, days, URIs, missing pages, addresses, status classes."""
+def access_report(log: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """Tables of a web log: totals, days, URIs, missing pages, addresses, status classes, referring hosts.
+
+    Each has hits, their percentage of all hits, visitors (pairs of address and agent) and bytes.
+    """
     visitor = F.struct("c_ip", "cs_user_agent")
     block = [F.count("*").alias("hits"), F.count_distinct(visitor).alias("visitors"), F.sum("sc_bytes").alias("bytes")]
+    every = log.agg(F.count("*").alias("_all"))  # one row
 
     def part(*keys: Column, where: Column | None = None) -> DataFrame:
         rows = log if where is None else log.where(where)
-        return rows.groupBy(*keys).agg(*block)
+        return rows.groupBy(*keys).agg(*block).crossJoin(every).withColumn("percent", 100.0 * F.col("hits") / F.col("_all")).drop("_all")
+
+    def first(rows: DataFrame) -> DataFrame:
+        names = [c for c in rows.columns if c not in ("hits", "percent", "visitors", "bytes")]
+        return rows.orderBy(F.desc("hits"), *names).limit(top)
 
     return {
         "totals": log.agg(*block),
         "days": part(F.to_date("log_time").alias("day")),
-        "uris": part(F.col("cs_uri_stem"), F.col("cs_method")).orderBy(F.desc("hits"), "cs_uri_stem", "cs_method").limit(10),
-        "missing": part(F.col("cs_uri_stem"), where=F.col("sc_status") == 404).orderBy(F.desc("hits"), "cs_uri_stem").limit(10),
-        "addresses": part(F.col("c_ip")).orderBy(F.desc("hits"), "c_ip").limit(10),
+        "uris": first(part(F.col("cs_uri_stem"), F.col("cs_method"))),
+        "missing": first(part(F.col("cs_uri_stem"), where=F.col("sc_status") == 404)),
+        "addresses": first(part(F.col("c_ip"))),
         "classes": part(F.floor(F.col("sc_status") / 100).alias("class")),
+        "referrers": first(part(F.try_parse_url(F.col("cs_referer"), F.lit("HOST")).alias("referrer"), where=F.col("cs_referer").isNotNull())),
     }
 
 
+def timeline(messages: DataFrame, kinds: dict[str, str | Column], time: str = "log_time", least: str | None = None, wanted: str | None = None) -> DataFrame:
+    """Rows (kind, name, start, stop, total, errors, warnings) of the spans of files, operations, threads, tags, partitions.
+
+    kinds: for each kind the column that names a message's spans, or an array column for several. A message is counted in
+    one pass, whatever the number of kinds. least: the lowest level that counts; wanted: a regex for the names.
+    """
+    from strandlog.operators.messages import level_counts
+
+    rows = messages.where(level_ordinal("log_level") >= level_ordinal(F.lit(least))) if least else messages
+    types = dict(messages.select(*(c(x).alias(k) for k, x in kinds.items())).dtypes)
+    spans_of = {k: c(x) if types[k].startswith("array") else F.array(c(x).cast("string")) for k, x in kinds.items()}
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("name")))
+
+    names = [named(k, x) for k, x in spans_of.items()]
+    found = rows.select("*", F.explode(F.concat(*(F.coalesce(n, F.array().cast("array<struct<kind:string,name:string>>")) for n in names))).alias("_s"))
+    spans = found.where(F.col("_s.name").isNotNull()).groupBy(F.col("_s.kind").alias("kind"), F.col("_s.name").alias("name"))
+    out = spans.agg(F.min(time).alias("start"), F.max(time).alias("stop"), *level_counts())
+    return out.where(F.col("name").rlike(wanted)) if wanted else out
+
+
 # -- content ------------------------------------------------------------------------------
 
 #: The kinds of variable tokens, in the order they are masked.
@@ -247,14 +331,28 @@ def _stand_in(x: Column, salt: str) -> Column:
     return F.concat_ws("-", F.get(words, F.pmod(h, F.lit(16)).cast("int")), F.get(words, F.pmod(F.shiftright(h, 8), F.lit(16)).cast("int")), F.hex(F.shiftrightunsigned(h, 40)))
 
 
+#: The kinds of tokens that pseudonyms stand for, in the order they are tried.
+PERSONAL = (
+    ("url", r"\b[a-z][a-z0-9+.-]*://[^\s\"'<>]+"),
+    ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
+    ("uuid", r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"),
+    ("mac", r"\b[0-9a-fA-F]{2}(?:[:-][0-9a-fA-F]{2}){5}\b"),
+    ("ipv6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){3,7}(?::|[0-9a-fA-F]{1,4})(?::?[0-9a-fA-F]{1,4})*(?![\w:])"),
+    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])"),
+    ("path", r"(?<![\w<./])/(?:[\w.-]+/)+[\w.-]*"),
+    ("card", r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"),
+    ("phone", r"\+\d[\d ()-]{7,}\d"),
+    ("hex", r"\b0x[0-9a-fA-F]+\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{16,}\b"),
+)
+
+
 def anonymize(df: DataFrame, column: str, salt: str = "") -> DataFrame:
-    """The column with e-mail addresses, IPv4 addresses, card and phone numbers replaced by stand-ins.
+    """The column with URLs, e-mail, MAC and IP addresses, UUIDs, paths, card and phone numbers and hex numbers replaced by stand-ins.
 
     A stand-in depends on the salt and the value alone, so it is the same in every row and partition.
     """
-    kinds = (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", r"(?<!\d)\d{13,19}(?!\d)", r"\+\d[\d ()-]{7,}\d")
-    pattern = "|".join(f"(?:{k})" for k in kinds)
+    pattern = "|".join(f"(?:{k})" for _, k in PERSONAL)
     found = F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(column, pattern)
+    between = F.split(column, pattern, -1)
     out = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.when(i < F.size(found), _stand_in(F.get(found, i), salt)).otherwise(""))), "")
     return df.withColumn(column, F.when(F.col(column).isNotNull(), out))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlog.operators.shared import kept
+
 BLOCK = 1 << 16
 
 
@@ -57,3 +59,17 @@ def previous(df: DataFrame, key: list[str], line: str, value: str, name: str, bl
         same = same & F.col(x).eqNullSafe(F.col(f"_k_{x}"))
     out = rows.join(heads, same, "left").withColumn(name, F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_in")))
     return out.select(*(x for x in df.columns if x != name), name)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with each row's place, from 1, in a total order of all rows.
+
+    Rows are dealt by ranges of the order and written out, so that both passes see the same ranges; each range is numbered
+    on its own and moved by the counts of the ranges before it, one row for each range.
+    """
+    ranges = kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = ranges.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = ranges.withColumn("_own", own).join(counts.select("_range", before.alias("_before")), "_range")
+    return out.select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))

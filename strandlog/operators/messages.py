@@ -14,9 +14,9 @@ PATH, LINE = "log_path", "file_line"
 
 
 def assemble(lines: DataFrame, is_start: Column, path: str = PATH, line: str = LINE, value: str = "value") -> DataFrame:
-    """(path, line, value, n_lines): start lines with their continuation lines; lines before a file's first start are a message too."""
+    """(path, line, value, n_lines): start lines with their continuation lines; a line before a file's first start is a message of its own."""
     rows = carry(lines.withColumn("_start", is_start), [path], line, _message=("sum", F.col("_start").cast("bigint")))
-    out = rows.groupBy(path, "_message").agg(F.min(line).alias(line), F.array_sort(F.collect_list(F.struct(line, value))).alias("_parts"))
+    out = rows.groupBy(path, "_message", F.when(F.col("_message") == 0, F.col(line)).alias("_alone")).agg(F.min(line).alias(line), F.array_sort(F.collect_list(F.struct(line, value))).alias("_parts"))
     return out.select(path, line, F.array_join(F.transform("_parts", lambda p: p[value]), "\n").alias(value), F.size("_parts").cast("bigint").alias("n_lines"))
 
 
@@ -69,6 +69,14 @@ def demultiplex(lines: DataFrame, pattern: str, value: str = "value") -> DataFra
     return lines.where(F.col(value).rlike(pattern)).select("*", part(1).alias("mux_id"), part(2).alias("mux_time"), F.regexp_extract(value, pattern, 3).alias("body"))
 
 
+def demultiplex_json(lines: DataFrame, mux: str, body: str, value: str = "value", time: str | None = None) -> DataFrame:
+    """mux_id, mux_time and body from members of JSON lines; a body's last line end goes, and so do lines without a mux_id."""
+    j = F.from_json(value, "map<string,string>")
+    at = lambda name: F.try_element_at(j, F.lit(name)) if name else F.lit(None).cast("string")
+    out = lines.select("*", at(mux).alias("mux_id"), at(time).alias("mux_time"), F.regexp_replace(at(body), r"\r?\n$", "").alias("body"))
+    return out.where(F.col("mux_id").isNotNull())
+
+
 def filter_rows(messages: DataFrame, rules: Sequence[tuple[int, str, str]], body: str = "log_body", drop: bool = True) -> DataFrame:
     """rules: (id, "in" or "out", regex). A row stays if an in rule matches, or there are none, and no out rule does. log_filters: ids that matched."""
     hit = {i: F.coalesce(F.col(body).rlike(p), F.lit(False)) for i, _, p in rules}
@@ -104,9 +112,42 @@ def at_least(messages: DataFrame, level: str, column: str = "log_level") -> Data
     return messages.where(level_ordinal(column) >= LEVELS.index(level))
 
 
-def between(messages: DataFrame, after: str | None = None, before: str | None = None, time: str = "log_time") -> DataFrame:
-    out = messages.where(F.col(time) >= F.lit(after).cast("timestamp")) if after else messages
-    return out.where(F.col(time) <= F.lit(before).cast("timestamp")) if before else out
+def between(messages: DataFrame, after: str | None = None, before: str | None = None, time: str = "log_time", now: Column | None = None) -> DataFrame:
+    """Messages from `after` to `before`, both included; either may be relative to `now` (see relative_time)."""
+    at = lambda text: relative_time(text, now) if now is not None else F.lit(text).cast("timestamp")
+    out = messages.where(F.col(time) >= at(after)) if after else messages
+    return out.where(F.col(time) <= at(before)) if before else out
+
+
+def relative_time(text: str, now: Column) -> Column:
+    """A time before or after `now`: "-15m", "+1h30m", "2d ago", "today", "yesterday", "now"; anything else is an absolute time."""
+    import re
+
+    words = {"now": now, "today": F.date_trunc("day", now), "yesterday": F.date_trunc("day", now) - F.expr("INTERVAL 1 DAY"), "tomorrow": F.date_trunc("day", now) + F.expr("INTERVAL 1 DAY")}
+    text = text.strip().lower()
+    if text in words:
+        return words[text]
+    m = re.fullmatch(r"([-+]?)((?:\d+\s*[a-z]+\s*)+?)(ago)?", text)
+    units = {"us": 1, "ms": 1000, "s": 10**6, "m": 60 * 10**6, "h": 3600 * 10**6, "d": 86_400 * 10**6, "w": 7 * 86_400 * 10**6}
+    parts = re.findall(r"(\d+)\s*(us|ms|s|m|h|d|w)[a-z]*", m[2]) if m else []
+    if not parts:
+        return F.to_timestamp(F.lit(text))
+    micros = sum(int(n) * units[u] for n, u in parts) * (-1 if m[1] == "-" or m[3] else 1)
+    return F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + F.lit(micros))
+
+
+def of_files(messages: DataFrame, paths: Sequence[str], path: str = PATH) -> DataFrame:
+    """The messages of the files whose path is, or as a glob matches, one of these."""
+    return messages.where(F.col(path).rlike("|".join(glob_regex(p) for p in paths))) if paths else messages.where(F.lit(False))
+
+
+def hide_fields(messages: DataFrame, hidden: Sequence[str]) -> DataFrame:
+    return messages.drop(*hidden)
+
+
+def show_fields(messages: DataFrame, shown: Sequence[str]) -> DataFrame:
+    """Only these columns, in the messages' order."""
+    return messages.select(*(x for x in messages.columns if x in shown))
 
 
 def glob_regex(pattern: str) -> str:

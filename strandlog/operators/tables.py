@@ -70,26 +70,74 @@ def json_each(df: DataFrame, column: str) -> DataFrame:
     return df.select(*df.columns, F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))
 
 
-def json_tree(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
-    """fullkey, value and type of every node of a row's JSON, down to so many levels, level by level in one plan."""
-    node = df.select(*df.columns, F.lit("$").alias("fullkey"), F.try_parse_json(column).alias("_v")).where(F.col("_v").isNotNull())
-    levels = [node]
-    for _ in range(depth):
-        v = levels[-1]
-        kind = F.schema_of_variant("_v")
-        objects = v.where(kind.startswith("OBJECT")).select(*df.columns, "fullkey", F.explode(F.from_json(F.to_json("_v"), "map<string,string>")).alias("k", "x"))
-        objects = objects.select(*df.columns, F.concat("fullkey", F.lit("."), "k").alias("fullkey"), F.coalesce(F.try_parse_json("x"), F.to_variant_object(F.array("x"))).alias("_v"))
-        lists = v.where(kind.startswith("ARRAY")).select(*df.columns, "fullkey", F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("k", "_v"))
-        lists = lists.select(*df.columns, F.concat("fullkey", F.lit("["), F.col("k").cast("string"), F.lit("]")).alias("fullkey"), "_v")
-        levels.append(objects.unionByName(lists))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.select(*df.columns, "fullkey", F.to_json("_v").alias("value"), F.schema_of_variant("_v").alias("type"))
+def json_tree(df: DataFrame, column: str) -> DataFrame:
+    """key, value, type, atom, id, parent, fullkey and path of every node of a row's JSON, however deep; none if it is not JSON.
+
+    value and atom are JSON texts; atom is null for lists and objects. id numbers a row's nodes from the root on.
+    """
+
+    def nodes(texts: pd.Series) -> pd.Series:
+        import json
+
+        kinds = {dict: "object", list: "array", str: "text", bool: "true", int: "integer", float: "real", type(None): "null"}
+        out = []
+        for t in texts:
+            rows: list[tuple] = []
+            try:
+                stack = [(None, json.loads(t), None, "$", None)] if t else []
+            except ValueError:
+                stack = []
+            while stack:
+                key, value, parent, fullkey, path = stack.pop()
+                kind = "false" if value is False else kinds[type(value)]
+                text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+                rows.append((key, text, kind, None if kind in ("object", "array") else text, len(rows), parent, fullkey, path))
+                me = len(rows) - 1
+                if kind == "object":
+                    members = [(k, v, me, f"{fullkey}.{k}" if k.isidentifier() else f'{fullkey}."{k}"', fullkey) for k, v in value.items()]
+                elif kind == "array":
+                    members = [(str(i), v, me, f"{fullkey}[{i}]", fullkey) for i, v in enumerate(value)]
+                else:
+                    members = []
+                stack += reversed(members)
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    kind = "array<struct<key:string,value:string,type:string,atom:string,id:int,parent:int,fullkey:string,path:string>>"
+    return df.withColumn("_n", F.pandas_udf(nodes, kind)(column)).select(*df.columns, F.inline("_n"))
+
+
+def flatten_json(df: DataFrame, column: str, name: str) -> DataFrame:
+    """name: one flat JSON object of a row's JSON object, each leaf under its pointer (a/b/0); null if it is no object."""
+
+    def flat(texts: pd.Series) -> pd.Series:
+        import json
+
+        out = []
+        for t in texts:
+            try:
+                top = json.loads(t) if t else None
+            except ValueError:
+                top = None
+            leaves, stack = {}, [("", top)]
+            while stack:
+                at, v = stack.pop()
+                inner = list(v.items()) if isinstance(v, dict) else list(enumerate(v)) if isinstance(v, list) else []
+                if inner:
+                    stack += [(f"{at}/{str(k).replace('~', '~0').replace('/', '~1')}", x) for k, x in reversed(inner)]
+                else:
+                    leaves[at[1:]] = v
+            out.append(json.dumps(leaves, ensure_ascii=False, separators=(",", ":")) if isinstance(top, dict) else None)
+        return pd.Series(out, dtype=object)
+
+    return df.withColumn(name, F.pandas_udf(flat, "string")(column))
 
 
 def fuzzy_search(df: DataFrame, column: str, pattern: str, k: int) -> DataFrame:
-    """The k rows whose text holds the pattern's letters in order, best score first: consecutive letters and word starts score more."""
+    """The k rows whose text holds the pattern's letters in order, best score first; ties by the other columns.
+
+    The score is that of the best way to place the letters: 1 each, 4 more right after the one before, 3 more at a word's start.
+    """
     import re
 
     letters = "".join(pattern.lower().split())
@@ -98,12 +146,21 @@ def fuzzy_search(df: DataFrame, column: str, pattern: str, k: int) -> DataFrame:
     def score(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
-            t, at, total, last = t.lower(), 0, 0, -2
+            t = t.lower()
+            opens = [i == 0 or not t[i - 1].isalnum() for i in range(len(t))]
+            best: dict[int, int] = {-2: 0}  # the place of the letter before: the best score so far
             for ch in letters:
-                i = t.find(ch, at)
-                total += 1 + 4 * (i == last + 1) + 3 * (i == 0 or not t[i - 1].isalnum())
-                last, at = i, i + 1
-            out.append(total)
+                new, top, places = {}, None, sorted(best)
+                j = 0
+                for i, x in enumerate(t):
+                    while j < len(places) and places[j] < i:
+                        top = best[places[j]] if top is None else max(top, best[places[j]])
+                        j += 1
+                    if x == ch and top is not None:
+                        near = best.get(i - 1)
+                        new[i] = 1 + 3 * opens[i] + max(top, near + 4 if near is not None else top)
+                best = new
+            out.append(max(best.values()))
         return pd.Series(out, dtype="int64")
 
     return rows.withColumn("score", F.pandas_udf(score, "long")(column)).orderBy(F.desc("score"), *df.columns).limit(k)
@@ -117,7 +174,7 @@ def annotate(messages: DataFrame, rules: Mapping[str, tuple[str, Column]]) -> Da
 
 def rewrite(df: DataFrame, column: str, lookup: DataFrame, key: str, text: str) -> DataFrame:
     """The column's value followed by its text in a small lookup table, as in 404 (Not Found)."""
-    out = df.join(F.broadcast(lookup.select(F.col(key).alias("_k"), F.col(text).alias("_t"))), F.col(column) == F.col("_k"), "left")
+    out = df.join(lookup.select(F.col(key).alias("_k"), F.col(text).alias("_t")), F.col(column) == F.col("_k"), "left")
     return out.withColumn(column, F.concat(F.col(column).cast("string"), F.coalesce(F.concat(F.lit(" ("), "_t", F.lit(")")), F.lit("")))).drop("_k", "_t")
 
 

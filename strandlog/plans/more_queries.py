@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlog.functions import text as X
 from strandlog.operators import analytics as A
+from strandlog.operators import discovery as D
 from strandlog.operators import messages as M
 from strandlog.operators import tables as T
 from strandlog.plans.queries import EVENTS, FMT, events, stamp, table
@@ -62,9 +63,14 @@ def a4_filtered_aggregates(spark, sf_dir):
     return spark.sql("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS bought FROM event_rows GROUP BY user_id")
 
 
-@query("SELECT user_id, '[' || string_agg(event_id::VARCHAR, ',' ORDER BY event_id) || ']' AS ids FROM events WHERE user_id < 30 GROUP BY 1")
+@query("SELECT user_id, '[' || string_agg(event_id::VARCHAR, ',' ORDER BY event_id) || ']' AS ids FROM events GROUP BY 1")
 def a8_json_group_array(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id < 30").groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("event_id"))).alias("ids"))
+    return A.list_group(table(spark, sf_dir, "events"), ["user_id"], "ids", "event_id", "event_id")
+
+
+@query("SELECT user_id, '{' || string_agg('\"' || event_type || '\":' || last, ',' ORDER BY event_type) || '}' AS latest FROM (SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY 1, 2) GROUP BY 1")
+def a8_json_group_object(spark, sf_dir):
+    return A.object_group(table(spark, sf_dir, "events"), ["user_id"], "latest", "event_type", "event_id")
 
 
 @query("SELECT user_id, sha256(string_agg(event_id || ':' || event_type, ',' ORDER BY event_id)) AS digest FROM events GROUP BY 1")
@@ -120,10 +126,10 @@ def d12_annotations(spark, sf_dir):
     return out.select("event_id", F.col("log_annotations")["big"].alias("big"), F.col("log_annotations")["who"].alias("who"))
 
 
-@query("SELECT doc_id, match_index, capture_index, content FROM (SELECT doc_id, unnest(l) AS m, (unnest(range(len(l))))::INTEGER AS match_index FROM (SELECT doc_id, regexp_extract_all(text, '[a-z.]+@[a-z.]+') AS l FROM documents)) CROSS JOIN (VALUES (0), (1), (2)) AS c(capture_index), LATERAL (SELECT CASE capture_index WHEN 0 THEN m ELSE split_part(m, '@', capture_index) END AS content)")
+@query("SELECT doc_id, match_index, capture_index, content FROM (SELECT doc_id, unnest(l) AS m, (unnest(range(len(l))))::INTEGER AS match_index FROM (SELECT doc_id, regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+') AS l FROM documents)) CROSS JOIN (VALUES (0), (1), (2)) AS c(capture_index), LATERAL (SELECT CASE capture_index WHEN 0 THEN m ELSE split_part(m, '@', capture_index) END AS content)")
 def d6_regexp_captures(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.col("text").contains("@")).select("doc_id", "text")
-    return T.regexp_capture(docs, "text", r"([a-z.]+)@([a-z.]+)").select("doc_id", "match_index", "capture_index", "content")
+    return T.regexp_capture(docs, "text", r"([a-z0-9.]+)@([a-z0-9.]+)").select("doc_id", "match_index", "capture_index", "content")
 
 
 @query("SELECT event_id, '[{\"type\":\"' || event_type || '\",\"id\":' || user_id || '}]' AS found FROM events")
@@ -151,9 +157,10 @@ def f13_value_rewriting(spark, sf_dir):
     return T.rewrite(table(spark, sf_dir, "events").select("event_id", status.alias("status")), "status", names, "code", "message")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 4 = 1 AND value > 50")
+@query("SELECT event_id FROM events WHERE value > 50 AND event_id % 8 IN (1, 5)")
 def f7_marked_messages(spark, sf_dir):
-    return T.marked(M.mark_expr(events(spark, sf_dir).where("event_id % 4 = 1"), "value > 50")).select("event_id")
+    """Only marked messages, of two chosen files."""
+    return M.of_files(T.marked(M.mark_expr(events(spark, sf_dir), "value > 50")), ["file1", "file5"]).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'error' AND regexp_matches(props, '\"k\": 7')")
@@ -161,10 +168,10 @@ def f9_regex_search(spark, sf_dir):
     return events(spark, sf_dir).where((F.col("event_type") == "error") & F.col("props").rlike('"k": 7')).select("event_id")
 
 
-@query("SELECT event_id FROM events WHERE event_type IN (SELECT event_type FROM events WHERE event_id = 0)")
+@query("SELECT event_id FROM events WHERE event_type IN ('error', 'signup')")
 def f11_breakpoints(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("schema", A.schema_id("event_type"))
-    return e.join(e.where("event_id = 0").select("schema"), "schema", "left_semi").select("event_id")
+    body = F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"))
+    return D.breakpoints(events(spark, sf_dir).withColumn("log_body", body), ["error of user 1", "signup of user 77"]).select("event_id")
 
 
 @query(f"SELECT user_id, count(*) AS parts, max(total)::BIGINT AS largest FROM (SELECT user_id, event_type, count(*) AS total FROM events GROUP BY 1, 2) GROUP BY 1")
@@ -185,9 +192,12 @@ def q17_lease_intervals(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count("*").alias("leases"), F.max("lease").alias("longest"))
 
 
-@query("SELECT abs(count(*) - 150) < 15 AS near FROM (SELECT DISTINCT user_id FROM events)")
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near, true AS near_median FROM events GROUP BY 1")
 def q19_approximate_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg((F.abs(F.approx_count_distinct("user_id", 0.02) - 150) < 15).alias("near"))
+    """Approximate counts within a tenth of the exact ones, and approximate medians within two hundredths of the ranks."""
+    e = table(spark, sf_dir, "events")
+    found = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5, 1000).alias("median"), F.percentile("value", F.array(F.lit(0.48), F.lit(0.52))).alias("around"))
+    return found.select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("near"), F.col("median").between(F.col("around")[0], F.col("around")[1]).alias("near_median"))
 
 
 @query("SELECT p_partkey, round(sin(p_size) + cos(p_size) * tan(p_size / 100.0), 6) AS trig, round(ln(p_size) + log10(p_size) + sqrt(p_size) + exp(p_size / 50.0), 6) AS logs, floor(p_retailprice)::BIGINT AS low, ceil(p_retailprice)::BIGINT AS high, sign(p_size - 25)::DOUBLE AS side FROM part")
@@ -220,10 +230,10 @@ def u4_bound_variables(spark, sf_dir):
     return spark.sql("SELECT event_type, count(*) AS n FROM event_rows WHERE value > :least GROUP BY event_type", args={"least": 10})
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE user_id < 50 GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'view' GROUP BY 1")
 def u6_pipe_syntax(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("event_rows")
-    return spark.sql("FROM event_rows |> WHERE user_id < 50 |> AGGREGATE count(*) AS n, round(sum(value), 4) AS total GROUP BY event_type")
+    return spark.sql("FROM event_rows |> WHERE event_type <> 'view' |> AGGREGATE count(*) AS n, round(sum(value), 4) AS total GROUP BY event_type")
 
 
 @query("SELECT i::BIGINT AS id, count(event_id) AS n FROM range(0, 150, 5) AS t(i) LEFT JOIN events ON user_id = i GROUP BY 1")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlog.functions import text as X
 from strandlog.operators import analytics as A
 from strandlog.operators import messages as M
-from strandlog.operators.carry import carry
+from strandlog.operators.carry import numbered
 from strandlog.plans.registry import query
 from strandlog.sources import formats, structured
 
@@ -35,7 +35,7 @@ def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, "404").otherwise("500")).otherwise("200")
     line = F.concat(
         F.lit("10.0.0."), F.col("user_id").cast("string"), F.lit(" - u"), F.col("user_id").cast("string"), F.date_format("log_time", " '['dd/MMM/yyyy:HH:mm:ss '+0000]'"), F.lit(' "GET /'), F.col("event_type"), F.lit("?k="),
-        F.get_json_object("props", "$.k"), F.lit(' HTTP/1.1" '), status, F.lit(" "), F.round(F.col("value") * 100).cast("bigint").cast("string"), F.lit(' "-" "agent'), (F.col("user_id") % 3).cast("string"), F.lit('"'),
+        F.get_json_object("props", "$.k"), F.lit(' HTTP/1.1" '), status, F.lit(" "), F.round(F.col("value") * 100).cast("bigint").cast("string"), F.lit(' "'), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("http://shop"), (F.col("event_id") % 3).cast("string"), F.lit(".example/a"))).otherwise("-"), F.lit('" "agent'), (F.col("user_id") % 3).cast("string"), F.lit('"'),
     )
     return e.select("log_path", "file_line", line.alias("value"))
 
@@ -155,7 +155,7 @@ def i15_file_offsets(spark, sf_dir):
     return M.offset_files(events(spark, sf_dir), options).select("event_id", stamp("log_time").alias("log_time"))
 
 
-@query("SELECT event_id, list_aggregate(list_filter_, 'string_agg', ',') AS tags FROM x".replace("list_aggregate(list_filter_, 'string_agg', ',')", "concat_ws(',', CASE WHEN event_type IN ('click', 'view') THEN 'visit' END, CASE WHEN event_type = 'purchase' THEN 'sale' END, CASE WHEN event_type LIKE '%e%' THEN 'e' END)").replace("FROM x", "FROM events"))
+@query("SELECT event_id, concat_ws(',', CASE WHEN event_type IN ('click', 'view') THEN 'visit' END, CASE WHEN event_type = 'purchase' THEN 'sale' END, CASE WHEN event_type LIKE '%e%' THEN 'e' END) AS tags FROM events")
 def i19_auto_tags(spark, sf_dir):
     out = M.tag(events(spark, sf_dir), {"visit": "^(click|view)$", "sale": "purchase", "e": "e"}, "event_type")
     return out.select("event_id", F.array_join("log_tags", ",").alias("tags"))
@@ -281,7 +281,7 @@ def j1_equi_join(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, len(list_filter_) AS n FROM x".replace("len(list_filter_)", "count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)").replace("FROM x", "FROM events"))
+@query("SELECT event_id, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS n FROM events")
 def j3_next_lines_join(spark, sf_dir):
     hit = F.when(F.col("event_type") == "error", F.col("event_id"))
     out = M.following(events(spark, sf_dir), ["user_id"], ["log_time", "event_id"], "errors", hit, 10)
@@ -294,10 +294,14 @@ def j5_next_event_pairing(spark, sf_dir):
     return M.next_match(events(spark, sf_dir), ["user_id"], ["log_time", "event_id"], "purchase", hit).select("event_id", "purchase")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS some FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j7_anti_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_custkey")
-    return table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order (anti join), and whether they have one in progress (semi join)."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey")
+    rows = c.join(o.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    started = o.where("o_orderstatus = 'P'")
+    some = rows.join(started, F.col("c_custkey") == F.col("o_custkey"), "left_semi").withColumn("some", F.lit(True))
+    return some.unionByName(rows.join(started, F.col("c_custkey") == F.col("o_custkey"), "left_anti").withColumn("some", F.lit(False)))
 
 
 # -- aggregates ---------------------------------------------------------------------------------
@@ -313,14 +317,23 @@ def a6_mode(spark, sf_dir):
     return A.mode_of(table(spark, sf_dir, "events"), ["user_id"], "event_type")
 
 
-@query("SELECT user_id, round(median(value), 6) AS med FROM events GROUP BY 1")
+_CUT = "round((min(value) FILTER (WHERE n_to * {b} >= n * {a}) + min(value) FILTER (WHERE n_to * {b} > n * {a})) / 2, 6)"
+
+
+@query(f"SELECT user_id, {_CUT.format(a=1, b=2)} AS med, {_CUT.format(a=1, b=4)} AS lower, {_CUT.format(a=3, b=4)} AS upper FROM (SELECT user_id, value, count(*) OVER (PARTITION BY user_id ORDER BY value) AS n_to, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1")
 def a7_median(spark, sf_dir):
-    return A.quantiles_of(table(spark, sf_dir, "events"), ["user_id"], "value", med=(1, 2)).select("user_id", F.round("med", 6).alias("med"))
+    """A cut between two values is their mean; a cut that falls on a value is that value."""
+    out = A.quantiles_of(table(spark, sf_dir, "events"), ["user_id"], "value", med=(1, 2), lower=(1, 4), upper=(3, 4))
+    return out.select("user_id", *(F.round(c, 6).alias(c) for c in ("med", "lower", "upper")))
+
+
+_MEMBERS = "'{{' || string_agg('\"' || event_type || '\":' || {v}, ',' ORDER BY event_type) || '}}'"
 
 
-@query("SELECT user_id, '{' || string_agg('\"' || event_type || '\":' || n, ',' ORDER BY event_type) || '}' AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+@query(f"SELECT user_id, {_MEMBERS.format(v='n')} AS counts, {_MEMBERS.format(v='s')} AS sums FROM (SELECT user_id, event_type, count(*) AS n, sum(event_id)::BIGINT AS s FROM events GROUP BY 1, 2) GROUP BY 1")
 def a9_json_object_of_counts(spark, sf_dir):
-    return A.object_of(table(spark, sf_dir, "events"), ["user_id"], "counts", "event_type", F.count("*"))
+    e = table(spark, sf_dir, "events")
+    return A.object_of(e, ["user_id"], "counts", "event_type", F.count("*")).join(A.sum_object(e, ["user_id"], "sums", "event_type", "event_id"), "user_id")
 
 
 @query("SELECT event_type, count(value) AS value_count, round(sum(value), 4) AS value_sum, min(value) AS value_min, max(value) AS value_max FROM events GROUP BY 1")
@@ -329,27 +342,36 @@ def a14_column_statistics(spark, sf_dir):
     return out.select("event_type", "value_count", F.round("value_sum", 4).alias("value_sum"), "value_min", "value_max")
 
 
-@query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events WHERE user_id < 20 GROUP BY 1")
+@query("SELECT event_type, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events GROUP BY 1")
 def a3_group_concat(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id < 20").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.col("user_id").cast("string"))), ",").alias("users"))
 
 
 # -- windows, sets ---------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS rk, ntile(4) OVER w AS quarter, lag(event_id, 1, -1) OVER w AS before, lead(event_id) OVER w AS after, first_value(event_id) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)")
+@query("SELECT event_id, row_number() OVER w AS rn, rank() OVER w AS rk, ntile(4) OVER w AS quarter, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dense, round(percent_rank() OVER w, 6) AS percent, round(cume_dist() OVER w, 6) AS cumulated, lag(event_id, 1, -1) OVER w AS before, lead(event_id) OVER w AS after, first_value(event_id) OVER w AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)")
 def w1_window_functions(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
     one = lambda f: f.over(w)
+    kinds = Window.partitionBy("user_id").orderBy("event_type")
     return table(spark, sf_dir, "events").select(
-        "event_id", one(F.row_number()).cast("bigint").alias("rn"), one(F.rank()).cast("bigint").alias("rk"), one(F.ntile(4)).cast("bigint").alias("quarter"), one(F.lag("event_id", 1, -1)).alias("before"), one(F.lead("event_id")).alias("after"), one(F.first("event_id")).alias("first")
+        "event_id", one(F.row_number()).cast("bigint").alias("rn"), one(F.rank()).cast("bigint").alias("rk"), one(F.ntile(4)).cast("bigint").alias("quarter"), F.dense_rank().over(kinds).cast("bigint").alias("dense"), F.round(one(F.percent_rank()), 6).alias("percent"), F.round(one(F.cume_dist()), 6).alias("cumulated"), one(F.lag("event_id", 1, -1)).alias("before"), one(F.lead("event_id")).alias("after"), one(F.first("event_id")).alias("first")
     )
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE value > 300")
+@query(
+    "SELECT 'except' AS kind, user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE value > 300) "
+    "UNION ALL SELECT 'intersect', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' INTERSECT SELECT user_id FROM events WHERE value > 300) "
+    "UNION ALL SELECT 'union', user_id FROM (SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE value > 300) "
+    "UNION ALL SELECT 'all', user_id FROM events WHERE event_type = 'error'"
+)
 def w9_set_operations(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.where("event_type = 'error'").select("user_id").distinct().exceptAll(e.where("value > 300").select("user_id").distinct())
+    a, b = e.where("event_type = 'error'").select("user_id"), e.where("value > 300").select("user_id")
+    parts = {"except": a.distinct().exceptAll(b.distinct()), "intersect": a.intersect(b), "union": a.union(b).distinct(), "all": a}
+    out = [x.select(F.lit(kind).alias("kind"), "user_id") for kind, x in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query("WITH RECURSIVE t(n, s) AS (SELECT count(*), 1 FROM region UNION ALL SELECT n, s + 1 FROM t WHERE s < n) SELECT s::BIGINT AS step FROM t")
@@ -367,9 +389,10 @@ def w6_order_by_level(spark, sf_dir):
 # -- content --------------------------------------------------------------------------------------
 
 
-@query("SELECT 'GET /' || event_type || ' by # took # ms' AS format, count(*) AS total FROM events GROUP BY 1 HAVING count(*) > 1".replace("'GET /' || event_type || ' by", "'GET # by").replace("GROUP BY 1", "GROUP BY 1"))
+@query("SELECT event_type || ' of user # took # ms for #' AS format, count(*) AS total FROM events GROUP BY 1 HAVING count(*) > 1")
 def d1_message_templates(spark, sf_dir):
-    body = F.concat(F.lit("GET /"), F.col("event_type"), F.lit(" by "), F.col("user_id").cast("string"), F.lit(" took "), F.col("value").cast("string"), F.lit(" ms"))
+    """One template for each kind of event: its word stays, the numbers and the quoted text go."""
+    body = F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"), F.lit(" took "), F.col("value").cast("string"), F.lit(' ms for "item '), F.col("event_id").cast("string"), F.lit('"'))
     return A.format_summary(events(spark, sf_dir).withColumn("log_body", body)).select("format", "total")
 
 
@@ -380,9 +403,9 @@ def d2_field_discovery(spark, sf_dir):
     return out.select("event_id", F.col("f")["uid"].alias("uid"), F.col("f")["kind"].alias("kind"))
 
 
-@query(r"SELECT doc_id, (i - 1)::BIGINT AS match_index, split_part(m, '@', 1) AS name, split_part(m, '@', 2) AS host FROM (SELECT doc_id, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[a-z][a-z.]*@[a-z]+\.[a-z]+') AS l FROM documents))")
+@query(r"SELECT doc_id, (i - 1)::BIGINT AS match_index, split_part(m, '@', 1) AS name, split_part(m, '@', 2) AS host FROM (SELECT doc_id, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[a-z][a-z0-9.]*@[a-z0-9]+\.[a-z]+') AS l FROM documents))")
 def d4_search_table(spark, sf_dir):
-    return A.search_table(table(spark, sf_dir, "documents"), r"([a-z][a-z.]*)@([a-z]+\.[a-z]+)", ["name", "host"], ["doc_id"], "text", literal="@")
+    return A.search_table(table(spark, sf_dir, "documents"), r"([a-z][a-z0-9.]*)@([a-z0-9]+\.[a-z]+)", ["name", "host"], ["doc_id"], "text", literal="@")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, nullif(regexp_extract(url, '\?([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM pages")
@@ -432,7 +455,8 @@ def _report(name: str, keys: str, sql: str):
 
     run.__name__ = f"q7_report_{name}"
     block = "count(*) AS hits, count(DISTINCT (c_ip, cs_user_agent)) AS visitors, sum(sc_bytes)::BIGINT AS bytes"
-    return query(sql.format(block=block, t=ACCESS, keys=keys))(run)
+    share = "" if name == "totals" else ", 100.0 * count(*) / (SELECT count(*) FROM events) AS percent"
+    return query(sql.format(block=block + share, t=ACCESS, keys=keys))(run)
 
 
 _report("totals", "", "SELECT {block} FROM {t}")
@@ -440,6 +464,7 @@ _report("days", "", "SELECT strftime(log_time, '%Y-%m-%d') AS day, {block} FROM
 _report("uris", "", "SELECT cs_uri_stem, cs_method, {block} FROM {t} GROUP BY 1, 2 ORDER BY hits DESC, 1, 2 LIMIT 10")
 _report("missing", "", "SELECT cs_uri_stem, {block} FROM {t} WHERE sc_status = 404 GROUP BY 1 ORDER BY hits DESC, 1 LIMIT 10")
 _report("addresses", "", "SELECT c_ip, {block} FROM {t} GROUP BY 1 ORDER BY hits DESC, 1 LIMIT 10")
+_report("referrers", "", "SELECT cs_referer AS referrer, {block} FROM (SELECT *, 'shop' || (event_id % 3) || '.example' AS cs_referer FROM {t}) WHERE event_id % 2 = 0 GROUP BY 1 ORDER BY hits DESC, 1 LIMIT 10")
 _report("classes", "", "SELECT (sc_status // 100)::BIGINT AS class, {block} FROM {t} GROUP BY 1")
 
 
@@ -449,19 +474,24 @@ def q8_operations(spark, sf_dir):
     return out.withColumns({"earliest": stamp("earliest"), "latest": stamp("latest")})
 
 
-@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, max(turn) AS last_turn FROM conversations GROUP BY 1")
-def q10_roles_as_threads(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("last_turn"))
+@query(f"SELECT log_path, strftime(min(ts), {FMT}) AS earliest, strftime(max(ts), {FMT}) AS latest, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration, count(*) AS total, count(*) FILTER (WHERE log_level = 'error') AS errors, count(*) FILTER (WHERE log_level = 'warning') AS warnings FROM {EVENTS} GROUP BY 1")
+def q10_threads(spark, sf_dir):
+    """The same shape as operations, one row for each thread; files stand for threads."""
+    return M.operations(events(spark, sf_dir), "log_path").withColumns({"earliest": stamp("earliest"), "latest": stamp("latest")})
+
 
+_SPAN = f"strftime(min(ts), {FMT}) AS start, strftime(max(ts), {FMT}) AS stop, count(*) AS total, count(*) FILTER (WHERE log_level = 'error') AS errors, count(*) FILTER (WHERE log_level = 'warning') AS warnings FROM {EVENTS}"
 
-@query(f"SELECT 'file' AS kind, log_path AS name, strftime(min(ts), {FMT}) AS start, strftime(max(ts), {FMT}) AS stop, count(*) AS total FROM {EVENTS} GROUP BY 2 UNION ALL SELECT 'user', user_id::VARCHAR, strftime(min(ts), {FMT}), strftime(max(ts), {FMT}), count(*) FROM events GROUP BY 2 UNION ALL SELECT 'type', event_type, strftime(min(ts), {FMT}), strftime(max(ts), {FMT}), count(*) FROM events GROUP BY 2")
+
+@query(
+    f"SELECT 'file' AS kind, log_path AS name, {_SPAN} GROUP BY 2 UNION ALL SELECT 'operation', user_id::VARCHAR, {_SPAN} GROUP BY 2 UNION ALL SELECT 'thread', 't' || (user_id % 4), {_SPAN} GROUP BY 2 "
+    f"UNION ALL SELECT 'partition', CASE WHEN event_id < 100 THEN 'early' END, {_SPAN} WHERE event_id < 100 GROUP BY 2 UNION ALL SELECT 'tag', 'visit', {_SPAN} WHERE event_type IN ('click', 'view') GROUP BY 2 UNION ALL SELECT 'tag', 'e', {_SPAN} WHERE event_type LIKE '%e%' GROUP BY 2"
+)
 def q11_timeline(spark, sf_dir):
-    e = events(spark, sf_dir)
-    parts = [
-        e.groupBy(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("name")).agg(stamp(F.min("log_time")).alias("start"), stamp(F.max("log_time")).alias("stop"), F.count("*").alias("total"))
-        for kind, key in (("file", "log_path"), ("user", "user_id"), ("type", "event_type"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    e = M.tag(events(spark, sf_dir), {"visit": "^(click|view)$", "e": "e"}, "event_type")
+    thread = F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string"))
+    kinds = {"file": "log_path", "operation": "user_id", "thread": thread, "tag": "log_tags", "partition": F.when(F.col("event_id") < 100, "early")}
+    return A.timeline(e, kinds).withColumns({"start": stamp("start"), "stop": stamp("stop")})
 
 
 @query(f"WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), {FMT}) AS bucket, floor((value - lo) / ((hi - lo) / 19))::BIGINT AS cell, count(*) AS total FROM events, r GROUP BY 1, 2")
@@ -479,9 +509,9 @@ def q15_time_difference(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.round(A.time_difference(stamp("log_time"), F.lit("2024-01-01 00:00:00")), 6).alias("seconds"))
 
 
-@query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS local FROM events")
+@query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+0900' AS tokyo, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '-0500' AS new_york FROM events")
 def q16_zone_conversion(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.concat(F.date_format(F.from_utc_timestamp("log_time", "Asia/Tokyo"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")).alias("local"))
+    return events(spark, sf_dir).select("event_id", A.in_zone("log_time", "Asia/Tokyo").alias("tokyo"), A.in_zone("log_time", "America/New_York").alias("new_york"))
 
 
 @query("SELECT session_user, count(*) AS n FROM (SELECT user_id AS session_user, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY session_user, s")
@@ -512,7 +542,7 @@ def s_json_pointers(spark, sf_dir):
 def s_natural_order(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
     name = F.concat(F.lit("file"), (F.col("user_id") % 50).cast("string"), F.lit("-"), (F.col("user_id") % 7).cast("string"))
-    return e.select("event_id", F.row_number().over(Window.orderBy(X.natural_key(name), "event_id")).cast("bigint").alias("place"))
+    return numbered(e.select("event_id", X.natural_key(name).alias("name")), ["name", "event_id"], "place").select("event_id", "place")
 
 
 @query("SELECT event_id, (user_id + 256 * 10)::BIGINT AS number FROM events")

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.plans.queries import EVENTS, FMT, stamp
+from strandlog.operators.shared import folder
 from strandlog.plans.registry import query
 from strandlog.streaming import ops
 
 
-def folder(spark: SparkSession) -> str:
-    """The folder that all executors share, or where the session names none, as in tests, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, so that it may be one file

@@ -68,7 +68,7 @@ def parse_zeek(lines: DataFrame, path: str = "log_path", number: str = "file_lin
 def parse_w3c(lines: DataFrame, path: str = "log_path", number: str = "file_line", line: str = "value") -> DataFrame:
     """Rows of W3C extended logs with `fields` by the directive in force and log_time; #Date gives the day of time-only rows."""
     text = F.col(line)
-    fields = F.when(text.startswith("#Fields:"), F.trim(F.substring(text, 9, 1 << 20)))
+    fields = F.when(text.startswith("#Fields:"), F.trim(F.regexp_replace(text, r"^#Fields:", "")))
     day = F.when(text.startswith("#Date:"), F.regexp_extract(text, r"(\d{4}-\d\d-\d\d)", 1))
     rows = carry(lines, [path], number, _fields=("last", fields), _day=("last", day)).where(~text.startswith("#") & (text != ""))
     values = F.transform(F.regexp_extract_all(text, F.lit(r'("[^"]*"|\S+)'), F.lit(1)), lambda v: F.when(v != "-", F.regexp_replace(v, r'^"(.*)"$', "$1")))
@@ -121,3 +121,14 @@ def without_duplicate_files(messages: DataFrame, path: str = "log_path") -> Data
 
 def fstat(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(glob).select("path", "length", "modificationTime", "content")
+
+
+def attach(spark: SparkSession, name: str, tables: dict[str, str], source: str = "parquet", **options: str) -> None:
+    """Tables of another store as views `name`_`table`, to be joined with the session's. tables: each one's path.
+
+    source "jdbc": a database whose driver is on the class path; tables then gives each one's name there.
+    """
+    for table, place in tables.items():
+        reader = spark.read.format(source).options(**options)
+        frame = reader.option("dbtable", place).load() if source == "jdbc" else reader.load(place)
+        frame.createOrReplaceTempView(f"{name}_{table}")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._memory import tidy_group
+
 BLOCK_BYTES = 4 << 20
 #: Keys are cut to so many bits; a chance meeting only sends a key to the exact check that follows.
 KEY_BITS = 48
@@ -61,6 +63,7 @@ def shared_keys(blocks: DataFrame, n_blocks: int, keys_of: Callable[[pa.Table],
     """
     buckets = max(1, n_blocks // 4)
 
+    @tidy_group
     def send(table: pa.Table) -> pa.Table:
         keys = np.unique(keys_of(table))
         borders = by_bucket(keys, KEY_BITS, buckets)
@@ -74,6 +77,7 @@ def shared_keys(blocks: DataFrame, n_blocks: int, keys_of: Callable[[pa.Table],
             }
         )
 
+    @tidy_group
     def answer(table: pa.Table) -> pa.Table:
         sets = [unpack(x) for x in table["keys"].to_pylist()]
         found, counts = np.unique(np.concatenate(sets), return_counts=True)

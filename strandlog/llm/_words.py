@@ -16,7 +16,7 @@ WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -38,7 +38,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         for t in tables:
             t[0] = 1
             np.cumprod(t, dtype=np.uint64, out=t)
-        if size > 4 * _SEGMENT:
+        if size > 8 * _SEGMENT:
             return tables[0], tables[1]
         _powers[:] = tables
     return _powers[0], _powers[1]
@@ -180,7 +180,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(column)
 
 
-def chunks(texts: Texts | list[bytes], size: int = 2 << 20):
+def chunks(texts: Texts | list[bytes], size: int = 1 << 20):
     """(from, to) ranges of texts of about `size` bytes; a longer text is a range of its own."""
     lengths = texts.lengths.tolist() if isinstance(texts, Texts) else list(map(len, texts))
     start = total = 0

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._memory import tidy
 from ._words import chunks, hash_spans, texts_of
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: Pieces a task remembers; beyond that it starts afresh.
 REMEMBER = 400_000
 NO_RANK = np.int64(1 << 40)
@@ -255,8 +256,9 @@ class Vocabulary:
         if not data:
             return out
         cp = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
-        width = 1 + (cp >= 0x80) + (cp >= 0x800).astype(np.int64) + (cp >= 0x10000)
-        place = np.concatenate(([0], np.cumsum(width)))
+        width = 1 + (cp >= 0x80).view(np.uint8) + (cp >= 0x800).view(np.uint8) + (cp >= 0x10000).view(np.uint8)
+        place = np.zeros(len(cp) + 1, np.int64)
+        np.cumsum(width, out=place[1:])
         borders = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
         begins = np.zeros(len(cp), bool)
         heads = np.searchsorted(place, borders[:-1])
@@ -330,6 +332,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", back: bool = False) -
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks.value)
         for batch in batches:
@@ -350,6 +353,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     with open(path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_list(ranks.value)
         for batch in batches:

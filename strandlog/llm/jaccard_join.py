@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._graph import components
+from ._memory import tidy
 from ._shared import kept
 from ._words import Words, chunks, longest_first, mix, shingle_sets, texts_of
 
@@ -58,6 +59,7 @@ def _marks(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def crowded(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The most crowded shingles, sorted, and their counts, from the counts of CROWD or more within parts of the input."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(text))
@@ -111,6 +113,7 @@ def _classes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     hot, counts = crowded(docs, text, k)
     shipped = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = shipped.value
         for batch in batches:
@@ -218,6 +221,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int
     ends = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
     shipped = _bits(ends)
 
+    @tidy
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(text))
@@ -234,6 +238,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, percent: int
     bodies = found.join(ends, "mark", "left_semi").groupBy("mark").agg(F.max("body").alias("body"))
     left, right = bodies.select(F.col("mark").alias("a"), F.col("body").alias("x")), bodies.select(F.col("mark").alias("b"), F.col("body").alias("y"))
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -261,6 +266,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         pairs = pairs.join(classes.select(F.col("mark").alias(c), F.col("n").alias(c + "n"), F.col("parity").alias(c + "bits")), c)
     most = F.col("an") + F.col("bn") - 2 * _common(F.col("an"), F.col("bn"), percent)
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(batch.column("abits").to_pylist(), batch.column("bbits").to_pylist(), batch.column("most").to_pylist())
@@ -331,6 +337,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     def marks_of(grouped: bool):
         """The rows that may be of a group, or all the others, which need no join."""
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = texts_of(batch.column(text))
@@ -351,6 +358,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def mark_only(key: str, text: str, k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(text))

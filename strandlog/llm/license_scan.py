@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._memory import tidy
 from ._words import NOT_ALNUM, Words, chunks, texts_of
 
 MATCH = 0.75
@@ -99,6 +100,7 @@ def word_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATE
     index = Index(templates)
     n = len(index.names)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(n + 1, np.int64)
         for batch in batches:
@@ -153,6 +155,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str
                 found[text_at[i]].append((t, start, start + len(own), float(min(share[i], 1.0)), bool(keys[i]) and share[i] >= MATCH))
         return words.counts(), found
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(text))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._memory import tidy
 from ._shared import kept
 from ._words import Words, chunks, texts_of
 
@@ -103,6 +104,7 @@ def with_statistics(docs: DataFrame, columns: list[str], text: str = "text") ->
     """The given columns and `statistics`, an array of doubles."""
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("statistics", T.ArrayType(T.DoubleType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(text))
@@ -143,6 +145,7 @@ def fit(rows: DataFrame) -> Model:
     """rows: statistics and label (0 or 1). Spark adds up counts, sums and products; the driver gets their totals."""
     d = len(FEATURES)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 + d + d * d))
         for batch in batches:
@@ -185,6 +188,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     names = [c for c in rows.columns if c not in ("statistics", "score")]
     schema = T.StructType([*rows.select(*names).schema.fields, T.StructField("score", T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.scores(_matrix(batch.column("statistics")))
@@ -193,6 +197,22 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with score, from the text to the score in one step."""
+    names = [c for c in docs.columns if c != "score"]
+    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType())])
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(text))
+            for a, b in chunks(texts):
+                scores = model.scores(statistics(texts[a:b]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(names).columns, pa.array(scores)], [*names, "score"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows that no model learns from; a null id, which no label can name, counts as held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
@@ -209,7 +229,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_on_labels(with_statistics(docs, ["doc_id"]), labels)
-    return score(with_statistics(docs, names), model).where(F.col("score") >= THRESHOLD).select(*names)
+    return with_scores(docs, model).where(F.col("score") >= THRESHOLD).select(*names)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

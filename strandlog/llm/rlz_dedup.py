@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _blocks as B
+from ._memory import tidy_cogroup, tidy_group
 from ._words import Words, chunks, mix, texts_of
 
 WINDOW = 13
@@ -147,6 +148,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         found = [np.unique(anchors[real]) for *_, anchors, _, real in _read(table, key, text, window, anchor)]
         return np.concatenate(found) if found else np.empty(0, np.uint64)
 
+    @tidy_cogroup
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         keys, found = B.joined(shared), []
         if len(keys) and table.num_rows:
@@ -166,6 +168,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             }
         )
 
+    @tidy_group
     def answer(table: pa.Table) -> pa.Table:
         sent = _unpacked(table)
         hashes, ids, at = _earliest(*_all(sent))
@@ -180,6 +183,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     given = docs.schema
     schema = T.StructType([*given.fields, *(T.StructField(k, v) for k, v in _OUT.items())])
 
+    @tidy_cogroup
     def parse(table: pa.Table, earlier: pa.Table) -> pa.Table:
         own = list(_read(table, key, text, window, anchor)) if table.num_rows else []
         hashes, first, first_at = _earliest(*_all([*_unpacked(earlier), *((h[real], i[real], at[real]) for *_, at, h, _, i, real in own)]))

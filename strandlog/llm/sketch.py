@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._memory import tidy
 from ._words import Words, chunks, shingle_sets, texts_of
 
 SHINGLE = 5
@@ -53,6 +54,7 @@ def fingerprint(docs: DataFrame, text: str = "text", k: int = SHINGLE, one_of: i
     names = [c for c in docs.columns if c != "sketch"]
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("sketch", T.ArrayType(T.LongType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.sort(x.view(np.int64)) for x in sketches(texts_of(batch.column(text)), k, one_of)]
@@ -103,6 +105,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         for batch in batches:

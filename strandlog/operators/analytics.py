@@ -326,9 +326,11 @@ STAND_INS = ("amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "hea
 
 
 def _stand_in(x: Column, salt: str) -> Column:
-    h = F.xxhash64(F.lit(salt), x)
+    """Two words and six hex digits from the SHA-256 of salt and value."""
+    h = F.sha2(F.concat(F.lit(salt), x), 256)
     words = F.array(*map(F.lit, STAND_INS))
-    return F.concat_ws("-", F.get(words, F.pmod(h, F.lit(16)).cast("int")), F.get(words, F.pmod(F.shiftright(h, 8), F.lit(16)).cast("int")), F.hex(F.shiftrightunsigned(h, 40)))
+    word = lambda i: F.get(words, F.conv(F.substring(h, i, 1), 16, 10).cast("int"))
+    return F.concat_ws("-", word(1), word(2), F.substring(h, 3, 6))
 
 
 #: The kinds of tokens that pseudonyms stand for, in the order they are tried.
@@ -337,12 +339,14 @@ PERSONAL = (
     ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
     ("uuid", r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"),
     ("mac", r"\b[0-9a-fA-F]{2}(?:[:-][0-9a-fA-F]{2}){5}\b"),
-    ("ipv6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){3,7}(?::|[0-9a-fA-F]{1,4})(?::?[0-9a-fA-F]{1,4})*(?![\w:])"),
-    ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])"),
-    ("path", r"(?<![\w<./])/(?:[\w.-]+/)+[\w.-]*"),
-    ("card", r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)"),
+    ("ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
+    ("short ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}\b"),
+    ("ipv4", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
+    ("path", r"\B/(?:[\w.-]+/)+[\w.-]*"),
+    ("card", r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b"),
     ("phone", r"\+\d[\d ()-]{7,}\d"),
-    ("hex", r"\b0x[0-9a-fA-F]+\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{16,}\b"),
+    ("hex", r"\b0x[0-9a-fA-F]+\b"),
+    ("digest", r"\b[0-9a-f]{16,}\b"),
 )
 
 

@@ -145,7 +145,15 @@ def d8_xpath_nodes(spark, sf_dir):
     return T.xpath_nodes(table(spark, sf_dir, "events").select("event_id", xml.alias("x")), "x", "./u").select("event_id", "node_path", "node_text")
 
 
-@query()
+_OPENS = "CASE WHEN {i} = 1 OR regexp_matches(n[{i} - 1], '[^a-z0-9]') THEN 3 ELSE 0 END"
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_name, lower(p_name) AS n, unnest(range(1, length(p_name) + 1)) AS i FROM part), "
+    f"l AS (SELECT p_partkey, p_name, i, n[i] AS ch, 1 + {_OPENS.format(i='i')} AS points FROM p WHERE n[i] IN ('s', 'g', 'z')) "
+    "SELECT a.p_partkey, a.p_name, max(a.points + b.points + c.points + CASE WHEN b.i = a.i + 1 THEN 4 ELSE 0 END + CASE WHEN c.i = b.i + 1 THEN 4 ELSE 0 END)::BIGINT AS score "
+    "FROM l a JOIN l b USING (p_partkey) JOIN l c USING (p_partkey) WHERE a.ch = 's' AND b.ch = 'g' AND c.ch = 'z' AND a.i < b.i AND b.i < c.i GROUP BY 1, 2 ORDER BY score DESC, 1, 2 LIMIT 50"
+)
 def d11_fuzzy_search(spark, sf_dir):
     return T.fuzzy_search(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "sgz", 50)
 

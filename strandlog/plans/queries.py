@@ -414,7 +414,15 @@ def d13_url_parts(spark, sf_dir):
     return out.select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
 
 
-@query()
+_PERSONAL = "|".join(f"(?:{k})" for _, k in A.PERSONAL).replace("'", "''")
+_HASH = "sha256('salt' || found[i])"
+_STAND_IN = f"({list(A.STAND_INS)})[strpos('0123456789abcdef', {_HASH}[1])] || '-' || ({list(A.STAND_INS)})[strpos('0123456789abcdef', {_HASH}[2])] || '-' || substr({_HASH}, 3, 6)"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(range(1, len(between_) + 1), lambda i: between_[i] || CASE WHEN i <= len(found) THEN {_STAND_IN} ELSE '' END), '') END AS text "
+    f"FROM (SELECT doc_id, text, string_split_regex(text, '{_PERSONAL}') AS between_, regexp_extract_all(text, '{_PERSONAL}') AS found FROM documents)"
+)
 def d10_anonymize(spark, sf_dir):
     return A.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "salt")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlog.plans.queries import EVENTS, FMT, stamp
 from strandlog.operators.shared import folder
 from strandlog.plans.registry import query
+from strandlog.sources import formats
 from strandlog.streaming import ops
 
 
@@ -55,3 +58,61 @@ def x4_late_rows_stream(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "log_path", "file_line", F.when(F.col("event_id") % 7 == 0, F.col("log_time") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("log_time")).alias("log_time"))
     out = ops.drain(ops.late(e, "1 hour", "skew"), folder(spark))
     return out.select("event_id", stamp("log_time").alias("log_time"), "time_skewed")
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files: every event as a line of a container's log."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "WARN").otherwise("INFO")
+    line = F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string"), F.lit(" | "), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), level, F.lit(" "), F.col("event_id").cast("string"), F.lit(" "), F.col("event_type"))
+    path = f"{folder(spark)}/lines-{uuid.uuid4().hex}"
+    e.select(line.alias("value")).repartition(6).write.text(path)
+    return path
+
+
+@query("SELECT 'c' || (user_id % 4) AS mux_id, count(*) AS lines FROM events GROUP BY 1")
+def x1_tail_stream(spark, sf_dir):
+    """New files of a folder, a few in each batch."""
+    out = ops.drain(ops.tail(spark, log_files(spark, sf_dir), files_per_batch=2), folder(spark))
+    return out.groupBy(F.split("value", " ")[0].alias("mux_id")).agg(F.count("*").alias("lines"))
+
+
+@query(f"SELECT event_id, strftime(date_trunc('millisecond', ts), {FMT}) AS log_time, log_level FROM {EVENTS}")
+def x2_parsed_stream(spark, sf_dir):
+    """Lines are parsed as they come: the container's mark goes and the rest is a line of a format."""
+    out = ops.drain(ops.parsed(ops.demultiplexed(ops.tail(spark, log_files(spark, sf_dir)), r"^(c\d+) \|()\s(.*)$"), formats.FORMATS["generic_log"], "body"), folder(spark))
+    return out.select(F.split("log_body", " ")[0].cast("bigint").alias("event_id"), stamp("log_time").alias("log_time"), "log_level")
+
+
+@query("SELECT 'c' || (user_id % 4) AS mux_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS total FROM events GROUP BY 1")
+def x12_demultiplexed_stream(spark, sf_dir):
+    lines = ops.demultiplexed(ops.tail(spark, log_files(spark, sf_dir)), r"^(c\d+) \|()\s(.*)$")
+    out = ops.drain(lines.select("mux_id", "body"), folder(spark))
+    return out.groupBy("mux_id").agg(F.count_if(F.col("body").contains(" ERROR ")).alias("errors"), F.count("*").alias("total"))
+
+
+@query("SELECT DISTINCT log_path, 'generic_log' AS log_format FROM " + EVENTS)
+def x7_file_lifecycle_stream(spark, sf_dir):
+    """A row for each file when it is first seen."""
+    target = f"{folder(spark)}/seen-{uuid.uuid4().hex}"
+    ops.finish(ops.lifecycle(events(spark, sf_dir).withColumn("log_format", F.lit("generic_log")), target), folder(spark))
+    return spark.read.parquet(target).select("log_path", "log_format")
+
+
+@query("SELECT event_type AS watch, count(*) AS reactions FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1")
+def x11_reactions_stream(spark, sf_dir):
+    """A handler that keeps a row for each watch event of a batch."""
+    target = f"{folder(spark)}/reactions-{uuid.uuid4().hex}"
+    rules = {"error": "event_type = 'error'", "signup": "event_type = 'signup'"}
+    watched = ops.watch(events(spark, sf_dir), rules, ["event_id"])
+    ops.finish(ops.react(watched, lambda batch, _: batch.select("watch").write.mode("append").parquet(target)), folder(spark))
+    return spark.read.schema("watch string").parquet(target).groupBy("watch").agg(F.count("*").alias("reactions"))
+
+
+@query(
+    "WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) "
+    "SELECT user_id, count(*) AS total FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+)
+def x8_sessions_stream(spark, sf_dir):
+    """Sessions that the watermark has closed; the others stay open in the state."""
+    return ops.drain(ops.sessions(events(spark, sf_dir), "6 hours", "user_id").select("user_id", "total"), folder(spark))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strandlog.operators import messages as M
+from strandlog.sources import formats, json_formats
 
 
 def tail(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -18,6 +20,16 @@ def tail(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFra
     return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path).select("value", F.col("_metadata.file_path").alias("log_path"))
 
 
+def parsed(lines: DataFrame, fmt, line: str = "value", year: int = 1970) -> DataFrame:
+    """The messages of a stream's lines by a format of the catalogue; lines of no pattern go."""
+    return json_formats.parse_json_format(lines, fmt, line) if isinstance(fmt, json_formats.JsonFormat) else formats.parse(lines, fmt, line, year)
+
+
+def demultiplexed(lines: DataFrame, pattern: str, value: str = "value") -> DataFrame:
+    """mux_id, mux_time and body of the lines of several logs in one stream."""
+    return M.demultiplex(lines, pattern, value)
+
+
 def windowed(messages: DataFrame, length: str, *keys: str, delay: str = "1 hour", slide: str | None = None, time: str = "log_time") -> DataFrame:
     """Counts by window and keys; rows later than the delay are dropped."""
     w = F.window(time, length, slide) if slide else F.window(time, length)
@@ -118,6 +130,12 @@ def lifecycle(messages: DataFrame, target: str):
     return react(messages, handler)
 
 
+def finish(writer, folder: str) -> None:
+    """Runs a prepared writer over everything that is there now."""
+    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    writer.option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Everything that is there now, run through the stream into a table in the folder; for complete or update mode its last state."""
     spark = stream.sparkSession

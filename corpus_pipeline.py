@@ -6,8 +6,9 @@ substring      words of passages that an earlier document has too go
 contamination  documents that contain a benchmark item go
 tokens         every document's text as byte-level BPE ids
 
-Rows of one doc_id count as documents of their own, except that of a group only one stays. A null doc_id is kept and
-compared like any other where a stage needs no id. A null text passes as it is and has no tokens.
+Rows of one doc_id count as documents of their own, except that of a group only one stays. Rows with a null doc_id are no
+near duplicates or sources of others and are judged like any row otherwise. The classifier scores a null text like an
+empty one; where it stays, it stays null and has no tokens.
 """
 
 from __future__ import annotations

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session names none, as in tests, a temporary folder stands in."""
+    """spark.checkpoint.dir. Where the session names none, a temporary folder stands in if one machine does it all; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -22,3 +25,13 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those used under names that no operator has, and what brings docs' columns back."""
+    new = {name: name if name in used else f"_aside_{i}" for i, name in enumerate(docs.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(new[name]).alias(name) for name in docs.columns))
+
+    return docs.toDF(*new.values()), back

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._memory import tidy
+from ._shared import aside
 from ._words import chunks, hash_spans, texts_of
 
 CHUNK_BYTES = 2 << 20
@@ -375,8 +376,11 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents with their ids."""
-    return _digests(docs).drop("ids", "decoded")
+    """Pipeline stage: the documents with the number of their ids and the digests; columns of these names are replaced."""
+    rows, _ = aside(docs, "doc_id", "text")
+    names = dict(zip(docs.columns, rows.columns))
+    own = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return _digests(rows).select(*(F.col(new).alias(c) for c, new in names.items() if c not in own), *own)
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

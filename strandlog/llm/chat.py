@@ -9,7 +9,9 @@ cost from every state before it to every state after it. The matrices of a conve
 fixes the states at the chunks' borders; then each chunk is repaired and rendered on its own.
 
 Defined results: order is by turn (null first), role, text; a null text is empty; a null conv_id is a conversation of
-its own; a null or unknown role may become any role at a small cost. Of repairs of equal cost any may be taken.
+its own; a null or unknown role may become any role at a small cost. Of repairs of equal cost, the states at the borders
+of chunks are the first in STATES, from the last border back; then each chunk's, from its last message back; a merge goes
+before insertions.
 Columns beside the four are not read.
 """
 
@@ -158,8 +160,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
 def format_chats(conversations: DataFrame) -> DataFrame:
     """A row for each given message and each inserted turn: conv_id, turn, role, new_role, action, text, rendered.
 
-    A conversation's text is the concatenation of `rendered` in the order of turn, with inserted turns (null role)
-    before the message whose turn they bear, or at the end after the last one; `position` numbers a chunk's rows so.
+    A conversation's text is the concatenation of `rendered` in the order of chunk and position, both whole numbers:
+    chunks go by turn, and position numbers a chunk's rows, with inserted turns (null role) before the message whose turn
+    they bear, or at the end after the last one.
     """
     rows = conversations.select(
         F.struct(F.col("conv_id").isNotNull().alias("given"), F.coalesce("conv_id", F.lit(0)).alias("id")).alias("_conv"),
@@ -193,12 +196,12 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     border = effect.repartition("_conv").sortWithinPartitions("_conv", "_chunk").mapInArrow(borders, f"{kind}, entry int, leave int, last boolean")
     ready = rows.join(border, ["_conv", "_chunk"]).repartition("_conv", "_chunk").sortWithinPartitions(*order)
     schema = pa.schema(
-        [("conv_id", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()), *((c, pa.string()) for c in ("role", "new_role", "action", "text", "rendered"))]
+        [("conv_id", pa.int64()), ("chunk", pa.int64()), ("position", pa.int64()), ("turn", pa.int64()), *((c, pa.string()) for c in ("role", "new_role", "action", "text", "rendered"))]
     )
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[dict] = []
-        for (conv, _), own in _runs(batches, _CHUNK_ORDER):
+        for (conv, chunk), own in _runs(batches, _CHUNK_ORDER):
             first = own[0]
             turns = repair([r["role"] for r in own], [r["text"] for r in own], first["entry"], first["leave"], first["last"])
             turns = list(turns)
@@ -210,7 +213,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             for j, (i, new, action, text, rendered) in enumerate(turns):
                 at = following[j]
                 waiting.append(
-                    {"conv_id": conv["id"] if conv["given"] else None, "position": j, "turn": at, "role": own[i]["role"] if i is not None else None, "new_role": new, "action": action, "text": text, "rendered": rendered}
+                    {"conv_id": conv["id"] if conv["given"] else None, "chunk": chunk, "position": j, "turn": at, "role": own[i]["role"] if i is not None else None, "new_role": new, "action": action, "text": text, "rendered": rendered}
                 )
             if len(waiting) >= 2048:
                 yield pa.RecordBatch.from_pylist(waiting, schema)
@@ -218,7 +221,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         if waiting:
             yield pa.RecordBatch.from_pylist(waiting, schema)
 
-    return ready.mapInArrow(render, "conv_id long, position long, turn long, role string, new_role string, action string, text string, rendered string")
+    return ready.mapInArrow(render, "conv_id long, chunk long, position long, turn long, role string, new_role string, action string, text string, rendered string")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

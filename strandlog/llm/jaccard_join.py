@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ._graph import components
 from ._memory import tidy
-from ._shared import kept
+from ._shared import aside, kept
 from ._words import Words, chunks, longest_first, mix, shingle_sets, texts_of
 
 SHINGLE, PERCENT = 4, 85
@@ -319,12 +319,13 @@ def linked_classes(docs: DataFrame, text: str = "text", k: int = SHINGLE, percen
     return components(links)
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, group: str | None = None) -> DataFrame:
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, group: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with n_shingles and component_id, the least key that links reach from a document, itself included.
 
+    keep: the columns of docs that are wanted, the key among them; all, if not given.
     group: the name of one more column, a mark of the document's component, null for a document that is alone in it.
     """
-    names = [c for c in docs.columns if c not in ("n_shingles", "component_id", group)]
+    names = [c for c in (keep or docs.columns) if c not in ("n_shingles", "component_id", "_mark", group)]
     marked = T.StructType([*docs.select(*names).schema.fields, T.StructField("n_shingles", T.LongType()), T.StructField("_mark", T.LongType())])
 
     labels = linked_classes(docs, text, k, percent)
@@ -350,7 +351,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         return run
 
     of_group = lambda mark: [mark.alias(group)] if group else []
-    source = docs.select(*names)
+    source = docs.select(*names, *([text] if text not in names else []))
     alone = source.mapInArrow(marks_of(False), marked).select(*names, "n_shingles", F.col(key).alias("component_id"), *of_group(F.lit(None).cast("long")))
     rows = source.mapInArrow(marks_of(True), marked)
     joined = rows.join(classes, rows["_mark"] == classes["mark"], "left").select(*names, "n_shingles", F.coalesce("_least", key).alias("component_id"), *of_group(F.col("_group")))
@@ -373,16 +374,29 @@ def mark_only(key: str, text: str, k: int):
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near duplicates (five-word shingles, 0.8 or more) the document of least id."""
-    names = docs.columns
-    out = join_components(docs, k=5, percent=80, group="_component")
+    rows, back = aside(docs, "doc_id", "text")
+    names = rows.columns
+    out = join_components(rows, k=5, percent=80, group="_component")
     out = out.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():  # rows of one id in one component: that of least text stays
         several = F.col("doc_id").isNotNull() & F.col("_component").isNotNull()
         one = out.where(several).groupBy("_component", "doc_id").agg(F.min(F.struct("text", *(c for c in names if c not in ("doc_id", "text")))).alias("_row"))
         out = one.select("doc_id", "_row.*").select(*names).unionByName(out.where(~several).select(*names))
-    return out.select(*names)
+    return back(out)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return join_components(docs).select("doc_id", "n_shingles", "component_id")
+    return join_components(docs, keep=["doc_id"]).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT r.a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""

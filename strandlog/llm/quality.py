@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._memory import tidy
-from ._shared import kept
+from ._shared import aside, kept
 from ._words import Words, chunks, texts_of
 
 FOLDS = 5
@@ -114,7 +114,7 @@ def with_statistics(docs: DataFrame, columns: list[str], text: str = "text") ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(FEATURES), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).select(columns).columns, lists], [*columns, "statistics"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(run, schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -226,10 +226,10 @@ def fit_on_labels(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> Mo
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score is at least the threshold."""
-    names = docs.columns
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_on_labels(with_statistics(docs, ["doc_id"]), labels)
-    return with_scores(docs, model).where(F.col("score") >= THRESHOLD).select(*names)
+    rows, back = aside(docs, "doc_id", "text")
+    return back(with_scores(rows, model).where(F.col("score") >= THRESHOLD))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

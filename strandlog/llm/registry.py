@@ -5,10 +5,10 @@ from __future__ import annotations
 from .bpe import op6_byte_level_bpe
 from .chat import op7_chat_formatting
 from .decontaminate import OP3_SQL, op3_benchmark_decontamination
-from .jaccard_join import op8_ngram_jaccard_join
+from .jaccard_join import OP8_SQL, op8_ngram_jaccard_join
 from .license_scan import op2_license_scan
 from .quality import op10_quality_classifier
-from .rlz_dedup import op4_substring_dedup
+from .rlz_dedup import OP4_SQL, op4_substring_dedup
 from .sketch import op5_document_fingerprints
 from .url_filter import op9_url_filter
 from .warc import OP1_SQL, op1_warc_derivatives
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_derivatives": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL}

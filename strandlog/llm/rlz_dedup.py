@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from . import _blocks as B
 from ._memory import tidy_cogroup, tidy_group
+from ._shared import aside
 from ._words import Words, chunks, mix, texts_of
 
 WINDOW = 13
@@ -228,13 +229,25 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without the words of duplicate spans; one that loses nothing keeps its text as it was."""
-    names = docs.columns
-    out = dedup_substrings(docs)
+    rows, back = aside(docs, "doc_id", "text", "n_chars")
+    out = dedup_substrings(rows)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*names)
+    return back(out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_substrings(docs)
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"), F.transform("spans", lambda x: x["source"]).alias("sources"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM d, unnest(range(1, len(w) - 11)) AS t(i)),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY 1),
+c AS (SELECT DISTINCT g.doc_id, i + j AS p FROM g JOIN f USING (s), range(13) AS r(j) WHERE first < g.doc_id),
+k AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.p) AS kept FROM p ANTI JOIN c ON p.doc_id = c.doc_id AND p.p = c.p GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -72,7 +72,11 @@ def metadata_fields(html: Column) -> Column:
 
 
 def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
-    """Two rows for each response: metadata and conversion, with the record's fields and, in `record`, its bytes as text."""
+    """Two rows for each response: metadata and conversion, with the record's fields and, in `record`, its bytes as text.
+
+    The response's header block stays: whole in source_headers, and line by line in the record, the status line as
+    X-Source-Status and each field under its own name after X-Source-. A response without headers adds no such lines.
+    """
     of = lambda kind, type_, body: F.struct(F.lit(kind).alias("record_type"), F.lit(type_).alias("content_type"), body.alias("body"))
     both = F.array(
         of("metadata", "application/warc-fields", metadata_fields(F.col("payload"))), of("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload")))
@@ -89,54 +93,45 @@ def derive(records: DataFrame, key: str = "page_id") -> DataFrame:
         F.octet_length("body").cast("long").alias("content_length"),
         F.concat(F.lit("sha256:"), F.sha2("body", 256)).alias("block_digest"),
         "source_content_type",
+        F.col("http_headers").alias("source_headers"),
         F.col("payload_digest").alias("source_payload_digest"),
         "body",
     )
     fields = (
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "date"), ("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to"),
-        ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("X-Source-Content-Type", "source_content_type"),
-        ("X-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+        ("WARC-Refers-To-Target-URI", "target_uri"), ("WARC-Refers-To-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("X-Source-Payload-Digest", "source_payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     )
     lines = [F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in fields]
-    return rows.withColumn("record", F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("body"), F.lit("\r\n\r\n")))
+    given = F.filter(F.split(F.coalesce("source_headers", F.lit("")), r"\r?\n"), lambda h: h != "")
+    named = F.transform(given, lambda h: F.concat(F.lit("X-Source-"), F.when(h.startswith("HTTP/"), F.concat(F.lit("Status: "), h)).otherwise(h), F.lit("\r\n")))
+    return rows.withColumn("record", F.concat(F.lit("WARC/1.1\r\n"), *lines, F.array_join(named, ""), F.lit("\r\n"), F.col("body"), F.lit("\r\n\r\n")))
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("record")
-
-
-def _replace_all(text: str, pairs) -> str:
-    for a, b in pairs:
-        text = f"replace({text}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return text
+    """The derived records; each one's bytes as their digest."""
+    return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumn("record_sha256", F.sha2("record", 256)).drop("record")
 
 
-def _sub(text: str, pattern: str, to: str) -> str:
-    return f"regexp_replace({text}, '{pattern}', {to}, 'g')"
-
-
-def _sql() -> str:
-    text = "payload"
-    for pattern in _DROPPED:
-        text = _sub(text, pattern, "''")
-    text = _replace_all(_sub(_sub(text, _BREAKS, "chr(10)"), "<[^>]*>", "''"), _ENTITIES)
-    text = _sub(_sub(_sub(text, r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)"), r"^[ \n]+|[ \n]+$", "''")
-    title = _sub(_replace_all(_sub("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1)", "<[^>]*>", "''"), _ENTITIES), r"\s+", "' '")
-    crlf = "chr(13) || chr(10)"
-    link = _replace_all(r"""unnest(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1))""", _ENTITIES)
-    uuid = lambda seed: "'<urn:uuid:' || " + " || '-' || ".join(f"substr(md5({seed}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
-    return rf"""
+OP1_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
-r AS (SELECT *, 'sha256:' || sha256(payload) AS source_payload_digest,
-  {uuid("concat_ws('|', 'response', coalesce(page_id::VARCHAR, ''), target_uri, sha256(payload))")} AS refers_to FROM p),
-m AS (SELECT *, list_aggregate(list_transform_(payload), 'string_agg', '') AS links FROM r),
-b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-  'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || {crlf} || coalesce(links, '') AS body FROM m
-  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM m)
-SELECT page_id, record_type, {uuid("concat_ws('|', record_type, refers_to)")} AS record_id, refers_to, target_uri, '{DATE}' AS date, content_type,
-  strlen(body)::BIGINT AS content_length, 'sha256:' || sha256(body) AS block_digest, '{SOURCE_TYPE}' AS source_content_type, source_payload_digest, body
-FROM b
-""".replace("list_aggregate(list_transform_(payload), 'string_agg', '')", f"(SELECT string_agg('outlink: ' || x || ' L a/@href' || {crlf}, '' ORDER BY i) FROM (SELECT {link} AS x, unnest(range(len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref=\"([^\"]*)\"', 1)))) AS i))")
-
-
-OP1_SQL = _sql()
+h AS (SELECT *, sha256(payload) AS digest, md5(concat_ws('|', 'response', coalesce(page_id::VARCHAR, ''), target_uri, sha256(payload))) AS m FROM p),
+r AS (SELECT *, '<urn:uuid:' || concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)) || '>' AS refers_to,
+  chr(13) || chr(10) AS crlf, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) || chr(13) || chr(10) || chr(13) || chr(10) AS source_headers FROM h),
+l AS (SELECT page_id, digest, target_uri, list_transform(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1), lambda x:
+  'outlink: ' || replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') || ' L a/@href' || chr(13) || chr(10)) AS links,
+  regexp_extract(payload, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) AS lang, regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '<[^>]*>', '', 'g') AS title,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?is)<head\b.*?</head\s*>', '', 'g') AS visible, * EXCLUDE (page_id, digest, target_uri) FROM r),
+b AS (SELECT *, regexp_replace(regexp_replace(visible, '(?i)</?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|body|html)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS bare FROM l),
+e AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(bare, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS plain,
+  replace(replace(replace(replace(replace(replace(replace(title, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS heading FROM b),
+o AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, 'title: ' || regexp_replace(heading, '\s+', ' ', 'g') || crlf || 'language: ' || lang || crlf || coalesce(array_to_string(links, ''), '') AS body FROM e
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', regexp_replace(regexp_replace(regexp_replace(plain, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') FROM e),
+n AS (SELECT *, md5(concat_ws('|', record_type, refers_to)) AS k, 'sha256:' || sha256(body) AS block_digest FROM o),
+d AS (SELECT *, '<urn:uuid:' || concat_ws('-', substr(k, 1, 8), substr(k, 9, 4), substr(k, 13, 4), substr(k, 17, 4), substr(k, 21, 12)) || '>' AS record_id FROM n)
+SELECT page_id, record_type, record_id, refers_to, target_uri, '1970-01-01T00:00:00Z' AS date, content_type, strlen(body)::BIGINT AS content_length, block_digest, 'text/html; charset=utf-8' AS source_content_type, source_headers,
+  'sha256:' || digest AS source_payload_digest, body, sha256('WARC/1.1' || crlf || 'WARC-Type: ' || record_type || crlf || 'WARC-Record-ID: ' || record_id || crlf || 'WARC-Date: 1970-01-01T00:00:00Z' || crlf || 'WARC-Target-URI: ' || target_uri || crlf ||
+  'WARC-Refers-To: ' || refers_to || crlf || 'WARC-Refers-To-Target-URI: ' || target_uri || crlf || 'WARC-Refers-To-Date: 1970-01-01T00:00:00Z' || crlf || 'WARC-Block-Digest: ' || block_digest || crlf || 'X-Source-Payload-Digest: sha256:' || digest || crlf ||
+  'Content-Type: ' || content_type || crlf || 'Content-Length: ' || strlen(body) || crlf || 'X-Source-Status: HTTP/1.1 200 OK' || crlf || 'X-Source-Content-Type: text/html; charset=utf-8' || crlf || 'X-Source-Content-Length: ' || strlen(payload) || crlf ||
+  crlf || body || crlf || crlf) AS record_sha256
+FROM d
+"""

@@ -401,7 +401,38 @@ def test_op5_neighbours(spark, tmp_path, rows):
         nxt = ordered[(i + 1) % len(ordered)][1]
         k = len(t) // 3
         assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest() and got[d].n_chars == len(t)
-        assert 0 <= got[d].near_edited <= 1 and 0 <= got[d].near_next <= 1
+    sketch_of = lambda x: {x[i : i + 16] for i in range(0, len(x), 16)}
+
+    def near(x, y, equal):
+        return len(x & y) / len(x | y) if x | y else float(equal)
+
+    for i, (d, t) in enumerate(ordered):
+        follower, nxt = ordered[(i + 1) % len(ordered)]
+        k = len(t) // 3
+        own, edited = sketch_of(got[d].fingerprint), sketch_of(got[d].edited_fingerprint)
+        assert got[d].near_edited == near(own, edited, t == t[: len(t) - k] + nxt[:k])
+        assert got[d].near_next == near(own, sketch_of(got[follower].fingerprint), t == nxt)
+
+
+def test_op5_sketches_are_the_small_hashes_of_shingles(spark):
+    """A text's fingerprint is the union of those of its five-word pieces, each of one shingle."""
+    r = random.Random(9)
+    words = [f"w{r.randrange(60)}" for _ in range(400)]
+    pieces = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+    rows = [(0, " ".join(words)), *((i + 1, x) for i, x in enumerate(pieces)), (9999, None), (10000, ""), (None, "a b c d e f")]
+    got = {x.doc_id: x.sketch for x in sketch.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    parts = [set(got[i + 1]) for i in range(len(pieces))]
+    assert set(got[0]) == set().union(*parts) and all(len(p) <= 1 for p in parts) and got[9999] == got[10000] == []
+    kept = len({pieces[i] for i, p in enumerate(parts) if p}) / len(set(pieces))
+    assert abs(kept - 1 / sketch.ONE_OF) < 0.06
+
+
+def test_op5_odd_tables(spark, tmp_path):
+    kind = "doc_id long, text string, fingerprint string, _bucket int"
+    spark.createDataFrame([(None, "x y z", "c", 1), (None, None, "c", 1), (1, "a", "c", 1), (1, "a", "c", 1), (2, "b " * 40_000, "c", 1)], kind).write.parquet(f"{tmp_path}/some/documents.parquet")
+    assert sorted((x.doc_id or 0, x.n_chars) for x in sketch.op5_document_fingerprints(spark, f"{tmp_path}/some").collect()) == [(0, 0), (0, 5), (1, 1), (1, 1), (2, 80_000)]
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sketch.op5_document_fingerprints(spark, f"{tmp_path}/none").collect() == []
 
 
 def test_quality_classifier(spark):
@@ -452,6 +483,83 @@ def test_url_rules_and_templates(spark):
     assert url_filter.filter_urls(frame.limit(0)).collect() == []
 
 
+def judged(urls, rules):
+    """The verdict and purity of each (host, path) by the method, in plain Python."""
+    action = {}
+    for hp in set(urls):
+        fit = [(len(rule), rule, a) for a, rule in rules if (hp[0] == rule.split("/", 1)[0] or hp[0].endswith("." + rule.split("/", 1)[0])) and hp[1].startswith("/" + rule.split("/", 1)[1])]
+        action[hp] = max(fit)[2] if fit else None
+
+    def shape(x):
+        if re.fullmatch(r"\d{4}-\d\d-\d\d", x):
+            return "{date}"
+        if re.fullmatch(r"\d+", x):
+            return "{n}"
+        if m := re.fullmatch(r"\d+\.([A-Za-z]{1,5})", x):
+            return "{n}." + m[1]
+        return "{hex}" if re.fullmatch(r"[0-9a-fA-F]{8,}", x) else "{id}" if re.search(r"\d{3,}", x) else None
+
+    n = {hp: urls.count(hp) for hp in action}
+    tokens = {hp: [] for hp in action}
+    for i in range(max(len(p.split("/")) for _, p in action)):
+        values = defaultdict(lambda: defaultdict(int))
+        parts = {hp: [x for x in hp[1].split("/") if x] for hp in action}
+        for hp, own in parts.items():
+            if len(own) > i and shape(own[i]) is None:
+                values[hp[0], tuple(tokens[hp])][own[i]] += n[hp]
+        wild = {k for k, v in values.items() if len(v) > 12 and len(v) > 0.05 * sum(v.values())}
+        for hp, own in parts.items():
+            if len(own) > i:
+                tokens[hp] = [*tokens[hp], shape(own[i]) or ("*" if (hp[0], tuple(tokens[hp])) in wild else own[i])]
+    total = defaultdict(lambda: [0, 0])
+    own, family = {}, {}
+    for hp, t in tokens.items():
+        literal = [i for i, x in enumerate(t) if not (x.startswith("{") or x == "*")]
+        own[hp] = (hp[0], "/".join(t))
+        family[hp] = (hp[0], "/".join("*" if literal and i == literal[-1] else x for i, x in enumerate(t)))
+        for key in (("own", family[hp], own[hp]), ("family", family[hp]), ("host", hp[0]), ("all",)):
+            total[key][0] += n[hp] * (action[hp] == "block")
+            total[key][1] += n[hp] * (action[hp] is not None)
+    smooth = lambda key, above: (total[key][0] + 4.0 * above) / (total[key][1] + 4.0)
+    merged, groups = {}, defaultdict(lambda: [0, 0])
+    for hp in tokens:
+        (b, m), (fb, fm) = total["own", family[hp], own[hp]], total["family", family[hp]]
+        share, every = (b + 0.5) / (m + 1), (fb + 0.5) / (fm + 1)
+        alike = abs(share - every) <= 2.0 * (every * (1 - every) * (1 / (m + 1) + 1 / (fm + 1))) ** 0.5
+        merged[hp] = (family[hp], family[hp] if alike else own[hp])
+        groups[merged[hp]][0] += n[hp] * (action[hp] == "block")
+        groups[merged[hp]][1] += n[hp] * (action[hp] is not None)
+    base = (total["all",][0] + 1) / (total["all",][1] + 2)
+    out = {}
+    for hp in tokens:
+        fam, template = merged[hp]
+        host = smooth(("host", hp[0]), base)
+        level = host if template == fam else smooth(("family", fam), host)
+        purity = (groups[merged[hp]][0] + 4.0 * level) / (groups[merged[hp]][1] + 4.0)
+        out[hp] = (action[hp] or ("block" if purity >= 0.5 else "allow"), purity)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_templates_by_brute_force(spark, seed):
+    r = random.Random(seed)
+    hosts = [f"h{i}.{z}" for i in range(4) for z in ("org", "net")]
+    bits = ["news", "shop", "a", "b", "2024-01-02", "77", "7.html", "deadbeef99", "x123y"]
+    urls = []
+    for _ in range(900):
+        path = [r.choice(bits) if r.random() < 0.8 else "".join(r.choice("pqrs") for _ in range(3)) for _ in range(r.randint(0, 4))]
+        urls.append((r.choice(hosts), "/" + "/".join(path)))
+    urls += r.choices(urls, k=200)
+    rules = [("block", "net/news/"), ("allow", "h1.net/news/a"), ("allow", "org/shop/"), ("block", "h2.org/a/"), ("allow", "h3.org/")]
+    frame = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    got = {x.page_id: x for x in url_filter.filter_urls(frame, rules=rules).collect()}
+    want = judged(urls, rules)
+    assert len(got) == len(urls) and {v for v, _ in want.values()} == {"allow", "block"}
+    for i, hp in enumerate(urls):
+        assert (got[i].host, got[i].path) == hp and got[i].verdict == want[hp][0]
+        assert abs(got[i].purity - want[hp][1]) < 1e-9
+
+
 def test_url_templates_without_labels(spark):
     """Unlabelled branches take the purity of their family or host, and places below a wildcard are one place."""
     urls = [f"http://bad.org/{a}/p{i}" for a in ("x", "y", "z") for i in range(4)] + [f"http://good.org/{a}/p{i}" for a in ("x", "y", "z") for i in range(4)]
@@ -463,27 +571,30 @@ def test_url_templates_without_labels(spark):
     assert len({x.template for x in got.values() if x.host == "deep.org"}) == 1 and len({x.template for x in got.values() if x.host == "wide.org"}) == 1
 
 
+FOLLOWS = {"start": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user", "tool"}, "tool": {"assistant"}}
+KNOWN = {"human": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "function": "tool", **{r: r for r in ("system", "user", "assistant", "tool")}}
+TO_END = {"start": 0, "system": 6, "user": 3, "assistant": 0, "tool": 3}  # empty turns until an assistant's
+
+
 def cheapest(roles):
-    best = {0: 0}
+    best = {"start": 0}
     for role in roles:
-        own = chat._role(role)
-        reach, more = dict(best), True
-        while more:
-            more = False
+        own = KNOWN.get((role or "").strip().lower())
+        reach = dict(best)
+        for _ in range(5):
             for s, cost in list(reach.items()):
-                for t in (chat.STATES.index(x) for x in chat.LEGAL[chat.STATES[s]]):
-                    if cost + chat.INSERT < reach.get(t, 1 << 30):
-                        reach[t], more = cost + chat.INSERT, True
+                for t in FOLLOWS[s]:
+                    reach[t] = min(reach.get(t, 1 << 30), cost + 3)
         after = {}
         for s, cost in reach.items():
-            for t in range(1, len(chat.STATES)):
-                label = 0 if chat.STATES[t] == own else chat.RELABEL if own else chat.RELABEL_UNKNOWN
-                if chat.STATES[t] in chat.LEGAL[chat.STATES[s]]:
+            for t in ("system", "user", "assistant", "tool"):
+                label = 0 if t == own else 2 if own else 1
+                if t in FOLLOWS[s]:
                     after[t] = min(after.get(t, 1 << 30), cost + label)
                 if t == s:
-                    after[t] = min(after.get(t, 1 << 30), cost + label + chat.MERGE)
+                    after[t] = min(after.get(t, 1 << 30), cost + label + 1)
         best = after
-    return min(cost + int(chat._END_COST[s]) for s, cost in best.items())
+    return min(cost + TO_END[s] for s, cost in best.items())
 
 
 def test_role_repair_is_cheapest():
@@ -510,7 +621,7 @@ def test_chats_in_chunks(spark, monkeypatch):
         got[x.conv_id].append(x)
     for c in (1, 2, None, 3):
         own = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] or ""))
-        parts = sorted(got[c], key=lambda x: (-1 if x.turn is None else x.turn // 4, x.position))
+        parts = sorted(got[c], key=lambda x: (x.chunk, x.position))
         assert [(x.role, x.text) for x in parts if x.action != "insert"] == [(x[2], x[3] or "") for x in own]
         text = "".join(x.rendered for x in parts)
         assert text.count("<|end|>") == sum(x.action != "merge" for x in parts) and text.endswith("<|end|>\n")
@@ -538,3 +649,17 @@ def test_warc_records(spark):
         assert x.block_digest == "sha256:" + hashlib.sha256(x.body.encode()).hexdigest() and x.content_length == len(x.body.encode())
         assert f"WARC-Refers-To: {x.refers_to}\r\n" in x.record and x.record.endswith(f"\r\n\r\n{x.body}\r\n\r\n")
     assert got[2, "conversion"].body == "" and text.record_id != meta.record_id
+    assert f"X-Source-Status: HTTP/1.1 200 OK\r\nX-Source-Content-Type: text/html; charset=utf-8\r\nX-Source-Content-Length: {len(html)}\r\n\r\n" in text.record and text.source_headers == source[1].http_headers
+
+
+def test_warc_source_headers_and_odd_tables(spark):
+    headers = "HTTP/1.1 404 Not Found\r\nServer: x\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n"
+    made = warc.responses(spark.createDataFrame([(1, "u", "<p>" + "word " * 60_000), (1, "u", "<p>" + "word " * 60_000), (2, "v", "")], "page_id long, url string, html string"))
+    given = made.withColumn("http_headers", F.when(F.col("page_id") == 1, headers))
+    rows = warc.derive(given).collect()
+    assert len(rows) == 6
+    for x in rows:
+        block = x.record.split("\r\n\r\n", 1)[0]
+        assert ("X-Source-Status: HTTP/1.1 404 Not Found\r\nX-Source-Server: x\r\nX-Source-Set-Cookie: a=1\r\nX-Source-Set-Cookie: b=2" in block) == (x.page_id == 1)
+        assert (x.source_headers is None) == (x.page_id == 2) and f"Content-Length: {len(x.body.encode())}" in block
+    assert warc.derive(made.limit(0)).collect() == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandlog.llm import jaccard_join, quality
@@ -69,6 +70,31 @@ def test_near_dedup_keeps_unlike_rows_of_one_id(spark, tmp_path):
     assert got == sorted([*rows[:5], (5, base + " x"), (None, base), (9, "alone")], key=order)
 
 
+def test_every_stage_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated ids and rows, and columns with the names that the operators use."""
+    write(spark, tmp_path)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7)))
+    long = " ".join(word() for _ in range(60_000))
+    plain = [" ".join(word() for _ in range(80)) + "." for _ in range(4)]
+    rows = [(None, plain[0]), (None, None), (1, None), (1, ""), (1, plain[1]), (1, plain[1]), (2, plain[2]), (2, plain[3]), (3, long), (4, long + " more"), (5, "   \n"), (6, "é漢 😀")]
+    clash = ["score", "statistics", "component_id", "n_shingles", "_mark", "spans", "kept", "n_removed", "_block", "_row", "_words", "ids"]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("x"))
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and (name == "tokens" or len(out.columns) == len(docs.columns))
+        got[name] = out.collect()
+        assert all(x[c] == "x" for x in got[name] for c in clash)
+    assert {(x.doc_id, x.text) for x in got["quality"]} <= set(rows)
+    near = sorted((str(x.doc_id), x.text or "") for x in got["near_dedup"])
+    assert near == sorted((str(d), t or "") for d, t in [(None, plain[0]), (None, None), (1, None), (1, ""), (1, plain[1]), (2, plain[2]), (2, plain[3]), (3, long), (5, "   \n"), (6, "é漢 😀")])
+    cut = {(x.doc_id, x.text) for x in got["substring"]}
+    assert (4, "more") in cut and (3, long) in cut and len(got["substring"]) == len(rows) == len(got["contamination"]) == len(got["tokens"])
+
+
 def test_statistics_are_finite():
     x = quality.statistics([b"", b"a", b"\n\n", b"word " * 100, "é漢 😀".encode()])
     assert x.shape == (5, len(quality.FEATURES)) and np.isfinite(x).all()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.text import c, level_ordinal
+from strandlog.operators.carry import near_rows
 
 # -- aggregates ------------------------------------------------------------------
 
@@ -184,13 +185,17 @@ def row_thresholds(spectrum: DataFrame) -> DataFrame:
 
 
 def acceleration(messages: DataFrame, key: list[str], time: str = "log_time", line: str = "file_line", back: int = 4) -> DataFrame:
-    """rate_change: how the last gap compares with the range of the last few, from -1 (much shorter) to 1."""
-    w = Window.partitionBy(*key).orderBy(time, line)
+    """rate_change: how the last gap compares with the range of the last few, from -1 (much shorter) to 1.
+
+    time and line order a key's rows, which are worked off in blocks.
+    """
+    w = Window.partitionBy(*key, "_block").orderBy("_n")
     gap = (micros(time) - F.lag(micros(time)).over(w)) / 1e6
-    rows = messages.withColumn("_gap", gap)
+    rows = near_rows(messages, key, [time, line], before=back + 1).withColumn("_gap", gap)
     few = w.rowsBetween(-back, 0)
     low, high = F.min("_gap").over(few), F.max("_gap").over(few)
-    return rows.withColumn("rate_change", (F.avg("_gap").over(few) - F.col("_gap")) / F.greatest(high - low, F.lit(5.0))).drop("_gap")
+    out = rows.withColumn("rate_change", (F.avg("_gap").over(few) - F.col("_gap")) / F.greatest(high - low, F.lit(5.0)))
+    return out.where("_own").drop("_gap", "_n", "_block", "_own")
 
 
 # -- reports ---------------------------------------------------------------------------

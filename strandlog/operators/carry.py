@@ -73,3 +73,16 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     out = ranges.withColumn("_own", own).join(counts.select("_range", before.alias("_before")), "_range")
     return out.select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
+def near_rows(df: DataFrame, key: list[str], order: list[str], before: int = 0, after: int = 0, block: int = BLOCK) -> DataFrame:
+    """df with _n (the row's place among all rows by key and order), _block and _own, and so many rows around each block once more.
+
+    A window over (key, _block) by _n then sees, for rows with _own, the same neighbours as one over the whole key would,
+    up to `before` and `after` rows away; blocks hold at most `block` rows besides those, however many a key has.
+    """
+    rows = numbered(df, [*key, *order], "_n")
+    at, place = F.floor(F.col("_n") / block), F.col("_n") % block
+    also = F.array(at, F.when(place >= block - before, at + 1), F.when(place < after, at - 1))
+    copies = rows.withColumn("_block", F.explode(F.filter(also, lambda x: x.isNotNull())))
+    return copies.withColumn("_own", F.col("_block") == at)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.text import LEVELS, c, level_ordinal
-from strandlog.operators.carry import carry, previous
+from strandlog.operators.carry import carry, near_rows, numbered, previous
 
 PATH, LINE = "log_path", "file_line"
 
@@ -169,15 +169,20 @@ def write_back(messages: DataFrame, changes: DataFrame, key: list[str], columns:
 
 
 def following(messages: DataFrame, key: list[str], order: list[str], name: str, value: Column, rows: int) -> DataFrame:
-    """`name`: the values (not null) of the next so many rows of the key: a join on a range of lines without a join."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(1, rows)
-    return messages.withColumn(name, F.collect_list(value).over(w))
+    """`name`: the values (not null) of the next so many rows of the key: a join on a range of lines without a join.
+
+    order makes a key's rows unique. A key's rows are worked off in blocks.
+    """
+    w = Window.partitionBy(*key, "_block").orderBy("_n").rowsBetween(1, rows)
+    out = near_rows(messages.withColumn("_v", value), key, order, after=rows).withColumn(name, F.collect_list("_v").over(w))
+    return out.where("_own").drop("_v", "_n", "_block", "_own")
 
 
 def next_match(messages: DataFrame, key: list[str], order: list[str], name: str, value: Column) -> DataFrame:
-    """`name`: the first value that isn't null in the rows after this one."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return messages.withColumn(name, F.first(value, ignorenulls=True).over(w))
+    """`name`: the first value that isn't null in the rows after this one, carried back from block to block."""
+    rows = numbered(messages.withColumn("_v", value), [*key, *order], "_n").withColumn("_back", -F.col("_n"))
+    rows = carry(rows, key, "_back", _next=("last", F.col("_v")))
+    return previous(rows, key, "_back", "_next", name).drop("_v", "_n", "_back", "_next")
 
 
 def level_counts() -> list[Column]:

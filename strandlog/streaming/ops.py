@@ -83,7 +83,8 @@ def assemble(lines: DataFrame, start: str, idle_ms: int | None = None, path: str
         state.update((line, text))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[path, order, value])
+        if out:
+            yield pd.DataFrame(out, columns=[path, order, value])
 
     schema = f"{path} string, {order} long, {value} string"
     return lines.select(path, order, value).groupBy(path).applyInPandasWithState(run, schema, f"{order} long, {value} string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)

@@ -140,6 +140,26 @@ def test_numbered(spark):
     assert [r.place for r in got] == list(range(1, 1001)) and [(r.x, r.i) for r in got] == sorted((r.x, r.i) for r in got)
 
 
+def test_blocks_see_the_same_neighbours(spark, monkeypatch):
+    """Small blocks against windows over whole keys."""
+    import functools
+
+    from pyspark.sql import Window
+
+    from strandlog.operators import carry
+
+    rows = spark.createDataFrame([(i % 3 if i % 7 else 0, (i * 37) % 100, i, i if i % 4 == 0 else None) for i in range(200)], "k long, t long, i long, v long").repartition(3)
+    w = Window.partitionBy("k").orderBy("t", "i")
+    near = carry.near_rows(rows, ["k"], ["t", "i"], before=3, after=2, block=10)
+    inner = Window.partitionBy("k", "_block").orderBy("_n").rowsBetween(-3, 2)
+    got = {r.i: r.x for r in near.withColumn("x", F.collect_list("i").over(inner)).where("_own").collect()}
+    assert got == {r.i: r.x for r in rows.withColumn("x", F.collect_list("i").over(w.rowsBetween(-3, 2))).collect()}
+    monkeypatch.setattr(M, "carry", functools.partial(carry.carry, block=10))
+    monkeypatch.setattr(M, "previous", functools.partial(carry.previous, block=10))
+    got = {r.i: r.x for r in M.next_match(rows, ["k"], ["t", "i"], "x", F.col("v")).collect()}
+    assert got == {r.i: r.x for r in rows.withColumn("x", F.first("v", True).over(w.rowsBetween(1, Window.unboundedFollowing))).collect()}
+
+
 def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     class Far:
         conf = type("C", (), {"get": staticmethod(lambda *_: None)})

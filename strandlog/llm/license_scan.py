@@ -1,18 +1,21 @@
 """License scans: a positional rare-token index.
 
-A first pass counts over all documents in how many each licence word stands, which gives the words' IDF. In the scan
-each file's licence words are looked up by falling IDF: a template is tried where its rarest word stands, and the
-postings of its other words are intersected by their place relative to that word. The IDF-weighted share in place
-scores the match; from MATCH on, the template's mandatory key phrases must stand word for word at their places.
+A first pass counts over all documents in how many each licence word stands, which gives the words' IDF. In the scan the
+licence words of a file are looked up by falling IDF: the templates whose rarest mandatory word it is are tried where it
+stands, and the postings of their other words are intersected by their place relative to that word. The IDF-weighted
+share in place scores a match; from MATCH on, the mandatory key phrases must stand word for word at their places.
 
 Base phrases are templates whose key phrase is the whole text, so every place where they stand is found.
 
-Defined results: a null text counts as empty; without a match labels are empty strings, places null, the score 0.
+Defined results: a null text counts as empty; without a match labels are empty strings and places null. The score is the
+largest share of a template in place, whether or not it is a match, and 0 if no template has over half in place.
 Other columns pass unchanged; columns named like the operator's own are replaced. Memory: a few MB of texts.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,12 @@ def _whole(label: str, text: str, base: bool = False) -> Template:
     return Template(label, text, (text,), base)
 
 
+def _notice(label: str, text: str, *keys: str) -> Template:
+    """A longer notice, as it is printed."""
+    plain = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+    return Template(label, plain(text), tuple(map(plain, keys)))
+
+
 # The phrases that the scan must label, then those of its own.
 TEMPLATES = (
     _whole("mit", "under the mit license", True),
@@ -54,6 +63,45 @@ TEMPLATES = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("free of charge to any person obtaining a copy",)),
     Template("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    _notice(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "to deal in the software without restriction",
+        "the software is provided as is",
+    ),
+    _notice(
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "you may not use this file except in compliance with the license",
+    ),
+    _notice(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution.",
+        "redistributions of source code must retain the above copyright notice",
+        "redistributions in binary form must reproduce the above copyright notice",
+    ),
+    _notice(
+        "gpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "gnu general public license as published by the free software foundation either version 3",
+    ),
+    _notice(
+        "gpl-2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "gnu general public license as published by the free software foundation either version 2",
+    ),
+    _notice(
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+        "any purpose, including commercial applications, and to alter it and redistribute it freely.",
+        "to alter it and redistribute it freely",
+    ),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 
@@ -123,6 +171,10 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str
     index = Index(templates)
     total, frequencies = word_frequencies(docs, templates, text)
     idf = np.array([np.log((1 + total) / (1 + frequencies[w])) + 1 for w in index.names])
+    anchored: dict[int, list[tuple]] = defaultdict(list)
+    for t, own, must in zip(templates, index.codes, index.keys):
+        rare = int(np.argmax(np.where(must, idf[own], -1)))
+        anchored[int(own[rare])].append((t, own, must, rare))
     names = [c for c in docs.columns if c not in _OUT]
     schema = T.StructType([*docs.select(*names).schema.fields, *(T.StructField(k, v) for k, v in _OUT.items())])
 
@@ -134,12 +186,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str
         owner = np.searchsorted(words.first, postings, "right") - 1
         of = dict(zip(postings.tolist(), owner.tolist()))
         found: list[list[tuple]] = [[] for _ in texts]
-        for t, own, must in zip(templates, index.codes, index.keys):
-            weight = idf[own] / idf[own].sum()
-            rare = int(np.argmax(np.where(must, idf[own], -1)))
-            at = by_word.get(int(own[rare]))
-            if at is None:
-                continue
+        for word, (t, own, must, rare) in ((w, x) for w in sorted(by_word, key=lambda w: -idf[w]) for x in anchored.get(w, ())):
+            at, weight = by_word[word], idf[own] / idf[own].sum()
             text_at = np.array([of[p] for p in at.tolist()])
             lo, hi = words.first[text_at], words.first[text_at + 1]
             share, keys = np.zeros(len(at)), np.ones(len(at), bool)

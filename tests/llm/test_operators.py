@@ -350,9 +350,31 @@ def test_license_scan(spark):
         assert (x.first_word, x.last_word) == (min((h[0] for h in hits), default=None), max((h[0] for h in hits), default=None))
         assert 0 <= x.score <= 1
     assert got[6].labels == "gpl-3" and got[1].labels == "mit"
+    assert got[3].score == 0 and got[8].score == 0 and 0.5 < got[4].score < 1 and got[4].labels == ""
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_license_notices_as_printed(spark):
+    """Whole notices among other words, with some words changed; a notice without its key phrases is none; repeated rows."""
+    notices = [t for t in license_scan.TEMPLATES if len(t.text.split()) > 30]
+    assert len(notices) >= 6
+    rows = []
+    for i, t in enumerate(notices):
+        words = t.text.split()
+        free = [j for j, must in enumerate(license_scan.Index((t,)).keys[0]) if not must]
+        changed = list(words)
+        for j in free[:: max(6, len(free) // 4)]:
+            changed[j] = "xxx"
+        broken = [w if j in set(free) else "yyy" for j, w in enumerate(words)]
+        rows += [(3 * i, "// before\n" + " ".join(w.upper() for w in words) + " after"), (3 * i + 1, "before " + ", ".join(changed)), (3 * i + 2, " ".join(broken))]
+    got = {x.doc_id: x for x in license_scan.scan(spark.createDataFrame(rows + rows[:1], "doc_id long, text string")).collect()}
+    for i, t in enumerate(notices):
+        long = [m for m in got[3 * i].matches if m.stop - m.start == len(t.text.split())]
+        assert t.label in got[3 * i].labels.split(",") and [(m.label, m.start, m.share) for m in long] == [(t.label, 1, pytest.approx(1.0))]
+        assert any(m.label == t.label and m.start == 1 for m in got[3 * i + 1].matches)
+        assert not any(m.stop - m.start == len(t.text.split()) for m in got[3 * i + 2].matches)
+
+
 def test_contained_items(spark):
     r = random.Random(4)
     words = [f"v{i}" for i in range(300)]

@@ -85,10 +85,15 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     n = min(MOST_BUCKETS, max(1, math.ceil(size / BUCKET_BYTES)))
     borders = rows.agg(F.percentile_approx("_order", [i / n for i in range(1, n)] or [0.5], 100_000).alias("x")).first()["x"] or []
     borders = sorted(set(borders)) if n > 1 else []
-    bucket = F.lit(len(borders)).cast("int")
-    if borders:
-        found = F.array_size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col("_order")))
-        bucket = (F.lit(len(borders)) - found).cast("int")
+    bucket = F.lit(0)
+    if borders:  # first among groups of borders, then within one
+        step = math.isqrt(len(borders)) + 1
+        groups = [borders[i : i + step] for i in range(0, len(borders), step)]
+        below = lambda xs: F.array_size(F.filter(xs, lambda x: x < F.col("_order")))
+        group = below(F.array(*(F.lit(g[-1]) for g in groups)))
+        inside = F.coalesce(F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), group), F.array().cast("array<bigint>"))
+        bucket = F.lit(len(borders)) - F.least(group * step + below(inside), F.lit(len(borders)))
+    bucket = bucket.cast("int")
     rows = rows.withColumn("_bucket", bucket)
     heads = sorted((r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.max("_order").alias("head")).collect())
     if not heads:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlog.functions.text import c, level_ordinal
+from strandlog.functions.text import c, humanize_duration, level_ordinal
 from strandlog.operators.carry import near_rows
 
 # -- aggregates ------------------------------------------------------------------
@@ -76,6 +76,20 @@ def sum_object(df: DataFrame, keys: list[str], name: str, key: str, value: str)
     return object_of(df, keys, name, key, F.sum(value))
 
 
+def partial_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, sum, squares, extremes and a sketch of distinct values of each group: rows that can be merged later."""
+    v = F.col(value)
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.min(v).alias("low"), F.max(v).alias("high"), F.hll_sketch_agg(v.cast("string")).alias("sketch"))
+
+
+def merge_statistics(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics of groups from those of their parts."""
+    out = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("low").alias("low"), F.max("high").alias("high"), F.hll_union_agg("sketch").alias("sketch"))
+    mean = F.col("s") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("n") * mean * mean, F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1)))
+    return out.select(*keys, "n", "s", "low", "high", mean.alias("mean"), spread.alias("stdev"), F.hll_sketch_estimate("sketch").alias("about_distinct"))
+
+
 def column_statistics(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     aggs = []
     for x in columns:
@@ -202,8 +216,10 @@ def acceleration(messages: DataFrame, key: list[str], time: str = "log_time", li
 
 
 def summarize(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Text columns become group keys with a count, numeric ones a block of aggregates."""
+    """Text columns become group keys with a count, numeric ones a block of aggregates; rows of partitions named .something go."""
     kinds = dict(df.dtypes)
+    if "log_part" in kinds:
+        df = df.where(F.coalesce(~F.col("log_part").startswith("."), F.lit(True)))
     keys = [x for x in columns if kinds[x] == "string"]
     aggs = [F.count("*").alias("count")]
     for x in columns:
@@ -293,9 +309,10 @@ def schema_id(text: Column | str) -> Column:
 
 
 def format_summary(messages: DataFrame, body: str = "log_body", time: str = "log_time") -> DataFrame:
-    """Templates of more than one message: total, first and last time."""
-    out = messages.groupBy(template(body).alias("format")).agg(F.count("*").alias("total"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
-    return out.where("total > 1")
+    """Templates of more than one message: total, first and last time and the length between, and the log formats, where told."""
+    kinds = [F.array_sort(F.collect_set("log_format")).alias("log_formats")] if "log_format" in messages.columns else []
+    out = messages.groupBy(template(body).alias("format")).agg(F.count("*").alias("total"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), *kinds)
+    return out.where("total > 1").withColumn("length", humanize_duration((micros("last_time") - micros("first_time")) / 1e6))
 
 
 def fields_of(text: Column | str) -> Column:
@@ -320,9 +337,16 @@ def url_parts(url: Column | str) -> Column:
     u = c(url)
     part = lambda name, *key: F.try_parse_url(u, F.lit(name), *map(F.lit, key))
     authority = F.regexp_extract(u, r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    pairs = F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda p: p != "")
+    decoded = lambda x: F.try_url_decode(x)
+    entry = lambda p: F.struct(decoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), F.when(p.contains("="), decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1))).alias("v"))
+    named = F.filter(F.transform(pairs, entry), lambda e: e["k"].isNotNull())
+    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"]))
     return F.struct(
-        part("PROTOCOL").alias("scheme"), F.nullif(F.regexp_extract(authority, r"^([^:@]*)(?::[^@]*)?@", 1), F.lit("")).alias("username"), part("HOST").alias("host"),
-        F.nullif(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("")).alias("port"), part("PATH").alias("path"), part("QUERY").alias("query"), part("REF").alias("fragment"),
+        part("PROTOCOL").alias("scheme"), F.nullif(F.regexp_extract(authority, r"^([^:@]*)(?::[^@]*)?@", 1), F.lit("")).alias("username"),
+        F.nullif(F.regexp_extract(authority, r"^[^:@]*:([^@]*)@", 1), F.lit("")).alias("password"), part("HOST").alias("host"),
+        F.nullif(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("")).alias("port"), part("PATH").alias("path"), part("QUERY").alias("query"),
+        F.to_json(F.map_from_entries(last), {"ignoreNullFields": "false"}).alias("parameters"), part("REF").alias("fragment"),
     )
 
 

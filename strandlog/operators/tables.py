@@ -166,6 +166,13 @@ def fuzzy_search(df: DataFrame, column: str, pattern: str, k: int) -> DataFrame:
     return rows.withColumn("score", F.pandas_udf(score, "long")(column)).orderBy(F.desc("score"), *df.columns).limit(k)
 
 
+def http_status_codes(spark) -> DataFrame:
+    """(status, message) of the registered HTTP statuses."""
+    from http import HTTPStatus
+
+    return spark.createDataFrame([(x.value, x.phrase) for x in HTTPStatus], "status int, message string")
+
+
 def annotate(messages: DataFrame, rules: Mapping[str, tuple[str, Column]]) -> DataFrame:
     """log_annotations: a map of the notes of the rules (condition, note) that a message meets."""
     entries = F.array(*(F.when(F.expr(cond), F.struct(F.lit(name).alias("k"), note.cast("string").alias("v"))) for name, (cond, note) in rules.items()))

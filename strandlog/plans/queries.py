@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlog.functions import text as X
 from strandlog.operators import analytics as A
 from strandlog.operators import messages as M
+from strandlog.operators import tables as T
 from strandlog.operators.carry import numbered
 from strandlog.plans.registry import query
 from strandlog.sources import formats, structured
@@ -200,8 +201,8 @@ def i25_duplicate_files(spark, sf_dir):
 
 @query("SELECT s.message, count(*) AS hits FROM (VALUES (200, 'OK'), (404, 'Not Found'), (500, 'Internal Server Error')) AS s(status, message) JOIN " + ACCESS + " ON sc_status = status GROUP BY 1")
 def i27_status_dimension(spark, sf_dir):
-    status = spark.createDataFrame([(200, "OK"), (404, "Not Found"), (500, "Internal Server Error")], "sc_status bigint, message string")
-    return access_log(spark, sf_dir).join(F.broadcast(status), "sc_status").groupBy("message").agg(F.count("*").alias("hits"))
+    log = access_log(spark, sf_dir)
+    return log.join(T.http_status_codes(spark), F.col("sc_status") == F.col("status")).groupBy("message").agg(F.count("*").alias("hits"))
 
 
 @query("SELECT event_id, event_type AS text FROM events")
@@ -374,10 +375,15 @@ def w9_set_operations(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
-@query("WITH RECURSIVE t(n, s) AS (SELECT count(*), 1 FROM region UNION ALL SELECT n, s + 1 FROM t WHERE s < n) SELECT s::BIGINT AS step FROM t")
+@query("WITH RECURSIVE d AS (SELECT date_trunc('day', min(ts)) AS day, date_trunc('day', max(ts)) AS last FROM events UNION ALL SELECT day + INTERVAL 1 DAY, last FROM d WHERE day < last) SELECT strftime(day, '%Y-%m-%d') AS day, count(e.event_id) AS errors FROM d LEFT JOIN events e ON date_trunc('day', e.ts) = d.day AND e.event_type = 'error' GROUP BY 1")
 def w10_recursive_query(spark, sf_dir):
-    table(spark, sf_dir, "region").createOrReplaceTempView("region_rows")
-    return spark.sql("WITH RECURSIVE t(n, s) AS (SELECT count(*), 1 FROM region_rows UNION ALL SELECT n, s + 1 FROM t WHERE s < n) SELECT CAST(s AS BIGINT) AS step FROM t")
+    """Every day from the first event to the last, by recursion, and its errors."""
+    events(spark, sf_dir).createOrReplaceTempView("message_rows")
+    days = (
+        "WITH RECURSIVE d(day, last) AS (SELECT to_date(min(log_time)), to_date(max(log_time)) FROM message_rows UNION ALL SELECT date_add(day, 1), last FROM d WHERE day < last) "
+        "SELECT date_format(day, 'yyyy-MM-dd') AS day, count(event_id) AS errors FROM d LEFT JOIN message_rows ON to_date(log_time) = day AND event_type = 'error' GROUP BY 1"
+    )
+    return spark.sql(days)
 
 
 @query(f"SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE {LEVEL} WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END DESC, event_id) AS place FROM events")

@@ -18,7 +18,7 @@ from strandlog.operators import tables as T
 from strandlog.operators.shared import folder
 from strandlog.plans.queries import ACCESS, EVENTS, FMT, LEVEL, access_log, events, stamp, table
 from strandlog.plans.registry import query
-from strandlog.sources import formats, json_formats, structured
+from strandlog.sources import formats, json_formats, structured, times
 
 SECOND = f"strftime(date_trunc('second', ts), {FMT})"
 
@@ -531,3 +531,70 @@ def i1_text_scan(spark, sf_dir):
     rows = structured.read_lines(spark, path)
     files = rows.groupBy("log_path").agg(F.count("*").alias("n"), F.max("file_line").alias("last"), F.count_distinct("file_line").alias("kinds"))
     return files.agg(F.sum("n").alias("lines"), F.sum(F.abs(F.col("last") + 1 - F.col("n")) + F.abs(F.col("kinds") - F.col("n"))).cast("bigint").alias("gaps"))
+
+
+@query(f"SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'yyyy-MM-dd HH:mm:ss,SSS' WHEN 1 THEN 'dd/MMM/yyyy:HH:mm:ss XX' WHEN 2 THEN 'year MMM d HH:mm:ss' WHEN 3 THEN 'us' WHEN 4 THEN 'ms' WHEN 5 THEN 'MMM d HH:mm:ss yyyy' WHEN 6 THEN 'd MMM yyyy HH:mm:ss.SSS' ELSE 'tai64n' END AS layout, {SECOND} AS log_time FROM events")
+def i11_time_layouts(spark, sf_dir):
+    """Eight files, each with stamps of a layout of its own, which its first lines tell."""
+    e = events(spark, sf_dir)
+    at = lambda layout: F.date_format("log_time", layout)
+    micros = A.micros("log_time")
+    hexed = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    tai = F.concat(F.lit("@4"), hexed(F.floor(micros / 1_000_000) + 10, 15), hexed(F.pmod(micros, F.lit(1_000_000)) * 1000, 8))
+    stamps = [at("yyyy-MM-dd HH:mm:ss,SSS"), at("dd/MMM/yyyy:HH:mm:ss '+0000'"), at("MMM d HH:mm:ss"), micros.cast("string"), F.floor(micros / 1000).cast("string"), F.concat(F.lit("Mon "), at("MMM d HH:mm:ss yyyy")), F.concat(F.lit("Mon, "), at("dd MMM yyyy HH:mm:ss.SSS")), tai]
+    stamp_of = F.get(F.array(*stamps), (F.col("event_id") % 8).cast("int"))
+    lines = e.select("event_id", "log_path", F.floor(F.col("event_id") / 8).alias("file_line"), stamp_of.alias("stamp"))
+    return times.read_times(lines, "stamp", year=2024).select("event_id", "layout", second("log_time").alias("log_time"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, CASE WHEN page_id % 2 = 0 THEN 'u' END AS username, CASE WHEN page_id % 2 = 0 THEN 'p' END AS password, '{\"a b\":\"' || page_id || '\",\"c\":null,\"d\":\"2\"}' AS parameters FROM pages")
+def d13_url_credentials_and_parameters(spark, sf_dir):
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    user = F.when(F.col("page_id") % 2 == 0, "u:p@").otherwise("")
+    made = F.concat(F.lit("https://"), user, host, F.lit("/x?a%20b="), F.col("page_id").cast("string"), F.lit("&c&d=1&d=2"))
+    return table(spark, sf_dir, "pages").select("page_id", A.url_parts(made).alias("u")).select("page_id", "u.host", "u.username", "u.password", "u.parameters")
+
+
+@query(f"SELECT event_type || ' of user #' AS format, count(*) AS total, 'x,y' AS log_formats, CASE WHEN l >= 86400 THEN (l // 86400) || 'd' || lpad((l % 86400 // 3600)::VARCHAR, 2, '0') || 'h' || lpad((l % 3600 // 60)::VARCHAR, 2, '0') || 'm' END AS length FROM (SELECT *, (round((max(epoch_us(ts)) OVER w - min(epoch_us(ts)) OVER w) / 1e3)::BIGINT // 1000) AS l FROM events WINDOW w AS (PARTITION BY event_type)) GROUP BY event_type, l")
+def q6_message_formats(spark, sf_dir):
+    body = F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"))
+    log = events(spark, sf_dir).withColumns({"log_body": body, "log_format": F.when(F.col("event_id") % 2 == 0, "x").otherwise("y")})
+    return A.format_summary(log).select("format", "total", F.array_join("log_formats", ",").alias("log_formats"), "length")
+
+
+@query("SELECT event_type, count(value) AS n, round(sum(value), 4) AS s, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 4) AS stdev, true AS near FROM events GROUP BY 1")
+def a15_partial_and_final(spark, sf_dir):
+    """Statistics of each file and kind, merged over the files."""
+    e = events(spark, sf_dir)
+    merged = A.merge_statistics(A.partial_statistics(e, ["log_path", "event_type"], "value"), ["event_type"])
+    exact = e.groupBy("event_type").agg(F.count_distinct("value").alias("d"))
+    near = F.abs(F.col("about_distinct") - F.col("d")) <= 0.1 * F.col("d")
+    return merged.join(exact, "event_type").select("event_type", "n", F.round("s", 4).alias("s"), "low", "high", F.round("mean", 6).alias("mean"), F.round("stdev", 4).alias("stdev"), near.alias("near"))
+
+
+@query("SELECT event_type, true AS half, true AS most FROM (SELECT DISTINCT event_type FROM events)")
+def a14_quantiles(spark, sf_dir):
+    """The approximate quantiles lie within two hundredths of the ranks of the exact ones."""
+    e = table(spark, sf_dir, "events")
+    found = A.column_statistics(e, ["event_type"], ["value"]).select("event_type", "value_quantiles")
+    around = e.groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, (0.48, 0.52, 0.93, 0.97)))).alias("a"))
+    q, a = F.col("value_quantiles"), F.col("a")
+    return found.join(around, "event_type").select("event_type", q[0].between(a[0], a[1]).alias("half"), q[1].between(a[2], a[3]).alias("most"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY (user_id * 37) % 256, event_id) AS by_address, row_number() OVER (PARTITION BY event_type ORDER BY user_id % 40, event_id) AS by_name, row_number() OVER (PARTITION BY event_type ORDER BY (user_id % 9) * CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 1 END, event_id) AS by_size FROM events")
+def w6_collated_orders(spark, sf_dir):
+    """Addresses by number, names with digit runs by number, sizes with units by size."""
+    uid = F.col("user_id")
+    address = F.concat(F.lit("10.0.0."), (uid * 37 % 256).cast("string"))
+    name = F.concat(F.lit("File"), (uid % 40).cast("string"), F.lit(".log"))
+    size = F.concat((uid % 9).cast("string"), F.when(uid % 2 == 0, "KB").otherwise("B"))
+    place = lambda key: F.row_number().over(Window.partitionBy("event_type").orderBy(key, "event_id")).cast("bigint")
+    return table(spark, sf_dir, "events").select("event_id", place(X.ip_key(address)).alias("by_address"), place(X.natural_key(name, True)).alias("by_name"), place(X.measure(size)).alias("by_size"))
+
+
+@query("SELECT o_orderstatus, count(*) AS count, round(sum(o_totalprice), 2) AS sum_o_totalprice FROM orders WHERE o_orderkey % 3 > 0 GROUP BY 1")
+def q5_summary_without_dotted_partitions(spark, sf_dir):
+    part = F.when(F.col("o_orderkey") % 3 == 0, ".hidden").when(F.col("o_orderkey") % 3 == 1, "shown")
+    out = A.summarize(table(spark, sf_dir, "orders").withColumn("log_part", part), ["o_orderstatus", "o_totalprice"])
+    return out.select("o_orderstatus", "count", F.round("sum_o_totalprice", 2).alias("sum_o_totalprice"))

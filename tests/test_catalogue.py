@@ -17,7 +17,7 @@ from strandlog.operators import messages as M
 from strandlog.operators import shared
 from strandlog.operators import tables as T
 from strandlog.operators.carry import numbered
-from strandlog.sources import formats, json_formats, structured
+from strandlog.sources import formats, json_formats, structured, times
 
 
 def one(spark, *columns):
@@ -229,3 +229,29 @@ def test_attached_database(spark, tmp_path):
         pytest.skip(str(e)[:80])
     structured.attach(spark, "far", {"things": "things"}, source="jdbc", url=url, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert spark.sql("SELECT count(*) AS n FROM far_things").first().n == 2
+
+
+def test_time_layouts(spark):
+    stamps = {
+        "2024-01-02T03:04:05.123456Z": 123456, "2024-01-02T03:04:05.123Z": 123000, "2024-01-02T03:04:05Z": 0, "2024-01-02T05:04:05.123456+02:00": 123456, "2024-01-02T05:04:05+02:00": 0, "2024-01-02T05:04:05+0200": 0, "2024-01-02T03:04:05.123": 123000,
+        "2024-01-02 03:04:05.123456 +0000": 123456, "2024-01-02 03:04:05,123": 123000, "2024-01-02 03:04:05": 0, "2024/01/02 03:04:05.123456": 123456, "02/Jan/2024:03:04:05 +0000": 0, "01/02/2024 03:04:05": 0, "02.01.2024 03:04:05": 0, "Tue, 2 Jan 2024 03:04:05 +0000": 0,
+        "2 Jan 2024 03:04:05.123": 123000, "Tue Jan 02 03:04:05.123456 2024": 123456, "Tue Jan  2 03:04:05 2024": 0, "Jan  2 03:04:05": 0, "Jan 2 03:04:05.123": 123000, "01-02 03:04:05.123": 123000, "0102 03:04:05.123456": 123456, "20240102T030405Z": 0, "20240102 030405": 0,
+        "03:04:05.123": 123000, "03:04:05": 0, "@4000000065937d2f075bca00": 123456, "1704164645123456789": 123456, "1704164645123456": 123456, "1704164645123": 123000, "1704164645.123": 123000, "1704164645": 0,
+    }
+    rows = spark.createDataFrame([(f"f{i}", n, s if n else "no time") for i, s in enumerate(stamps) for n in range(3)], "log_path string, file_line long, stamp string")
+    got = times.read_times(rows, "stamp", year=2024, day="2024-01-02").collect()
+    for i, (s, micros) in enumerate(stamps.items()):
+        own = sorted((x.file_line, x.log_time) for x in got if x.log_path == f"f{i}")
+        assert [t for _, t in own] == [None, *[dt.datetime(2024, 1, 2, 3, 4, 5, micros)] * 2], s
+    none = times.read_times(spark.createDataFrame([("f", 0, None), ("f", 1, "")], rows.schema), "stamp").collect()
+    assert [(x.layout, x.log_time) for x in none] == [(None, None)] * 2
+
+
+def test_statuses(spark):
+    assert dict(map(tuple, T.http_status_codes(spark).collect()))[404] == "Not Found"
+
+
+def test_statistics_of_parts(spark):
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", None), ("c", "y", 5.0)], "k string, p string, v double")
+    got = {x.k: (x.n, x.mean, x.stdev) for x in A.merge_statistics(A.partial_statistics(rows, ["k", "p"], "v"), ["k"]).collect()}
+    assert got["a"][:2] == (2, 2.0) and abs(got["a"][2] - 2**0.5) < 1e-9 and got["b"][0] == 0 and got["c"] == (1, 5.0, 0.0)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import kept
+
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A power of two; the table has so many bits.
@@ -79,8 +81,10 @@ def contained(
         return F.getbit(F.get(literal, F.shiftright(place, 6).cast("int")), place.bitwiseAND(63).cast("int")) == 1
 
     rows = _with_hashes(docs.select(key, text), text, k).select(key, F.xxhash64(text).alias("_row"), _once(F.array_distinct(F.filter(_shingles(k), maybe))).alias("_hits"))
+    rows = kept(rows.where(F.size("_hits") > 0))  # texts are read once, and candidates fetch their hits from here
     keys = index.select(F.col(item), F.explode("_keys").alias("_key"))
-    found = rows.select(key, "_row", "_hits", F.explode("_hits").alias("_key")).join(keys, "_key").select(key, "_row", item, "_hits").distinct()
+    found = rows.select(F.col(key).alias("_found"), F.col("_row").alias("_found_row"), F.explode("_hits").alias("_key")).join(keys, "_key").select("_found", "_found_row", item).distinct()
+    found = found.join(rows, F.col("_found").eqNullSafe(F.col(key)) & (F.col("_found_row") == F.col("_row"))).select(key, "_row", item, "_hits")
     shared = F.size(F.array_intersect("_hits", "_set"))
     out = found.join(index.select(item, "_set", "_size").distinct(), item).withColumn("n_shared", shared.cast("long"))
     share = F.col("n_shared") / F.col("_size")

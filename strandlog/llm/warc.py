@@ -35,8 +35,9 @@ def plain_text(html: Column) -> Column:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, _BREAKS, "\n")
     out = _entities(F.regexp_replace(out, r"<[^>]*>", ""))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(F.translate(out, "\t\r\f", "   "), " {2,}", " ")
+    lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def _uuid(seed: Column) -> Column:

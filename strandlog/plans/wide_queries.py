@@ -598,3 +598,28 @@ def q5_summary_without_dotted_partitions(spark, sf_dir):
     part = F.when(F.col("o_orderkey") % 3 == 0, ".hidden").when(F.col("o_orderkey") % 3 == 1, "shown")
     out = A.summarize(table(spark, sf_dir, "orders").withColumn("log_part", part), ["o_orderstatus", "o_totalprice"])
     return out.select("o_orderstatus", "count", F.round("sum_o_totalprice", 2).alias("sum_o_totalprice"))
+
+
+@query("SELECT sum(length(event_type) + 1)::BIGINT AS bytes, count(*) AS lines FROM events")
+def i24_file_listing(spark, sf_dir):
+    """Files written from the table, listed with their sizes and contents."""
+    path = _target(spark)
+    table(spark, sf_dir, "events").select("event_type").write.text(path)
+    files = structured.fstat(spark, f"{path}/part-*")
+    lines = F.length(F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"[^\n]", ""))
+    return files.agg(F.sum("length").cast("bigint").alias("bytes"), F.sum(lines).cast("bigint").alias("lines"))
+
+
+@query(f"WITH g AS (SELECT log_path, event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY log_path ORDER BY file_line)) AS gap FROM {EVENTS}) SELECT log_path, count(*) AS gaps, max(gap // 1000)::BIGINT AS longest FROM g WHERE gap >= 3600000000 GROUP BY 1")
+def q13_gaps_over_a_threshold(spark, sf_dir):
+    """Stretches of an hour or more without a message, by file."""
+    rows = M.idle(events(spark, sf_dir)).where("log_idle_msecs >= 3600000")
+    return rows.groupBy("log_path").agg(F.count("*").alias("gaps"), F.max("log_idle_msecs").alias("longest"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > (SELECT avg(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type))")
+def w12_reaction_on_a_view(spark, sf_dir):
+    """A view of counts, and a view over it that reacts to those above their mean."""
+    events(spark, sf_dir).createOrReplaceTempView("message_rows")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW kind_counts AS SELECT event_type, count(*) AS n FROM message_rows GROUP BY event_type")
+    return spark.sql("SELECT event_type, n FROM kind_counts WHERE n > (SELECT avg(n) FROM kind_counts)")

@@ -24,9 +24,15 @@ _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 
 
 def _entities(text: Column) -> Column:
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """The text with its entities as characters: what follows each & is looked at once."""
+
+    def decoded(part: Column, i: Column) -> Column:
+        out = F.concat(F.lit("&"), part)
+        for name, char in _ENTITIES:
+            out = F.when(part.startswith(name[1:]), F.concat(F.lit(char), F.substr(part, F.lit(len(name))))).otherwise(out)
+        return F.when(i == 0, part).otherwise(out)
+
+    return F.array_join(F.transform(F.split(text, "&", -1), decoded), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -35,9 +41,11 @@ def plain_text(html: Column) -> Column:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, _BREAKS, "\n")
     out = _entities(F.regexp_replace(out, r"<[^>]*>", ""))
-    out = F.regexp_replace(F.translate(out, "\t\r\f", "   "), " {2,}", " ")
-    lines = F.transform(F.split(out, "\n"), lambda x: F.trim(x))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    for white in "\t\r\f":
+        out = F.replace(out, F.lit(white), F.lit(" "))
+    some = lambda parts: F.filter(parts, lambda x: x != "")
+    out = F.array_join(some(F.split(out, " ")), " ")
+    return F.array_join(some(F.transform(F.split(out, "\n"), lambda x: F.trim(x))), "\n")
 
 
 def _uuid(seed: Column) -> Column:

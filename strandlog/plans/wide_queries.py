@@ -606,7 +606,7 @@ def i24_file_listing(spark, sf_dir):
     path = _target(spark)
     table(spark, sf_dir, "events").select("event_type").write.text(path)
     files = structured.fstat(spark, f"{path}/part-*")
-    lines = F.length(F.regexp_replace(F.decode("content", F.lit("UTF-8")), r"[^\n]", ""))
+    lines = F.length(F.regexp_replace(F.decode("content", "UTF-8"), r"[^\n]", ""))
     return files.agg(F.sum("length").cast("bigint").alias("bytes"), F.sum(lines).cast("bigint").alias("lines"))
 
 

@@ -41,35 +41,46 @@ def path_steps(path: str) -> list[tuple[str | int, bool]]:
     return steps
 
 
+def _let(x: Column, use) -> Column:
+    """use(x), with x worked out once however often use names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def _edit(text: Column, steps: list[tuple[str | int, bool]], how: str, new: Column | None) -> Column:
     (step, index), rest = steps[0], steps[1:]
-    if index:
-        items = F.from_json(text, _LIST)
-        n = F.size(items)
-        at = n if step == "#" else F.lit(step)
-        has = at < n
+
+    def inner(old: Column) -> Column:
+        return F.parse_json(_let(F.to_json(old), lambda t: _edit(t, rest, how, new)))
+
+    def in_list(items: Column) -> Column:
+        at = F.size(items) if step == "#" else F.lit(step)
+        has = at < F.size(items)
         if rest:
-            inner = F.parse_json(_edit(F.to_json(F.get(items, at)), rest, how, new))
-            out = F.when(has, F.transform(items, lambda v, i: F.when(i == at, inner).otherwise(v))).otherwise(items)
+            out = F.transform(items, lambda v, i: F.when(i == at, inner(v)).otherwise(v))
         elif how == "remove":
             out = F.filter(items, lambda v, i: i != at)
         else:
             changed = F.transform(items, lambda v, i: F.when(i == at, new).otherwise(v))
-            added = F.when(at == n, F.concat(items, F.array(new))).otherwise(items)
+            added = F.when(at == F.size(items), F.concat(items, F.array(new))).otherwise(items)
             out = F.when(has, items if how == "insert" else changed).otherwise(items if how == "replace" else added)
         return F.when(items.isNotNull(), F.to_json(out)).otherwise(text)
-    members = F.from_json(text, _OBJECT)
-    has = F.map_contains_key(members, F.lit(step))
-    if rest:
-        inner = F.parse_json(_edit(F.to_json(F.try_element_at(members, F.lit(step))), rest, how, new))
-        out = F.when(has, F.transform_values(members, lambda k, v: F.when(k == step, inner).otherwise(v))).otherwise(members)
-    elif how == "remove":
-        out = F.map_filter(members, lambda k, v: k != step)
-    else:
-        changed = F.transform_values(members, lambda k, v: F.when(k == step, new).otherwise(v))
-        added = F.map_concat(members, F.create_map(F.lit(step), new))
-        out = F.when(has, members if how == "insert" else changed).otherwise(members if how == "replace" else added)
-    return F.when(members.isNotNull(), F.to_json(out)).otherwise(text)
+
+    def in_object(members: Column) -> Column:
+        if rest:
+            out = F.transform_values(members, lambda k, v: F.when(k == step, inner(v)).otherwise(v))
+        elif how == "remove":
+            out = F.map_filter(members, lambda k, v: k != step)
+        else:
+            changed = F.transform_values(members, lambda k, v: F.when(k == step, new).otherwise(v))
+            added = F.map_concat(members, F.create_map(F.lit(step), new))
+            out = F.when(F.map_contains_key(members, F.lit(step)), members if how == "insert" else changed).otherwise(members if how == "replace" else added)
+        return F.when(members.isNotNull(), F.to_json(out)).otherwise(text)
+
+    return _let(F.from_json(text, _LIST), in_list) if index else _let(F.from_json(text, _OBJECT), in_object)
+
+
+def _bound(steps: list[tuple[str | int, bool]], how: str, new: Column | None):
+    return lambda text: _edit(text, steps, how, new)
 
 
 def _edited(text: Column | str, how: str, pairs: list[tuple[str, Column | None]]) -> Column:
@@ -79,7 +90,7 @@ def _edited(text: Column | str, how: str, pairs: list[tuple[str, Column | None]]
         if not steps:
             out = F.lit(None).cast("string") if how == "remove" else out if how == "insert" else F.to_json(new)
         else:
-            out = _edit(out, steps, how, new)
+            out = _let(out, _bound(steps, how, new))
     return out
 
 

@@ -6,7 +6,9 @@ name the response they come from (WARC-Refers-To and its date), and carry its co
 ids are made from the source record's id, so a second run makes the same records.
 
 Defined results: a null html is an empty payload and gives an empty conversion; a null URL gives a record whose target
-is empty; equal pages give equal records. One row gives two rows and no shuffle, so sizes and skew don't matter.
+is empty; equal pages give equal records. One row gives two rows and no shuffle, so sizes and skew don't matter. A tag
+or comment that is never closed stays as text; its first start takes all that follows along, so that a page of unclosed
+tags is read once and not once from each of them. The language is that of the first html tag.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ from pyspark.sql import functions as F
 DATE = "1970-01-01T00:00:00Z"
 SOURCE_TYPE = "text/html; charset=utf-8"
 
-_DROPPED = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"(?is)<head\b.*?</head\s*>")
+#: What goes; in group 1, what an unclosed start leaves as it is.
+_DROPPED = (
+    r"(?is)<script\b.*?</script\s*>|(<script\b.*+)", r"(?is)<style\b.*?</style\s*>|(<style\b.*+)", r"(?s)<!--.*?-->|(<!--.*+)", r"(?is)<head\b.*?</head\s*>|(<head\b.*+)",
+)
+_TAGS = r"<[^>]*>|(<[^>]*+)"
 _BREAKS = r"(?i)</?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|body|html)\b[^>]*>"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -38,9 +44,10 @@ def _entities(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     out = html
     for pattern in _DROPPED:
-        out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, _BREAKS, "\n")
-    out = _entities(F.regexp_replace(out, r"<[^>]*>", ""))
+        out = F.regexp_replace(out, pattern, "$1")
+    open_end = F.substring_index(out, ">", -1)  # no tag ends there
+    out = F.concat(F.regexp_replace(F.substring(out, F.lit(1), F.char_length(out) - F.char_length(open_end)), _BREAKS, "\n"), open_end)
+    out = _entities(F.regexp_replace(out, _TAGS, "$1"))
     for white in "\t\r\f":
         out = F.replace(out, F.lit(white), F.lit(" "))
     some = lambda parts: F.filter(parts, lambda x: x != "")
@@ -73,10 +80,11 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 
 def metadata_fields(html: Column) -> Column:
     """The body of a metadata record: one field a line."""
-    squeezed = lambda x: F.regexp_replace(_entities(F.regexp_replace(x, r"<[^>]*>", "")), r"\s+", " ")
-    title = squeezed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1))
-    lang = F.regexp_extract(html, r'(?i)<html\b[^>]*\blang="([^"]*)"', 1)
-    links = F.transform(F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), _entities(x), F.lit(" L a/@href\r\n")))
+    squeezed = lambda x: F.regexp_replace(_entities(F.regexp_replace(x, _TAGS, "$1")), r"\s+", " ")
+    title = squeezed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title|<title.*+", 1))
+    lang = F.regexp_extract(html, r'(?i)<html\b[^>]*\blang="([^"]*)"|<html\b[^>]*+', 1)
+    quoted = F.filter(F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref=("[^"]*")|<a\b[^>]*+'), F.lit(1)), lambda x: x != "")
+    links = F.transform(quoted, lambda x: F.concat(F.lit("outlink: "), _entities(F.substring(x, F.lit(2), F.char_length(x) - 2)), F.lit(" L a/@href\r\n")))
     return F.concat(F.lit("title: "), title, F.lit("\r\nlanguage: "), lang, F.lit("\r\n"), F.array_join(links, ""))
 
 

@@ -1,11 +1,13 @@
 """Words and word hashes of many texts at once, on numpy arrays over the raw UTF-8 bytes.
 
 A text is never turned into Python word objects: the bytes of a block of texts lie in one array,
-word borders come from a table of separator bytes, and word hashes from prefix sums of a polynomial.
+word borders come from a table of separator bytes, and word hashes from steps of eight bytes over all words at once.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,10 +18,12 @@ WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-_SEGMENT = 1 << 18
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Keys of the word hash, one for each eight bytes of a word and one for its length.
+_KEYS = np.random.Generator(np.random.PCG64(0x5EED)).integers(1, 1 << 64, 9, np.uint64)
+#: Words of more bytes are hashed by BLAKE2.
+_LANES = 8
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, so that any of their bits can be used."""
@@ -30,34 +34,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n of each at least; kept, unless for a single enormous word."""
-    if not _powers or len(_powers[0]) < n:
-        size = 1 << max(n, 1 << 12).bit_length()
-        tables = [np.full(size, x) for x in (_BASE, _INVERSE)]
-        for t in tables:
-            t[0] = 1
-            np.cumprod(t, dtype=np.uint64, out=t)
-        if size > 8 * _SEGMENT:
-            return tables[0], tables[1]
-        _powers[:] = tables
-    return _powers[0], _powers[1]
-
-
-def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buffer[start:end] for sorted, disjoint spans; worked off in bounded segments."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        first = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, first + _SEGMENT, "right")))
-        piece = buffer[first : ends[to - 1]]
-        ups, downs = _power_tables(len(piece))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * ups[: len(piece)], dtype=np.uint64, out=sums[1:])
-        s, e = starts[at:to] - first, ends[at:to] - first
-        out[at:to] = mix((sums[e] - sums[s]) * downs[s] + (e - s).astype(np.uint64))
-        at = to
+def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order; it isn't linear, so that no pattern of words cancels out."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: eight bytes after eight bytes are scrambled under keys; BLAKE2 for long spans."""
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _KEYS[-1])
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # at each place the eight bytes from it on
+    short = size <= 8 * _LANES
+    left = np.flatnonzero(short & (size > 0))
+    for lane in range(_LANES):
+        if not len(left):
+            break
+        rest = size[left] - 8 * lane
+        out[left] = mix(out[left] ^ _KEYS[lane] ^ (eights[starts[left] + 8 * lane] & _LOW_BYTES[np.minimum(rest, 8)]))
+        left = left[rest > 8]
+    for i in np.flatnonzero(~short).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=_KEYS.tobytes()[:64]).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
@@ -83,7 +81,7 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         borders = np.concatenate(([0], np.cumsum(lengths + 1)))
         self.first = np.searchsorted(self.starts, borders)
-        self.hashes = hash_spans(self.buffer, self.starts, self.ends)
+        self.hashes = hash_spans(data, self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -99,11 +97,15 @@ class Words:
         n = len(self.hashes) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        out = self.hashes[:n].copy()
-        for j in range(1, k):
-            out *= _BASE
-            out += self.hashes[j : n + j]
-        return mix(out)
+        power, span, out, at = self.hashes, 1, None, 0  # power: of spans of 1, 2, 4... words; out: of the first `at` words
+        while True:
+            if k & span:
+                out = power[:n] if out is None else chain(out, power[at : at + n])
+                at += span
+            if at == k:
+                return mix(out + np.uint64(k))
+            power = chain(power[:-span], power[span:])
+            span *= 2
 
     def whole(self, k: int) -> np.ndarray:
         """Places whose k words lie in one text."""
@@ -120,7 +122,7 @@ class Words:
         out = np.zeros(len(texts), np.uint64)
         for j in range(k - 1):
             has = counts[texts] > j
-            out[has] = out[has] * _BASE + self.hashes[self.first[texts[has]] + j]
+            out[has] = chain(out[has], self.hashes[self.first[texts[has]] + j])
         return texts, mix(out ^ np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from ._memory import tidy
 from ._shared import aside
-from ._words import chunks, hash_spans, texts_of
+from ._words import chunks, texts_of
 
 CHUNK_BYTES = 2 << 20
-#: Pieces a task remembers; beyond that it starts afresh.
-REMEMBER = 400_000
+#: Pieces a task remembers, and their bytes; beyond either it starts afresh.
+REMEMBER, REMEMBER_BYTES = 400_000, 16 << 20
 NO_RANK = np.int64(1 << 40)
 
 # The code points of white space and the contractions that the public pattern names.
@@ -160,7 +160,8 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.entry = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
         self.ids, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -266,28 +267,20 @@ class Vocabulary:
         begins[heads[heads < len(cp)]] = True
         starts = place[split_points(cp, begins, self.classes)]
         ends = np.append(starts[1:], len(data))
-        hashes = hash_spans(np.frombuffer(data, np.uint8), starts, ends)
-        if len(self.known) > REMEMBER:
+        pieces = [data[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+        if len(self.known) > REMEMBER or self.known_bytes > REMEMBER_BYTES:
             self.forget()
-        at = self._find(hashes)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh, where = np.unique(hashes[new], return_index=True)
-            self._learn(fresh, [data[starts[i] : ends[i]] for i in new[where]])
-            at[new] = self._find(hashes[new])
+        self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         counts = np.diff(self.first)[at]
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.first[at] - total[:-1], counts)]
         cuts = total[np.searchsorted(starts, borders)]
         return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, self.entry[at], -1)
-
-    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
+        if not pieces:
+            return
         whole = [self.ranks.get(p) for p in pieces]
         rest = [i for i, x in enumerate(whole) if x is None]
         counts = np.ones(len(pieces), np.int64)
@@ -299,10 +292,8 @@ class Vocabulary:
         is_whole = np.array([x is not None for x in whole])
         ids[np.repeat(is_whole, counts)] = [x for x in whole if x is not None]
         ids[np.repeat(~is_whole, counts)] = merged
-        known = np.concatenate((self.known, hashes))
-        entry = np.concatenate((self.entry, len(self.first) - 1 + np.arange(len(hashes))))
-        order = np.argsort(known, kind="stable")
-        self.known, self.entry = known[order], entry[order]
+        self.known.update(zip(pieces, range(len(self.first) - 1, len(self.first) - 1 + len(pieces))))
+        self.known_bytes += sum(map(len, pieces))
         self.first = np.concatenate((self.first, self.first[-1] + first[1:]))
         self.ids = np.concatenate((self.ids, ids))
 

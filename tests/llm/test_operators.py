@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -58,6 +59,41 @@ def test_words_and_sets():
     assert hashes[:2].tolist() == hashes[-2:].tolist()
 
 
+def thue_morse(n, a="a", b="b"):
+    """n letters and their complement: a polynomial hash modulo a power of two can't tell them apart."""
+    text = [a]
+    while len(text) < n:
+        text += [b if x == a else a for x in text]
+    return text[:n], [b if x == a else a for x in text[:n]]
+
+
+@pytest.mark.parametrize("n", (8, 64, 65, 1024, 2048, 4096))
+def test_words_of_a_repeated_pattern_differ(n):
+    one, other = map("".join, thue_morse(n))
+    words = Words([one.encode(), other.encode(), one.encode(), (one + "\0").encode()])
+    assert words.hashes[0] == words.hashes[2] and len(set(words.hashes.tolist())) == 3
+    one, other = (" ".join(x).encode() for x in thue_morse(4096))
+    for k in (1, 2, 4, 5, 8, 13):
+        shingles = Words([one, other]).shingles(k)
+        spans = {tuple(x[i : i + k]) for x in ((one + b" " + other).split(),) for i in range(8192 - k + 1)}
+        assert len(set(shingles.tolist())) == len(spans)
+
+
+def test_operators_on_words_of_a_repeated_pattern(spark, vocabulary):
+    one, other = map("".join, thue_morse(1024))
+    tables = bpe.vocabulary(open(vocabulary[0], "rb").read())
+    for x, y in zip((one, other), tables.encode([one.encode(), other.encode()])):
+        assert b"".join(tables.tokens[i] for i in y.tolist()) == x.encode()
+    table = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard_join.join_components(table, k=4, percent=85).collect()}
+    assert got == {1: 1, 2: 2}
+    equal = " ".join(f"w{i}" for i in range(12))
+    table = spark.createDataFrame([(1, f"{equal} {one}"), (2, f"{equal} {other}")], "doc_id long, text string")
+    assert {x.n_removed for x in rlz_dedup.dedup_substrings(table).collect()} == {0}
+    a, b = sketch.sketches([one.encode(), other.encode()], one_of=1)
+    assert a.tolist() != b.tolist()
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)]
@@ -685,3 +721,18 @@ def test_warc_source_headers_and_odd_tables(spark):
         assert ("X-Source-Status: HTTP/1.1 404 Not Found\r\nX-Source-Server: x\r\nX-Source-Set-Cookie: a=1\r\nX-Source-Set-Cookie: b=2" in block) == (x.page_id == 1)
         assert (x.source_headers is None) == (x.page_id == 2) and f"Content-Length: {len(x.body.encode())}" in block
     assert warc.derive(made.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("unit", ("<script>", "<style x ", "<!-- ", "<head>", "<p ", "<div>", "<title>", "<title ", "<html ", "<a ", '<a href="', "<", "</script ", "&"))
+def test_warc_reads_unclosed_tags_once(spark, unit):
+    page = spark.createDataFrame([(1, "http://a/", unit * (1_000_000 // len(unit)))], "page_id long, url string, html string")
+    begin = time.time()
+    kinds = {x.record_type: x.body for x in warc.derive(warc.responses(page)).collect()}
+    assert time.time() - begin < 20
+    assert kinds["metadata"].startswith("title: \r\nlanguage: \r\n")
+
+
+def test_warc_unclosed_tags_stay(spark):
+    page = "<html lang='x'><script>gone</script>a<br>b <script> stays <b>bold</b> <p open"
+    body = {x.record_type: x.body for x in warc.derive(warc.responses(spark.createDataFrame([(1, None, page)], "page_id long, url string, html string"))).collect()}
+    assert body["conversion"] == "a\nb stays bold <p open"

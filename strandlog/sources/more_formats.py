@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandlog.sources.formats import WORDS, Format
+from strandlog.sources.layouts import layout
 
 _ISO = r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d"
 
@@ -24,7 +25,7 @@ MORE = (
         (
             r"^(?<pid>\d+):(?<role>[XCSM]) (?<timestamp>\d{1,2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d\.\d{3}) (?<level>[.*#-]) (?<body>.*)$",
             r"^\[(?<pid>\d+)\] (?<timestamp>\d{1,2} [A-Z][a-z]{2} \d\d:\d\d:\d\d\.\d{3}) (?<level>[.*#-]) (?<body>.*)$",
-            r"^(?<pid>\d+):(?<role>signal-handler) \((?<timestamp>\d+)\) (?<body>.*)$",
+            f"^{layout('<pid:int>:<role> (<timestamp:int>) <body:line>')}$",
         ),
         ("d MMM yyyy HH:mm:ss.SSS", "yyyy d MMM HH:mm:ss.SSS", "epoch"),
         {"pid": "bigint"},
@@ -94,8 +95,13 @@ MORE = (
     Format(
         "uwsgi_log",
         (
-            r"^\[pid: (?<s_pid>\d+)\|app: (?<s_app>[-\d]+)\|req: (?<s_req>[-\d]+)/(?<s_worker_reqs>\d+)\] (?<c_ip>\S+) \((?<cs_username>[^)]*)\) \{(?<cs_vars>\d+) vars in (?<cs_bytes>\d+) bytes\} \[[A-Z][a-z]{2} (?<timestamp>[^\]]+)\] (?<cs_method>[A-Z]+) "
-            r"(?<cs_uri_stem>[^ ?]+)(?:\?(?<cs_uri_query>\S*))? => generated (?<sc_bytes>\d+) bytes in (?<s_runtime>\d+) msecs \((?<cs_version>\S+) (?<sc_status>\d+)\) (?<sc_headers>\d+) headers in (?<sc_header_bytes>\d+) bytes \((?<s_switches>\d+) switches on core (?<s_core>\d+)\)$",
+            # the server's documented layout, its variables by the names of their columns
+            "^"
+            + layout(
+                "[pid: <s_pid:int>|app: <s_app:signed>|req: <s_req:signed>/<s_worker_reqs:int>] <c_ip> (<cs_username>) {<cs_vars:int> vars in <cs_bytes:int> bytes} [<> <timestamp>] <cs_method:word> <cs_uri_stem>[[?<cs_uri_query>]] => "
+                "generated <sc_bytes:int> bytes in <s_runtime:int> msecs (<cs_version> <sc_status:int>) <sc_headers:int> headers in <sc_header_bytes:int> bytes (<s_switches:int> switches on core <s_core:int>)"
+            )
+            + "$",
         ),
         ("MMM d HH:mm:ss yyyy",),
         {"sc_status": "bigint", "sc_bytes": "bigint", "cs_bytes": "bigint", "s_runtime": "double"},

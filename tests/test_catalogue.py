@@ -113,6 +113,35 @@ def test_built_in_search_tables(spark):
     assert D.built_in_search_table(rows, "vpxd_session_pool_stats", ["id"]).select("SessionId", "ProfileKey", "ProfileValue").collect() == [("s", "/total", "7")]
 
 
+PRINTED = {
+    "hdfs_finalized_blocks": ("src: /10.0.0.1:5, dest: /10.0.0.2:50010, bytes: 91178, op: HDFS_WRITE, cliID: DFSClient_1, offset: 0, srvID: a-b, blockid: BP-1:blk_2, duration(ns): 77", {"blk_src": "/10.0.0.1:5", "blk_bytes": 91178, "blk_id": "BP-1:blk_2", "blk_duration": 77}),
+    "zk_established_session_id": ("Session establishment complete on server h/127.0.0.1:2181, sessionid = 0x15aB, negotiated timeout = 30000", {"session_id": "0x15aB"}),
+    "zk_notifications": ("Notification: my state:LOOKING; n.sid:1, n.state:LOOKING", {"my_state": "LOOKING", "nvalues": "n.sid:1, n.state:LOOKING"}),
+    "cloudvm_ram_sizes": ("vpxd 10 20 15 -1 2 3 4", {"ServiceName": "vpxd", "CurrRSS": -1, "MemoryLimit": 4}),
+    "sudo_log": ("sudo:     bob : user NOT in sudoers ; TTY=pts/0 ; PWD=/home/bob x ; USER=root ; COMMAND=/bin/ls -l", {"login": "bob", "error_msg": "user NOT in sudoers", "tty": "pts/0", "pwd": "/home/bob x", "user": "root", "command": "/bin/ls -l"}),
+    "vpx_lro_begin": ("[VpxLRO] -- BEGIN lro-1 --  -- vm.On -- 01234567-89ab-cdef-0123-456789abcdef(11234567-89ab-cdef-0123-456789abcdef)", {"lro_id": "lro-1", "entity": None, "operation": "vm.On", "SessionId": "01234567-89ab-cdef-0123-456789abcdef", "SessionSubId": "11234567-89ab-cdef-0123-456789abcdef"}),
+    "vpxd_session_stats": ("/SessionStats/SessionPool/Session/Id='a'/Username='b'/ClientIP='c'/total 7 ms", {"SessionId": "a", "ClientIP": "c", "ProfileKey": "/total", "ProfileValue": "7 ms"}),
+}
+
+
+@pytest.mark.parametrize("name", PRINTED)
+def test_search_tables_read_lines_as_printed(spark, name):
+    line, want = PRINTED[name]
+    rows = spark.createDataFrame([(1, "/x/vpxd-profile.log", "info", line), (2, "/x/vpxd-profile.log", "info", "nothing of this")], "id long, log_path string, log_level string, log_body string")
+    got = D.built_in_search_table(rows, name, ["id"]).collect()
+    assert [x.id for x in got] == [1] and {k: got[0][k] for k in want} == want
+
+
+def test_layouts():
+    import re
+
+    from strandlog.sources.layouts import layout
+
+    plain = layout("[[<a:int>: ]]<b>, x <c:word>").replace("(?<", "(?P<")
+    assert re.fullmatch(plain, "7:  left, x  y").groupdict() == {"a": "7", "b": "left", "c": "y"}
+    assert re.fullmatch(plain, "left over, x y").groupdict() == {"a": None, "b": "left over", "c": "y"}
+
+
 def test_search_table_by_level_and_glob(spark):
     rows = spark.createDataFrame([(1, "a.log", "info", "n=1 n=2"), (2, "a.log", "error", "n=3"), (3, "b.txt", "error", "n=4")], "id long, log_path string, log_level string, log_body string")
     got = D.named_search_table(rows, r"n=(?<n>\d+)", ["id"], level="error", glob="*.log").collect()

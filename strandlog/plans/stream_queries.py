@@ -11,7 +11,7 @@ from strandlog.plans.queries import EVENTS, FMT, stamp
 from strandlog.operators.shared import folder
 from strandlog.plans.registry import query
 from strandlog.sources import formats
-from strandlog.streaming import ops
+from strandlog.streaming import ops, ordered
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,21 +45,84 @@ def x10_dedup_stream(spark, sf_dir):
     return ops.drain(ops.deduplicate(events(spark, sf_dir), ["event_type", "user_id"], "400 days").select("event_type", "user_id"), folder(spark))
 
 
-@query("WITH m AS (SELECT event_id % 8 AS f, event_id - (event_id // 8) % 4 * 8 AS first, count(*)::BIGINT AS n_lines, max(event_id) AS last FROM events GROUP BY 1, 2), z AS (SELECT f, max(first) AS open FROM m GROUP BY 1) SELECT first AS file_line, n_lines FROM m JOIN z USING (f) WHERE first < open")
+def _base(spark) -> str:
+    return f"{folder(spark)}/ordered-{uuid.uuid4().hex}"
+
+
+def shuffled(spark: SparkSession, rows: DataFrame, parts: int = 4) -> DataFrame:
+    """A stream of rows that come in `parts` batches by event_id, mixed up within each and over the borders of two."""
+    target = f"{folder(spark)}/shuffled-{uuid.uuid4().hex}"
+    n = rows.count() or 1
+    moved = F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(max(1, n // 20)))
+    part = F.least(F.floor(moved * parts / n), F.lit(parts - 1))
+    for i in range(parts):  # one after another, so that the files' times order them
+        rows.where(part == i).repartition(1).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(f"{target}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
+
+
+def _batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandlog.plans.queries import events as batch
+
+    return batch(spark, sf_dir).select("event_id", "event_type", "log_path", "file_line", "log_time")
+
+
+@query("SELECT 'all' AS log_path, first AS file_line, count(*)::BIGINT AS n_lines FROM (SELECT event_id - event_id % 4 AS first FROM events) GROUP BY 2")
 def x3_multiline_stream(spark, sf_dir):
-    """Every fourth line of a file starts a message; each file's last one is still open."""
-    lines = events(spark, sf_dir).withColumn("value", F.concat(F.when(F.floor(F.col("event_id") / 8) % 4 == 0, "start ").otherwise("  "), F.col("event_type")))
-    out = ops.drain(ops.assemble(lines, "^start"), folder(spark))
-    return out.select("file_line", F.size(F.split("value", "\n")).cast("bigint").alias("n_lines"))
+    """Every fourth line of one file starts a message; lines come shuffled within a batch and the last message ends with the stream."""
+    start = F.col("event_id") % 4 == 0
+    lines = _batch_events(spark, sf_dir).select("event_id", F.lit("all").alias("log_path"), F.col("event_id").alias("file_line"), F.concat(F.when(start, "start ").otherwise("  "), F.col("event_type")).alias("value"))
+    target = f"{folder(spark)}/shuffled-{uuid.uuid4().hex}"
+    lines.repartition(8, F.xxhash64("event_id")).drop("event_id").write.parquet(target)
+    stream = spark.readStream.schema("log_path string, file_line long, value string").parquet(target)
+    return ordered.assembled(stream, _base(spark), F.col("value").startswith("start")).drained(stream).select("log_path", "file_line", "n_lines")
+
+
+_LATE = "ts - CASE WHEN event_id % 7 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t"
 
 
-@query(f"SELECT event_id, strftime(max(t) OVER w, {FMT}) AS log_time, max(t) OVER w > t AS time_skewed FROM (SELECT *, ts - CASE WHEN event_id % 7 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS t FROM {EVENTS}) WINDOW w AS (PARTITION BY log_path ORDER BY file_line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def _late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _batch_events(spark, sf_dir)
+    return e.withColumn("log_time", F.when(F.col("event_id") % 7 == 0, F.col("log_time") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("log_time"))).drop("event_type")
+
+
+@query(f"SELECT event_id, strftime(max(t) OVER w, {FMT}) AS log_time, max(t) OVER w > t AS time_skewed FROM (SELECT *, {_LATE} FROM {EVENTS}) WINDOW w AS (PARTITION BY log_path ORDER BY file_line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def x4_late_rows_stream(spark, sf_dir):
-    e = events(spark, sf_dir).select("event_id", "log_path", "file_line", F.when(F.col("event_id") % 7 == 0, F.col("log_time") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("log_time")).alias("log_time"))
-    out = ops.drain(ops.late(e, "1 hour", "skew"), folder(spark))
+    """Eight files whose lines come shuffled within batches and over their borders; a hold of some days puts them in order."""
+    stream = shuffled(spark, _late_rows(spark, sf_dir))
+    out = ordered.repaired(stream, _base(spark), hold="40 days").drained(stream)
     return out.select("event_id", stamp("log_time").alias("log_time"), "time_skewed")
 
 
+@query(f"SELECT event_id, strftime(max(t) OVER w, {FMT}) AS log_time, max(t) OVER w > t AS time_skewed FROM (SELECT *, {_LATE} FROM {EVENTS}) WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def x4_late_rows_of_one_file(spark, sf_dir):
+    """All events as one file, in one shuffled batch."""
+    rows = _late_rows(spark, sf_dir).withColumns({"log_path": F.lit("all"), "file_line": F.col("event_id")})
+    target = f"{folder(spark)}/shuffled-{uuid.uuid4().hex}"
+    rows.repartition(8, F.xxhash64("event_id")).write.parquet(target)
+    stream = spark.readStream.schema(rows.schema).parquet(target)
+    return ordered.repaired(stream, _base(spark)).drained(stream).select("event_id", stamp("log_time").alias("log_time"), "time_skewed")
+
+
+@query(
+    f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'generic_log' WHEN 1 THEN 'glog_log' ELSE 'access_log' END AS log_format, strftime(CASE event_id % 3 WHEN 0 THEN date_trunc('millisecond', ts) WHEN 1 THEN date_trunc('microsecond', ts) ELSE date_trunc('second', ts) END, {FMT}) AS log_time FROM {EVENTS}"
+)
+def x2_recognized_stream(spark, sf_dir):
+    """Three files of three formats in one stream: each one's format is fixed once its first lines are there."""
+    from strandlog.plans.queries import events as batch
+
+    e = batch(spark, sf_dir)
+    at = F.col("log_time")
+    line = (
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" INFO "), F.col("event_id").cast("string")))
+        .when(F.col("event_id") % 3 == 1, F.concat(F.lit("I"), F.date_format(at, "MMdd HH:mm:ss.SSSSSS"), F.lit(" 8 app.cc:69] "), F.col("event_id").cast("string")))
+        .otherwise(F.concat(F.lit("10.0.0.1 - - ["), F.date_format(at, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("event_id").cast("string"), F.lit(' HTTP/1.1" 200 5')))
+    )
+    rows = e.select((F.col("event_id") % 3).cast("string").alias("log_path"), F.floor(F.col("event_id") / 3).alias("file_line"), line.alias("value"), "event_id")
+    stream = shuffled(spark, rows)
+    out = ordered.recognized(stream, _base(spark), sample=500, year=2024).drained(stream)
+    return out.select(F.regexp_extract("log_body", r"(\d+)$", 1).cast("bigint").alias("event_id"), "log_format", stamp("log_time").alias("log_time"))
+
+
 def log_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder of text files: every event as a line of a container's log."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -1,18 +1,17 @@
-"""Streaming counterparts of the message operators. A growing file needs a shipper or a queue in front of it: Spark's
-file source picks up new files, not new bytes of a known one."""
+"""Streaming counterparts of the message operators. What depends on the order of a file's lines is in ordered.py, growing
+files are read by sources/growing.py."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strandlog.operators import messages as M
 from strandlog.sources import formats, json_formats
+from strandlog.streaming.ordered import exists
 
 
 def tail(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -55,59 +54,9 @@ def deduplicate(messages: DataFrame, keys: list[str], delay: str = "1 hour", tim
     return messages.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def assemble(lines: DataFrame, start: str, idle_ms: int | None = None, path: str = "log_path", order: str = "file_line", value: str = "value") -> DataFrame:
-    """(path, order, value): messages of a line that matches `start` and the lines after it, across batches.
-
-    A file's last message stays open in the state until its next start line or, where idle_ms is given, until the file has
-    had no lines for so long; a stream with that timer doesn't end by itself.
-    """
-    import re
-
-    begins = re.compile(start)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        line, text = state.get if state.exists else (None, None)
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], line, text)], columns=[path, order, value])
-            return
-        rows = pd.concat(list(frames)).sort_values(order)
-        for n, v in zip(rows[order], rows[value]):
-            if text is None or begins.search(v):
-                if text is not None:
-                    out.append((key[0], line, text))
-                line, text = int(n), v
-            else:
-                text = f"{text}\n{v}"
-        state.update((line, text))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[path, order, value])
-
-    schema = f"{path} string, {order} long, {value} string"
-    return lines.select(path, order, value).groupBy(path).applyInPandasWithState(run, schema, f"{order} long, {value} string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
-
-
-def late(messages: DataFrame, delay: str, policy: str = "drop", time: str = "log_time", key: str = "log_path") -> DataFrame:
-    """drop: a watermark, so that stateful steps ignore later rows; skew: a late row takes its file's latest time so far."""
-    if policy == "drop":
-        return messages.withWatermark(time, delay)
-
-    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = pd.Timestamp(state.get[0]) if state.exists else None
-        for f in frames:
-            f = f.sort_values("file_line")
-            run_max = f[time].cummax()
-            latest = run_max if top is None else run_max.where(run_max > top, top)
-            f = f.assign(time_skewed=latest > f[time], log_actual_time=f[time]).assign(**{time: latest})
-            top = latest.iloc[-1]
-            state.update((top.to_pydatetime(),))
-            yield f
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in messages.dtypes)
-    return messages.groupBy(key).applyInPandasWithState(run, f"{fields}, time_skewed boolean, log_actual_time timestamp", "top timestamp", "append", GroupStateTimeout.NoTimeout)
+def late(messages: DataFrame, delay: str, time: str = "log_time") -> DataFrame:
+    """A watermark, so that stateful steps ignore rows that are later; ordered.repaired() moves late rows instead."""
+    return messages.withWatermark(time, delay)
 
 
 def react(stream: DataFrame, handler: Callable[[DataFrame, int], None]):
@@ -121,10 +70,7 @@ def lifecycle(messages: DataFrame, target: str):
     def handler(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         files = batch.select("log_path", "log_format").distinct()
-        try:
-            known = spark.read.parquet(target)
-        except Exception:  # nothing there yet
-            known = None
+        known = spark.read.parquet(target) if exists(spark, target) else None
         new = files if known is None else files.join(known, "log_path", "left_anti")
         new.withColumn("seen", F.current_timestamp()).write.mode("append").parquet(target)
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from strandlog.streaming import ops
+from strandlog.sources import formats
+from strandlog.streaming import ops, ordered
 
 
 def feed(spark, folder, rows, schema):
@@ -14,11 +19,82 @@ def feed(spark, folder, rows, schema):
 
 
 def test_assembly_across_batches(spark, tmp_path):
-    rows = [[("f", 0, "start a"), ("f", 1, " b")], [("f", 2, " c"), ("f", 3, "start d"), ("f", 4, "start e")]]
+    rows = [[("f", 3, "start b"), ("f", 1, " 1"), ("f", 0, " 0"), ("g", 0, "start z")], [("f", 5, "start c"), ("f", 2, " late"), ("f", 4, " 4")], [("f", 6, None), ("g", 1, " y")]]
     stream = feed(spark, tmp_path, rows, "log_path string, file_line long, value string")
-    out = ops.drain(ops.assemble(stream, "^start"), f"file://{tmp_path}/out")
-    got = {(x.file_line, x.value) for x in out.collect()}
-    assert got in ({(0, "start a\n b\n c"), (3, "start d")}, {(0, "start a\n b\n c"), (3, "start d"), (4, "start e")})
+    out = ordered.assembled(stream, f"file://{tmp_path}/out", F.col("value").startswith("start")).drained(stream)
+    got = sorted((x.log_path, x.file_line, x.value, x.n_lines, x.late_line) for x in out.collect())
+    assert got == [("f", 0, " 0", 1, False), ("f", 1, " 1", 1, False), ("f", 2, " late", 1, True), ("f", 3, "start b\n 4", 2, False), ("f", 5, "start c", 2, False), ("g", 0, "start z\n y", 2, False)]
+
+
+LOG = "log_path string, file_line long, log_time timestamp, extra long"
+
+
+def at(s):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+
+
+def brute_repair(rows):
+    out, top = [], {}
+    for path, line, time, x in sorted(rows, key=lambda r: (r[0], r[1])):
+        new = max(top.get(path, time), time)
+        out.append((path, line, new, time, new > time, x))
+        top[path] = new
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hold", ("1 hour", "30 seconds"))
+def test_repair_of_shuffled_batches(spark, tmp_path, hold):
+    r = random.Random(4)
+    rows = [(f"f{i % 3}", i, at(i * 2 - r.choice([0, 0, 9])), i) for i in range(300)]
+    near = sorted(rows, key=lambda x: x[1] + r.random() * 12)  # lines are at most 12 from their place, 24 seconds
+    batches = [near[i : i + 60] for i in range(0, 300, 60)]
+    for b in batches:
+        r.shuffle(b)
+    stream = feed(spark, tmp_path, batches, LOG)
+    out = ordered.repaired(stream, f"file://{tmp_path}/out", hold).drained(stream)
+    got = sorted((x.log_path, x.file_line, x.log_time, x.log_actual_time, x.time_skewed, x.extra) for x in out.collect())
+    assert got == brute_repair(rows) and out.where("late_line").count() == 0
+
+
+def test_late_lines_after_later_ones_were_given_out(spark, tmp_path):
+    rows = [[("f", 5, at(50), 0), ("f", 4, at(60), 0)], [("f", 1, at(10), 0), ("f", 6, at(55), 0), ("f", 2, at(70), 0)], []]
+    stream = feed(spark, tmp_path, [x for x in rows if x], LOG)
+    out = ordered.repaired(stream, f"file://{tmp_path}/out").drained(stream)
+    got = sorted((x.file_line, x.log_time, x.time_skewed, x.late_line) for x in out.collect())
+    assert got == [(1, at(60), True, True), (2, at(70), False, True), (4, at(60), False, False), (5, at(60), True, False), (6, at(60), True, False)]
+
+
+def test_batches_run_again_and_restarted(spark, tmp_path):
+    """A batch that is run twice gives its rows once, and a stream started again goes on with its state."""
+    first = [[("f", 0, at(9), 0)], [("f", 1, at(5), 0)]]
+    stream = feed(spark, tmp_path, first, LOG)
+    base = f"file://{tmp_path}/out"
+    batches = ordered.repaired(stream, base)
+    batches.drained(stream, end=False)
+    batches.run(spark.createDataFrame(first[1], LOG), 1)
+    spark.createDataFrame([("f", 2, at(7), 0)], LOG).coalesce(1).write.parquet(f"{tmp_path}/in7")
+    again = ordered.repaired(stream, base)
+    got = sorted((x.file_line, x.log_time, x.time_skewed) for x in again.drained(stream).collect())
+    assert got == [(0, at(9), False), (1, at(9), True), (2, at(9), True)]
+
+
+def test_formats_are_fixed_as_in_batch(spark, tmp_path):
+    r = random.Random(6)
+    lines = {
+        "a": [f"2024-01-01 00:00:{i % 60:02}.179 {r.choice(['ERROR', 'INFO'])} value {i}" for i in range(40)],
+        "b": ["no format here"] * 3 + [f"I0101 00:00:{i % 60:02}.179575 8 app.cc:69] view {i}" for i in range(37)],
+        "c": ["nothing"] * 25,
+        "d": ["2024-01-01 00:00:01.179 ERROR one"] * 5,
+    }
+    rows = [(p, i, v) for p, x in lines.items() for i, v in enumerate(x)]
+    r.shuffle(rows)
+    stream = feed(spark, tmp_path, [rows[i : i + 30] for i in range(0, len(rows), 30)], "log_path string, file_line long, value string")
+    got = ordered.recognized(stream, f"file://{tmp_path}/out", sample=20, year=2024).drained(stream)
+    table = spark.createDataFrame(rows, "log_path string, file_line long, value string")
+    known = formats.detect(table, sample=20).where("log_format IS NOT NULL").select("log_path", "log_format")
+    assert {x.log_path: x.log_format for x in known.collect()} == {"a": "generic_log", "b": "glog_log", "d": "generic_log"}
+    want = ordered.parsed_as(table.join(known, "log_path"), ["generic_log", "glog_log"], formats.catalogue(), 2024)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 82
 
 
 def test_watch_and_statistics(spark, tmp_path):

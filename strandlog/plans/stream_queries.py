@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlog.plans.queries import EVENTS, FMT, stamp
 from strandlog.operators.shared import folder
 from strandlog.plans.registry import query
-from strandlog.sources import formats
+from strandlog.sources import formats, growing
 from strandlog.streaming import ops, ordered
 
 
@@ -140,6 +140,30 @@ def x1_tail_stream(spark, sf_dir):
     return out.groupBy(F.split("value", " ")[0].alias("mux_id")).agg(F.count("*").alias("lines"))
 
 
+@query("SELECT event_id, count(*)::BIGINT AS times FROM events GROUP BY 1")
+def x1_growing_stream(spark, sf_dir):
+    """A folder followed in two runs of one stream: half the events are there at first; then a file is renamed and the others come."""
+    import os
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("value"))
+    place = f"{folder(spark)}/growing-{uuid.uuid4().hex}"
+    base = _base(spark)
+
+    def run() -> None:
+        rows = growing.follow(spark, f"{place}/*", split_bytes=4000)
+        rows.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    e.where("value % 2 = 0").repartition(3).write.mode("append").text(place)
+    run()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = [x.path for x in growing._files(place)[1]]
+    store = hadoop(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.rename(hadoop(f"{place}/{os.path.basename(files[0])}"), hadoop(f"{place}/rotated.1"))
+    e.where("value % 2 = 1").repartition(3).write.mode("append").text(place)
+    run()
+    return spark.read.schema(growing.SCHEMA).parquet(f"{base}/table").groupBy(F.col("value").cast("bigint").alias("event_id")).agg(F.count("*").alias("times"))
+
+
 @query(f"SELECT event_id, strftime(date_trunc('millisecond', ts), {FMT}) AS log_time, log_level FROM {EVENTS}")
 def x2_parsed_stream(spark, sf_dir):
     """Lines are parsed as they come: the container's mark goes and the rest is a line of a format."""

@@ -18,7 +18,7 @@ from strandlog.operators import tables as T
 from strandlog.operators.shared import folder
 from strandlog.plans.queries import ACCESS, EVENTS, FMT, LEVEL, access_log, events, stamp, table
 from strandlog.plans.registry import query
-from strandlog.sources import formats, json_formats, structured, times
+from strandlog.sources import formats, growing, json_formats, structured, times
 
 SECOND = f"strftime(date_trunc('second', ts), {FMT})"
 
@@ -524,13 +524,16 @@ def i26_attached_tables(spark, sf_dir):
 
 @query("SELECT count(*) AS lines, 0::BIGINT AS gaps FROM events")
 def i1_text_scan(spark, sf_dir):
-    """Lines written to several files are read again in file order: each file's numbers have no gap."""
+    """Lines written to several files are read again in pieces of 2,000 bytes: each file's offsets have no gap, and neither have line numbers."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("value"))
     path = _target(spark)
     e.repartition(4).write.text(path)
-    rows = structured.read_lines(spark, path)
-    files = rows.groupBy("log_path").agg(F.count("*").alias("n"), F.max("file_line").alias("last"), F.count_distinct("file_line").alias("kinds"))
-    return files.agg(F.sum("n").alias("lines"), F.sum(F.abs(F.col("last") + 1 - F.col("n")) + F.abs(F.col("kinds") - F.col("n"))).cast("bigint").alias("gaps"))
+    rows = growing.read_lines(spark, path, split_bytes=2000)
+    size = F.octet_length("value") + 1
+    files = rows.groupBy("log_path").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.max(F.col("file_line") + size).alias("end"), F.count_distinct("file_line").alias("kinds"))
+    numbers = structured.numbered_lines(rows).groupBy("log_path").agg(F.max("file_line").alias("last"), F.count_distinct("file_line").alias("numbers"))
+    off = F.abs(F.col("end") - F.col("bytes")) + F.abs(F.col("kinds") - F.col("n")) + F.abs(F.col("last") + 1 - F.col("n")) + F.abs(F.col("numbers") - F.col("n"))
+    return files.join(numbers, "log_path").agg(F.sum("n").alias("lines"), F.sum(off).cast("bigint").alias("gaps"))
 
 
 @query(f"SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'yyyy-MM-dd HH:mm:ss,SSS' WHEN 1 THEN 'dd/MMM/yyyy:HH:mm:ss XX' WHEN 2 THEN 'year MMM d HH:mm:ss' WHEN 3 THEN 'us' WHEN 4 THEN 'ms' WHEN 5 THEN 'MMM d HH:mm:ss yyyy' WHEN 6 THEN 'd MMM yyyy HH:mm:ss.SSS' ELSE 'tai64n' END AS layout, {SECOND} AS log_time FROM events")

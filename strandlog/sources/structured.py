@@ -11,18 +11,9 @@ from strandlog.operators.carry import carry
 ANSI = r"\x1B\[[0-9;?]*[A-Za-z]"
 
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(log_path, file_line, value): lines in file order, compressed files by their extension.
-
-    file_line orders a file's lines: the part of the file in the upper bits, the line within the part below.
-    """
-    rows = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
-    parts = rows.groupBy("log_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("log_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("log_path", "_start", "_first", before.alias("_before"))
-    return rows.join(parts, ["log_path", "_start"]).select("log_path", (F.col("_before") + F.col("_id") - F.col("_first")).alias("file_line"), "value")
+def numbered_lines(lines: DataFrame, path: str = "log_path", line: str = "file_line") -> DataFrame:
+    """Lines whose numbers are byte offsets (see sources/growing.py) with numbers from 0 in their place, worked off in blocks."""
+    return carry(lines, [path], line, _n=("sum", F.lit(1))).withColumn(line, F.col("_n") - 1).drop("_n")
 
 
 def scrub_ansi(text: Column | str) -> Column:

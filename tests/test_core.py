@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from strandlog.functions import text as X
 from strandlog.operators import analytics as A
 from strandlog.operators import messages as M
 from strandlog.operators.carry import carry, previous
-from strandlog.sources import formats, structured
+from strandlog.sources import growing, formats, structured
 
 
 def lines(spark, *values, path="f"):
@@ -58,8 +60,24 @@ def test_logfmt_zeek_w3c(spark):
 def test_read_lines_keeps_file_order(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.log").write_text("".join(f"{name}{i}\n" for i in range(500)))
-    got = structured.read_lines(spark, str(tmp_path)).orderBy("log_path", "file_line").collect()
-    assert [x.value for x in got] == [f"{n}{i}" for n in "ab" for i in range(500)] and got[499].file_line == 499
+    want = [f"{n}{i}" for n in "ab" for i in range(500)]
+    for split in (7, 100, 1 << 20):  # the same numbers however the files are cut
+        lines = growing.read_lines(spark, str(tmp_path), split_bytes=split)
+        got = lines.orderBy("log_path", "file_line").collect()
+        assert [x.value for x in got] == want and [x.file_line for x in got[:12]] == [*range(0, 30, 3), 30, 34]
+    assert "Join" not in lines._jdf.queryExecution().toString()
+    assert [x.file_line for x in structured.numbered_lines(lines).orderBy("log_path", "file_line").collect()] == [*range(500)] * 2
+
+
+def test_read_lines_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\n\nx\r\n" + b"y" * 50 + b"\n\xff\xfe\nend")
+    (tmp_path / "b.txt").write_bytes(b"")
+    (tmp_path / "c.txt.gz").write_bytes(gzip.compress(b"packed\nlines\n"))
+    want = [("", 0), ("", 1), ("x", 2), ("y" * 50, 5), ("\ufffd\ufffd", 56), ("end", 59), ("packed", 0), ("lines", 7)]
+    for split in (1, 3, 10, 1000):
+        got = growing.read_lines(spark, f"file://{tmp_path}", split_bytes=split).orderBy("log_path", "file_line").collect()
+        assert [(x.value, x.file_line) for x in got] == want
+    assert growing.read_lines(spark, f"{tmp_path}/none*").collect() == []
 
 
 def test_sort_keys(spark):

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog.sources import formats
+from strandlog.sources import formats, growing
 from strandlog.streaming import ops, ordered
 
 
@@ -104,3 +104,46 @@ def test_watch_and_statistics(spark, tmp_path):
     assert sorted((x.watch, x.content) for x in out.collect()) == [("big", '{"watch":"big","id":2}'), ("big", '{"watch":"big","id":3}'), ("huge", '{"watch":"huge","id":3}')]
     total = ops.drain(ops.statistics(stream.withColumn("k", F.lit(1)), ["k"], "v"), f"file://{tmp_path}/out", "complete").collect()
     assert [(x["count"], x["sum"], x["max"]) for x in total] == [(3, 555.0, 500.0)]
+
+
+def test_growing_files(spark, tmp_path):
+    """Appended, truncated, replaced and rotated files between the runs of one stream: each line once, also after a restart."""
+    logs, base = tmp_path / "logs", tmp_path / "out"
+    logs.mkdir()
+    (logs / "a.log").write_text("a1\na2\npart")
+    (logs / "b.log").write_text("b1\nb2\nb3\n")
+    (logs / "r.log").write_text("r1\nr2\n")
+    (logs / "_hidden").write_text("no\n")
+
+    def run():
+        rows = growing.follow(spark, str(logs), split_bytes=4)
+        rows.writeStream.format("parquet").option("path", str(base / "table")).option("checkpointLocation", str(base / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(x.value for x in spark.read.schema(growing.SCHEMA).parquet(str(base / "table")).collect())
+
+    seen = ["a1", "a2", "b1", "b2", "b3", "r1", "r2"]
+    assert run() == seen
+    with open(logs / "a.log", "a") as f:
+        f.write("ial\na3\n")  # appended, the open line among it
+    (logs / "b.log").write_text("c1\n")  # truncated
+    with open(logs / "r.log", "a") as f:
+        f.write("r3\n")  # appended before it is rotated
+    (logs / "r.log").rename(logs / "r.log.1")
+    (logs / "r.log").write_text("s1\ns2\ns3\ns4\n")
+    seen = sorted([*seen, "partial", "a3", "c1", "r3", "s1", "s2", "s3", "s4"])
+    assert run() == seen
+    assert run() == seen, "nothing new, nothing read again"
+    (logs / "r.log.1").rename(logs / "r.log.2")
+    (logs / "r.log").rename(logs / "r.log.1")
+    (logs / "new.log").write_text("n1\nn2")
+    assert run() == sorted([*seen, "n1"])
+
+
+def test_growing_offsets_of_equal_first_lines(tmp_path):
+    (tmp_path / "x.log").write_text("#head\n1\n")
+    reader = growing.Growing({"path": str(tmp_path)})
+    first = reader.latestOffset()
+    (tmp_path / "y.log").write_text("#head\n2\n")
+    second = reader.latestOffset()
+    assert [(r.path[-5:], r.begin, r.end) for r in reader.partitions(first, second)] == [("y.log", 0, 8)]
+    (tmp_path / "x.log").write_text("#head\n")
+    assert [(r.path[-5:], r.begin, r.end) for r in reader.partitions(second, reader.latestOffset())] == [("x.log", 0, 6)]

@@ -348,44 +348,3 @@ def url_parts(url: Column | str) -> Column:
         F.nullif(F.regexp_extract(authority, r":(\d+)$", 1), F.lit("")).alias("port"), part("PATH").alias("path"), part("QUERY").alias("query"),
         F.to_json(F.map_from_entries(last), {"ignoreNullFields": "false"}).alias("parameters"), part("REF").alias("fragment"),
     )
-
-
-#: Stand-in words of pseudonyms.
-STAND_INS = ("amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heath", "inlet", "jetty", "knoll", "larch", "maple", "north", "ocean", "petal")
-
-
-def _stand_in(x: Column, salt: str) -> Column:
-    """Two words and six hex digits from the SHA-256 of salt and value."""
-    h = F.sha2(F.concat(F.lit(salt), x), 256)
-    words = F.array(*map(F.lit, STAND_INS))
-    word = lambda i: F.get(words, F.conv(F.substring(h, i, 1), 16, 10).cast("int"))
-    return F.concat_ws("-", word(1), word(2), F.substring(h, 3, 6))
-
-
-#: The kinds of tokens that pseudonyms stand for, in the order they are tried.
-PERSONAL = (
-    ("url", r"\b[a-z][a-z0-9+.-]*://[^\s\"'<>]+"),
-    ("email", r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
-    ("uuid", r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"),
-    ("mac", r"\b[0-9a-fA-F]{2}(?:[:-][0-9a-fA-F]{2}){5}\b"),
-    ("ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
-    ("short ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}\b"),
-    ("ipv4", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"),
-    ("path", r"\B/(?:[\w.-]+/)+[\w.-]*"),
-    ("card", r"\b\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}\b"),
-    ("phone", r"\+\d[\d ()-]{7,}\d"),
-    ("hex", r"\b0x[0-9a-fA-F]+\b"),
-    ("digest", r"\b[0-9a-f]{16,}\b"),
-)
-
-
-def anonymize(df: DataFrame, column: str, salt: str = "") -> DataFrame:
-    """The column with URLs, e-mail, MAC and IP addresses, UUIDs, paths, card and phone numbers and hex numbers replaced by stand-ins.
-
-    A stand-in depends on the salt and the value alone, so it is the same in every row and partition.
-    """
-    pattern = "|".join(f"(?:{k})" for _, k in PERSONAL)
-    found = F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(column, pattern, -1)
-    out = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.when(i < F.size(found), _stand_in(F.get(found, i), salt)).otherwise(""))), "")
-    return df.withColumn(column, F.when(F.col(column).isNotNull(), out))

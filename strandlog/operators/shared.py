@@ -23,3 +23,9 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it has fewer parts than there are; for costly steps on few small files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import text as X
 from strandlog.operators import analytics as A
+from strandlog.operators import pseudonyms as P
 from strandlog.operators import messages as M
 from strandlog.operators import tables as T
 from strandlog.operators.carry import numbered
@@ -420,17 +423,28 @@ def d13_url_parts(spark, sf_dir):
     return out.select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
 
 
-_PERSONAL = "|".join(f"(?:{k})" for _, k in A.PERSONAL).replace("'", "''")
-_HASH = "sha256('salt' || found[i])"
-_STAND_IN = f"({list(A.STAND_INS)})[strpos('0123456789abcdef', {_HASH}[1])] || '-' || ({list(A.STAND_INS)})[strpos('0123456789abcdef', {_HASH}[2])] || '-' || substr({_HASH}, 3, 6)"
-
-
-@query(
-    f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(range(1, len(between_) + 1), lambda i: between_[i] || CASE WHEN i <= len(found) THEN {_STAND_IN} ELSE '' END), '') END AS text "
-    f"FROM (SELECT doc_id, text, string_split_regex(text, '{_PERSONAL}') AS between_, regexp_extract_all(text, '{_PERSONAL}') AS found FROM documents)"
-)
+@query("SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9]+', 'x', 'g')) AS form FROM documents")
 def d10_anonymize(spark, sf_dir):
-    return A.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "salt")
+    """Personal tokens and words replaced, the texts' form as it was."""
+    out = P.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "salt", words=True)
+    return out.select("doc_id", F.sha2(F.regexp_replace("text", "[A-Za-z0-9]+", "x"), 256).alias("form"))
+
+
+_TOKENS = {"email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "ipv4": r"\b(?:\d{1,2}|1\d\d)(?:\.(?:\d{1,2}|1\d\d)){3}\b", "phone": r"\+\d[\d ()-]{7,}\d", "word": r"[A-Za-z]{5,}"}
+_FOUND = " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(regexp_extract_all(text, '{pattern}')) AS value FROM documents" for kind, pattern in _TOKENS.items())
+
+
+@query(f"SELECT kind, count(*)::BIGINT AS tokens, count(DISTINCT value)::BIGINT AS n_values, count(DISTINCT value)::BIGINT AS n_stand_ins, count(*)::BIGINT AS of_the_kind FROM ({_FOUND}) GROUP BY 1")
+def d10_stand_ins(spark, sf_dir):
+    """As many stand-ins as values of each kind, all of that kind."""
+    docs = table(spark, sf_dir, "documents")
+    parts = [docs.select(F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("value")) for kind, pattern in _TOKENS.items()]
+    counts = functools.reduce(DataFrame.unionByName, parts).groupBy("kind", "value").agg(F.count("*").alias("n"))
+    rows = P.stand_ins(counts, "value", "kind", salt="salt")
+    fits = F.lit(False)
+    for kind, pattern in (*P.KINDS, P.WORD):
+        fits = F.when(F.col("kind") == kind, F.col("stand_in").rlike(f"^(?:{pattern})$")).otherwise(fits)
+    return rows.groupBy("kind").agg(F.sum("n").alias("tokens"), F.count_distinct("value").alias("n_values"), F.count_distinct("stand_in").alias("n_stand_ins"), F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("of_the_kind"))
 
 
 # -- analytics --------------------------------------------------------------------------------------

@@ -125,10 +125,6 @@ def test_skew_filters_and_metadata(spark):
 def test_templates_and_pseudonyms(spark):
     df = spark.createDataFrame([("user 12 from 10.0.0.1 took 5.5% of /var/log/a.txt",), ("user 7 from 10.0.0.2 took 1% of /tmp/b",)], "b string")
     assert {x[0] for x in df.select(A.template("b")).collect()} == {"user # from # took # of #"}
-    mail = spark.createDataFrame([("write to a.b@c.org or 10.1.2.3, a.b@c.org",), (None,)], "t string").repartition(2)
-    out = [x.t for x in A.anonymize(mail, "t", "s").collect() if x.t]
-    first, second = out[0].split(" or ")[0][9:], out[0].rsplit(", ", 1)[1]
-    assert first == second and "@" not in out[0] and "10.1" not in out[0]
 
 
 def test_entry_and_oracles(spark):

@@ -14,6 +14,7 @@ from strandlog.functions import text as X
 from strandlog.operators import analytics as A
 from strandlog.operators import discovery as D
 from strandlog.operators import messages as M
+from strandlog.operators import scanner
 from strandlog.operators import tables as T
 from strandlog.operators.shared import folder
 from strandlog.plans.queries import ACCESS, EVENTS, FMT, LEVEL, access_log, events, stamp, table
@@ -626,3 +627,25 @@ def w12_reaction_on_a_view(spark, sf_dir):
     events(spark, sf_dir).createOrReplaceTempView("message_rows")
     spark.sql("CREATE OR REPLACE TEMPORARY VIEW kind_counts AS SELECT event_type, count(*) AS n FROM message_rows GROUP BY event_type")
     return spark.sql("SELECT event_type, n FROM kind_counts WHERE n > (SELECT avg(n) FROM kind_counts)")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uid, eid = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    body = F.concat(F.lit("user="), uid, F.lit(" fan speed: "), eid, F.lit(" rpm, from 10.0.0.1 ["), uid, F.lit(","), eid, F.lit("] (kind="), F.col("event_type"), F.lit(") at /srv/"), F.col("event_type"), F.lit(".log"))
+    return events(spark, sf_dir).select("event_id", body.alias("log_body"))
+
+
+@query("SELECT kind, n * (SELECT count(*) FROM events) AS tokens FROM (VALUES ('word', 8), ('equals', 2), ('number', 4), ('colon', 1), ('comma', 2), ('ipv4', 1), ('open', 2), ('close', 2), ('path', 1)) t(kind, n)")
+def d1_token_classes(spark, sf_dir):
+    """How many tokens of each class the messages have, each scanned once."""
+    found = scanner.with_tokens(_scanned(spark, sf_dir))
+    return found.select(F.explode("tokens.kind").alias("kind")).groupBy("kind").agg(F.count("*").alias("tokens"))
+
+
+@query(
+    "SELECT event_id, '{\"user\": ' || user_id || ', \"fan speed\": ' || event_id || ', \"col_0\": \"rpm\", \"col_1\": \"10.0.0.1\", \"col_2\": [' || user_id || ', ' || event_id || '], \"col_3\": {\"kind\": \"' || event_type || '\"}, \"col_4\": \"/srv/' || event_type || '.log\"}' AS fields, "
+    "'user=# fan speed: # #, from # [#] (#) at #' AS format FROM events"
+)
+def d2_scanned_pairs(spark, sf_dir):
+    """Pairs by separators, groups and places, with the messages' format."""
+    return scanner.with_pairs(_scanned(spark, sf_dir)).select("event_id", "fields", "format")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bpe
 from ._memory import tidy, tidy_cogroup
 from ._shared import kept
 from ._words import chunks, texts_of
@@ -48,8 +49,15 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows and each row's number of them."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum())), sizes
+
+
 class Side:
-    """A vocabulary: encode() for texts, and per id its bytes, their number and the id in decimal."""
+    """A vocabulary: encode() gives the ids of all texts, one behind another, and each text's number of them; per id its
+    bytes, their number and the id in decimal."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = pa.array(tokens, pa.large_binary())
@@ -71,8 +79,46 @@ class ByteLevel(Side):
         entries = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         super().__init__([bytes(byte[c] for c in entries[i]) if i in entries else b"" for i in range(max(entries) + 1)])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.classes = bpe.code_point_classes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
+        self.ids, self.first = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece of the vocabulary's pattern is worked out once and remembered; pieces don't depend on each other."""
+        spaced = [b" " + t if t else b"" for t in texts]
+        data = b"".join(spaced)
+        if not data:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        cp = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        width = 1 + (cp >= 0x80).view(np.uint8) + (cp >= 0x800).view(np.uint8) + (cp >= 0x10000).view(np.uint8)
+        place = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
+        borders = np.concatenate(([0], np.cumsum([len(t) for t in spaced])))
+        begins = np.zeros(len(cp), bool)
+        heads = np.searchsorted(place, borders[:-1])
+        begins[heads[heads < len(cp)]] = True
+        starts = place[bpe.split_points(cp, begins, self.classes)]
+        pieces = [data[i:j] for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(data)])]
+        self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        counts = np.diff(self.first)[at]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.first[at] - total[:-1], counts)]
+        if len(self.known) > bpe.REMEMBER or self.known_bytes > bpe.REMEMBER_BYTES:
+            self._forget()
+        return ids, np.diff(total[np.searchsorted(starts, borders)])
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        if pieces:
+            rows = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+            self.known.update(zip(pieces, range(len(self.first) - 1, len(self.first) - 1 + len(pieces))))
+            self.known_bytes += sum(map(len, pieces))
+            flat, sizes = _flat(rows)
+            self.ids = np.concatenate((self.ids, flat))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(sizes)))
 
 
 class Pieces(Side):
@@ -87,8 +133,8 @@ class Pieces(Side):
 
         super().__init__([of(i) for i in range(self.model.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.model.encode([t.decode() for t in texts], num_threads=1))
 
 
 _loaded: dict[str, Side] = {}
@@ -102,17 +148,12 @@ def side(kind: type[Side], data: bytes) -> Side:
     return _loaded[key]
 
 
-def _lists(rows: list[list[int]]) -> pa.LargeListArray:
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
-    return pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(flat))
-
-
 class Flat:
     """One side's tokens of all texts: ids, their texts' numbers, and where each ends in its text, in bytes."""
 
-    def __init__(self, side: Side, rows: list[list[int]], texts: list[bytes]):
-        lists = _lists(rows)
+    def __init__(self, side: Side, texts: list[bytes]):
+        ids, counts = side.encode(texts)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts)))), pa.array(ids))
         self.ids, self.doc = lists.flatten(), pc.list_parent_indices(lists)
         sums = pc.cumulative_sum(side.sizes.take(self.ids)).to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy()
@@ -122,10 +163,11 @@ class Flat:
         data = data.to_pybytes() if data else b""
         self.right = [bool(t) and data[a:b] == b" " + t for t, a, b in zip(texts, self.base[:-1].tolist(), self.base[1:].tolist())]
 
-    def table(self, right: pa.Array, name: str) -> pa.Table:
-        """(doc, end, name, place) of the texts that are right."""
+    def table(self, right: pa.Array, shift: pa.Array, name: str) -> pa.Table:
+        """(at, doc, name, place) of the texts that are right; at: the document-end key, the end moved by the document's shift."""
+        keys = pc.add(self.end, shift.take(self.doc))
         place = pa.array(np.arange(len(self.ids)))
-        return pa.table({"doc": self.doc, "end": self.end, name: self.ids, f"{name}_at": place}).filter(right.take(self.doc))
+        return pa.table({"at": keys, f"{name}_doc": self.doc, name: self.ids, f"{name}_at": place}).filter(right.take(self.doc))
 
 
 def _text(x: str) -> pa.Scalar:
@@ -140,23 +182,17 @@ def _grouped(names: pa.Array, group: np.ndarray, groups: int) -> pa.Array:
 
 def align_texts(texts: list[bytes], a: Side, b: Side) -> tuple[dict[str, np.ndarray], pa.Array, list[np.ndarray]]:
     """Per text the counts, the groups as text, and the pairs of linked ids, a * len(b) + b, in order."""
-    plain = [t.decode() for t in texts]
-    full = [i for i, t in enumerate(plain) if t]
-    rows_a, rows_b = [[] for _ in texts], [[] for _ in texts]
-    for rows, side in ((rows_a, a), (rows_b, b)):
-        for i, ids in zip(full, side.encode([plain[i] for i in full])):
-            rows[i] = ids
-    flat_a, flat_b = Flat(a, rows_a, texts), Flat(b, rows_b, texts)
+    flat_a, flat_b = Flat(a, texts), Flat(b, texts)
     right = pa.array([x and y for x, y in zip(flat_a.right, flat_b.right)], pa.bool_())
-    left_table, right_table = flat_a.table(right, "a"), flat_b.table(right, "b")
-    links = left_table.join(right_table, ["doc", "end"], join_type="inner", use_threads=False).sort_by([("a_at", "ascending"), ("b_at", "ascending")])
-    column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
     n = len(texts)
-    # ends of all texts in one rising order: those of text i are moved by all earlier texts' bytes and by i
+    # keys of all texts in one rising order: those of text i are moved by all earlier texts' bytes and by i
     shift = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))[:n]
-    doc, end = column(links, "doc"), column(links, "end")
-    cuts = np.unique(end + shift[doc]) if len(doc) else np.empty(0, np.int64)
-    of_a, of_b = (np.searchsorted(cuts, column(t, "end") + shift[column(t, "doc")]) for t in (left_table, right_table))
+    left_table, right_table = (x.table(right, pa.array(shift, pa.int64()), name) for x, name in ((flat_a, "a"), (flat_b, "b")))
+    links = left_table.join(right_table, "at", join_type="inner", use_threads=False).sort_by([("a_at", "ascending"), ("b_at", "ascending")])
+    column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
+    doc, at = column(links, "a_doc"), column(links, "at")
+    cuts = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    of_a, of_b = (np.searchsorted(cuts, column(t, "at")) for t in (left_table, right_table))
     names = lambda t, c, side: side.names.take(t[c].combine_chunks())
     both = pc.binary_join_element_wise(
         _grouped(names(left_table, "a", a), of_a, len(cuts)), _grouped(names(right_table, "b", b), of_b, len(cuts)), _text("|")
@@ -165,8 +201,8 @@ def align_texts(texts: list[bytes], a: Side, b: Side) -> tuple[dict[str, np.ndar
     groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cut_of), both), _text(";"))
     pairs = column(links, "a").astype(np.int64) * len(b) + column(links, "b")
     link_of = np.searchsorted(doc, np.arange(n + 1))
-    count = lambda t: np.bincount(column(t, "doc"), minlength=n)
-    counts = {"n_a": count(left_table), "n_b": count(right_table), "n_groups": np.diff(cut_of), "n_links": np.diff(link_of)}
+    count = lambda t, c: np.bincount(column(t, c), minlength=n)
+    counts = {"n_a": count(left_table, "a_doc"), "n_b": count(right_table, "b_doc"), "n_groups": np.diff(cut_of), "n_links": np.diff(link_of)}
     return counts, groups, [pairs[i:j] for i, j in zip(link_of[:-1], link_of[1:])]
 
 

@@ -135,8 +135,8 @@ def brute_alignment(text, sides):
     if not text:
         return [], []
     out = []
-    for side in (a, b):
-        ids, end, rows = side.encode([text])[0], 0, []
+    for side, whole in ((a, a.tokenizer.encode(" " + text, add_special_tokens=False).ids), (b, b.model.encode(text))):
+        ids, end, rows = whole, 0, []
         for i in ids:
             end += len(side.tokens[i].as_py())
             rows.append((i, end))

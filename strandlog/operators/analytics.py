@@ -90,6 +90,22 @@ def merge_statistics(parts: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", "s", "low", "high", mean.alias("mean"), spread.alias("stdev"), F.hll_sketch_estimate("sketch").alias("about_distinct"))
 
 
+#: Size of a quantile sketch: its ranks are off by less than a hundredth.
+SKETCH_K = 400
+
+
+def partial_quantiles(df: DataFrame, keys: list[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """A sketch of the values of each group, of a bounded size: rows that can be kept for each file and merged later."""
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("quantiles"))
+
+
+def merge_quantiles(parts: DataFrame, keys: list[str], **ranks: float) -> DataFrame:
+    """About the value at each rank of 0 to 1, from the sketches of groups' parts; null for a group without values."""
+    merged = parts.groupBy(*keys).agg(F.kll_merge_agg_double("quantiles").alias("_q"))
+    some = F.kll_sketch_get_n_double("_q") > 0
+    return merged.select(*keys, *(F.when(some, F.kll_sketch_get_quantile_double("_q", F.lit(rank))).alias(name) for name, rank in ranks.items()))
+
+
 def column_statistics(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     aggs = []
     for x in columns:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlog.functions.text import level_ordinal
+from strandlog.functions.text import ip_key, level_ordinal, measure, natural_key
 from strandlog.operators.analytics import MASKS, search_table, template
 from strandlog.sources.layouts import columns, layout
 
@@ -16,6 +16,10 @@ from strandlog.sources.layouts import columns, layout
 SAMPLES = (("foobar", "string"), ("123.0", "double"), ("123", "bigint"))
 
 
+#: What a capture that is none of these is tried on next, and the order that its values are sorted in.
+ORDERED_SAMPLES = (("10.0.0.1", "address"), ("9KB", "measure"), ("1.5KB", "measure"), ("5s", "measure"), ("1:30:00", "measure"))
+
+
 def group_bodies(pattern: str) -> dict[str, str]:
     """The regex inside each named group."""
     out, stack, i = {}, [], 0
@@ -48,9 +52,33 @@ def guess_kinds(pattern: str) -> dict[str, str]:
     return kinds
 
 
+def guess_orders(pattern: str) -> dict[str, str]:
+    """The order of the named groups' values where it isn't that of their type: address or measure."""
+    out = {}
+    for name, body in group_bodies(pattern).items():
+        plain = re.sub(r"\(\?P?<\w+>", "(", body)
+        fits = lambda sample: re.fullmatch(plain, sample)  # noqa: E731, B023
+        if not any(fits(sample) for sample, _ in SAMPLES):
+            out |= {name: order for sample, order in reversed(ORDERED_SAMPLES) if fits(sample)}
+    return out
+
+
+def sort_key(df: DataFrame, column: str) -> Column:
+    """What to sort a column by: the key of the order that its metadata names (see named_search_table), else itself."""
+    order = df.schema[column].metadata.get("order")
+    keys = {"address": ip_key, "measure": measure, "natural": natural_key}
+    return keys[order](column) if order else F.col(column)
+
+
+def in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """df sorted by these columns, each in its own order."""
+    return df.orderBy(*(sort_key(df, x) for x in columns))
+
+
 def named_search_table(messages: DataFrame, pattern: str, key: list[str], body: str = "log_body", level: str | None = None, glob: str | None = None, path: str = "log_path") -> DataFrame:
     """A row for each match of a regex with named groups: match_index and typed captures (null where a group took no part).
 
+    Columns of addresses and measures name their order in their metadata, for sort_key() and in_order().
     level: only messages of this level; glob: only files whose path matches.
     """
     from strandlog.operators.messages import glob_regex
@@ -61,7 +89,9 @@ def named_search_table(messages: DataFrame, pattern: str, key: list[str], body:
     plain, names = positional(pattern)
     kinds = guess_kinds(pattern)
     out = search_table(rows, plain, [n or f"_{i}" for i, n in enumerate(names)], key, body, {n: k for n, k in kinds.items() if k != "string"})
-    return out.select(*key, "match_index", *(F.nullif(F.col(n), F.lit("")).alias(n) if kinds[n] == "string" else F.col(n) for n in names if n))
+    orders = guess_orders(pattern)
+    told = lambda n: {"metadata": {"order": orders[n]}} if n in orders else {}
+    return out.select(*key, "match_index", *(F.nullif(F.col(n), F.lit("")).alias(n, **told(n)) if kinds[n] == "string" else F.col(n) for n in names if n))
 
 
 @dataclass(frozen=True)

@@ -195,3 +195,18 @@ def sub_operations(messages: DataFrame, opid: str, subid: str, time: str = "log_
     return parts.groupBy(opid).agg(F.array_sort(F.collect_list(F.struct("start", subid, "stop", "total"))).alias("ranges"))
 
 
+def sub_operation_ranges(messages: DataFrame, opid: str, subid: str, opens: Column, closes: Column, order: list[str], time: str = "log_time") -> DataFrame:
+    """(opid, subid, range, start, stop, total, closed): every time that a sub-operation is open, numbered from 1.
+
+    A range begins with a message that opens it, with the first one after a close, or with the first of all; it ends with a
+    message that closes it or before the next that opens. order makes all rows unique. Rows go in blocks, so one operation
+    with most of the messages isn't one task.
+    """
+    from strandlog.operators.carry import carry, numbered, previous
+
+    rows = messages.select(*dict.fromkeys([opid, subid, time, *order]), F.coalesce(opens, F.lit(False)).alias("_opens"), F.coalesce(closes, F.lit(False)).alias("_closes"))
+    rows = numbered(rows.where(F.col(opid).isNotNull() & F.col(subid).isNotNull()), order, "_n")
+    rows = previous(rows, [opid, subid], "_n", "_closes", "_closed_before")
+    begins = F.col("_opens") | F.coalesce(F.col("_closed_before"), F.lit(True))
+    rows = carry(rows.withColumn("_begins", begins.cast("bigint")), [opid, subid], "_n", range=("sum", F.col("_begins")))
+    return rows.groupBy(opid, subid, "range").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.count("*").alias("total"), F.max("_closes").alias("closed"))

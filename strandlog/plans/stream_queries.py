@@ -118,7 +118,7 @@ def x2_recognized_stream(spark, sf_dir):
         .otherwise(F.concat(F.lit("10.0.0.1 - - ["), F.date_format(at, "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0000] "GET /'), F.col("event_id").cast("string"), F.lit(' HTTP/1.1" 200 5')))
     )
     rows = e.select((F.col("event_id") % 3).cast("string").alias("log_path"), F.floor(F.col("event_id") / 3).alias("file_line"), line.alias("value"), "event_id")
-    stream = shuffled(spark, rows)
+    stream = shuffled(spark, rows, parts=2)
     out = ordered.recognized(stream, _base(spark), sample=500, year=2024).drained(stream)
     return out.select(F.regexp_extract("log_body", r"(\d+)$", 1).cast("bigint").alias("event_id"), "log_format", stamp("log_time").alias("log_time"))
 

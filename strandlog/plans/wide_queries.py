@@ -11,15 +11,17 @@ from strandlog import sinks
 from strandlog.functions import json_text as J
 from strandlog.functions import registered
 from strandlog.functions import text as X
+from strandlog.functions import time_slices
 from strandlog.operators import analytics as A
 from strandlog.operators import discovery as D
 from strandlog.operators import messages as M
 from strandlog.operators import scanner
 from strandlog.operators import tables as T
+from strandlog.operators.carry import numbered
 from strandlog.operators.shared import folder
 from strandlog.plans.queries import ACCESS, EVENTS, FMT, LEVEL, access_log, events, stamp, table
 from strandlog.plans.registry import query
-from strandlog.sources import formats, growing, json_formats, structured, times
+from strandlog.sources import formats, growing, json_formats, sqlite, structured, times
 
 SECOND = f"strftime(date_trunc('second', ts), {FMT})"
 
@@ -649,3 +651,62 @@ def d1_token_classes(spark, sf_dir):
 def d2_scanned_pairs(spark, sf_dir):
     """Pairs by separators, groups and places, with the messages' format."""
     return scanner.with_pairs(_scanned(spark, sf_dir)).select("event_id", "fields", "format")
+
+
+@query(
+    f"SELECT event_id, strftime(CASE WHEN hour(ts) = 8 THEN date_trunc('hour', ts) END, {FMT}) AS at_eight, strftime(CASE WHEN isodow(ts) = 5 THEN date_trunc('day', ts) END, {FMT}) AS fridays, "
+    f"strftime(CASE WHEN hour(ts) < 12 AND isodow(ts) < 6 THEN date_trunc('day', ts) END, {FMT}) AS mornings, strftime(CASE WHEN hour(ts) >= 22 THEN date_trunc('day', ts) + INTERVAL 22 HOUR WHEN hour(ts) < 4 THEN date_trunc('day', ts) - INTERVAL 2 HOUR END, {FMT}) AS nights, "
+    f"strftime(time_bucket(INTERVAL 90 MINUTE, ts, TIMESTAMP '1970-01-01'), {FMT}) AS slices, strftime(CASE WHEN month(ts) = 1 THEN date_trunc('month', ts) END, {FMT}) AS january FROM events"
+)
+def q1_time_expressions(spark, sf_dir):
+    at = lambda text: stamp(time_slices.time_slice("log_time", text))
+    return events(spark, sf_dir).select(
+        "event_id", at("8 am").alias("at_eight"), at("fri").alias("fridays"), at("weekdays before 12pm").alias("mornings"), at("10pm to 4am").alias("nights"), at("1h30m").alias("slices"), at("jan").alias("january")
+    )
+
+
+@query(
+    "WITH m AS (SELECT *, event_id % 5 AS sub FROM events), p AS (SELECT *, coalesce(lag(event_type = 'purchase') OVER w, TRUE) AS closed_before FROM m WINDOW w AS (PARTITION BY user_id, sub ORDER BY event_id)), "
+    "r AS (SELECT *, sum(CASE WHEN event_type = 'signup' OR closed_before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, sub ORDER BY event_id) AS range FROM p) "
+    f"SELECT user_id, sub, range::BIGINT AS range, strftime(min(ts), {FMT}) AS start, strftime(max(ts), {FMT}) AS stop, count(*) AS total, bool_or(event_type = 'purchase') AS closed FROM r GROUP BY 1, 2, 3"
+)
+def q9_sub_operation_ranges(spark, sf_dir):
+    """A sub-operation that closes and opens again has several ranges."""
+    rows = events(spark, sf_dir).withColumn("sub", F.col("event_id") % 5)
+    out = T.sub_operation_ranges(rows, "user_id", "sub", F.col("event_type") == "signup", F.col("event_type") == "purchase", ["event_id"])
+    return out.withColumns({"start": stamp("start"), "stop": stamp("stop")})
+
+
+@query("SELECT event_type, count(*) AS n, TRUE AS median_fits, TRUE AS high_fits FROM events GROUP BY 1")
+def a14_merged_quantiles(spark, sf_dir):
+    """Quantiles merged from the sketches of eight files; each lies within 2 % of its rank among all values."""
+    e = events(spark, sf_dir)
+    merged = A.merge_quantiles(A.partial_quantiles(e, ["log_path", "event_type"], "value"), ["event_type"], median=0.5, high=0.95)
+    rows = e.select("event_type", "value").join(merged, "event_type")
+    share = lambda q: (F.count_if(F.col("value") < F.col(q)) / F.count("*"), F.count_if(F.col("value") <= F.col(q)) / F.count("*"))
+    fits = lambda q, rank: (share(q)[0] <= rank + 0.02) & (share(q)[1] >= rank - 0.02)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), fits("median", 0.5).alias("median_fits"), fits("high", 0.95).alias("high_fits"))
+
+
+@query("SELECT s_name, count(*) AS events, round(sum(value), 4) AS total FROM (SELECT * FROM supplier WHERE s_suppkey > 5) JOIN events ON s_suppkey = user_id GROUP BY 1")
+def i26_sqlite_join(spark, sf_dir):
+    """A SQLite file read by ranges of rows, filtered by the database and joined with the messages."""
+    path = f"{folder(spark)}/shop-{uuid.uuid4().hex}.db"
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    sqlite.write_table(names, path, "supplier")
+    found = sqlite.read_table(spark, path, "supplier", partitions=4).where("s_suppkey > 5")
+    out = found.join(table(spark, sf_dir, "events"), F.col("s_suppkey") == F.col("user_id"))
+    return out.groupBy("s_name").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    "SELECT event_id, size, row_number() OVER (ORDER BY n, event_id) AS place FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (user_id + 1) || 'MB' WHEN event_id % 3 = 1 THEN (user_id + 1) || 'KB' ELSE (user_id + 1) || 'B' END AS size, "
+    "(user_id + 1) * CASE event_id % 3 WHEN 0 THEN 1e6 WHEN 1 THEN 1e3 ELSE 1 END AS n FROM events)"
+)
+def d4_captures_in_order(spark, sf_dir):
+    """A search table whose sizes sort as sizes: 9KB before 10KB before 1MB."""
+    unit = F.when(F.col("event_id") % 3 == 0, "MB").when(F.col("event_id") % 3 == 1, "KB").otherwise("B")
+    log = events(spark, sf_dir).withColumn("log_body", F.concat(F.lit("sent "), (F.col("user_id") + 1).cast("string"), unit, F.lit(" done")))
+    found = D.named_search_table(log, r"sent (?<size>\d+[KMG]?B) done", ["event_id"])
+    rows = numbered(found.withColumn("_size", D.sort_key(found, "size")), ["_size", "event_id"], "place")
+    return rows.select("event_id", "size", F.col("place").cast("bigint").alias("place"))

@@ -193,7 +193,7 @@ def captures(text: Column, fmt: Format) -> Column:
 
     Each pattern runs once a line, for all its groups together.
     """
-    out = F.translate(text, _NEXT + _HIT, "")
+    out = F.when(text.contains(_NEXT) | text.contains(_HIT), F.translate(text, _NEXT + _HIT, "")).otherwise(text)
     for i, p in enumerate(fmt.patterns):
         plain, names = positional(p)
         parts = "".join(f"{_NEXT}${n}" for n in range(1, len(names) + 1))
@@ -207,11 +207,11 @@ def parse(df: DataFrame, fmt: Format, line: str = "value", year: int = 1970, kee
 
     keep: lines that no pattern matches stay, with nulls. The control characters 1E and 1F are left out of a line.
     """
-    rows = df.withColumn("_parts", captures(F.col(line), fmt))
+    found = F.array(captures(F.col(line), fmt))
+    # exploded, so that the patterns run once a line: a filter would be moved before the step that makes the column
+    rows = df.withColumn("_parts", F.explode(found if keep else F.filter(found, lambda p: F.get(p, 0).startswith(_HIT))))
     hit = F.get("_parts", F.lit(0)).startswith(_HIT)
     rows = rows.withColumn("_which", F.when(hit, F.substring(F.get("_parts", F.lit(0)), 2, 3).cast("int")))
-    if not keep:
-        rows = rows.where(F.col("_which").isNotNull())
     forms = [positional(p)[1] for p in fmt.patterns]
 
     def group(name: str) -> Column:

@@ -164,19 +164,19 @@ class Flat:
         self.right = [bool(t) and data[a:b] == b" " + t for t, a, b in zip(texts, self.base[:-1].tolist(), self.base[1:].tolist())]
 
     def table(self, right: pa.Array, shift: pa.Array, name: str) -> pa.Table:
-        """(at, doc, name, place) of the texts that are right; at: the document-end key, the end moved by the document's shift."""
+        """(at, name, place) of the texts that are right; at: the document-end key, the end moved by the document's shift."""
         keys = pc.add(self.end, shift.take(self.doc))
         place = pa.array(np.arange(len(self.ids)))
-        return pa.table({"at": keys, f"{name}_doc": self.doc, name: self.ids, f"{name}_at": place}).filter(right.take(self.doc))
+        return pa.table({"at": keys, name: self.ids, f"{name}_at": place}).filter(right.take(self.doc))
 
 
 def _text(x: str) -> pa.Scalar:
     return pa.scalar(x, pa.large_string())
 
 
-def _grouped(names: pa.Array, group: np.ndarray, groups: int) -> pa.Array:
-    """The names of each group's tokens, comma-joined."""
-    offsets = pa.array(np.searchsorted(group, np.arange(groups + 1)))
+def _grouped(names: pa.Array, keys: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The names of each group's tokens, comma-joined. keys: the tokens' ends, rising; cuts: where groups end."""
+    offsets = pa.array(np.concatenate(([0], np.searchsorted(keys, cuts, "right"))))
     return pc.binary_join(pa.LargeListArray.from_arrays(offsets, names), _text(","))
 
 
@@ -190,19 +190,20 @@ def align_texts(texts: list[bytes], a: Side, b: Side) -> tuple[dict[str, np.ndar
     left_table, right_table = (x.table(right, pa.array(shift, pa.int64()), name) for x, name in ((flat_a, "a"), (flat_b, "b")))
     links = left_table.join(right_table, "at", join_type="inner", use_threads=False).sort_by([("a_at", "ascending"), ("b_at", "ascending")])
     column = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-    doc, at = column(links, "a_doc"), column(links, "at")
+    at = column(links, "at")
     cuts = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-    of_a, of_b = (np.searchsorted(cuts, column(t, "at")) for t in (left_table, right_table))
+    keys_a, keys_b = column(left_table, "at"), column(right_table, "at")
     names = lambda t, c, side: side.names.take(t[c].combine_chunks())
     both = pc.binary_join_element_wise(
-        _grouped(names(left_table, "a", a), of_a, len(cuts)), _grouped(names(right_table, "b", b), of_b, len(cuts)), _text("|")
+        _grouped(names(left_table, "a", a), keys_a, cuts), _grouped(names(right_table, "b", b), keys_b, cuts), _text("|")
     )
-    cut_of = np.searchsorted(cuts, np.append(shift, np.iinfo(np.int64).max))
+    texts_at = np.append(shift, np.iinfo(np.int64).max)
+    cut_of = np.searchsorted(cuts, texts_at)
     groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cut_of), both), _text(";"))
     pairs = column(links, "a").astype(np.int64) * len(b) + column(links, "b")
-    link_of = np.searchsorted(doc, np.arange(n + 1))
-    count = lambda t, c: np.bincount(column(t, c), minlength=n)
-    counts = {"n_a": count(left_table, "a_doc"), "n_b": count(right_table, "b_doc"), "n_groups": np.diff(cut_of), "n_links": np.diff(link_of)}
+    link_of = np.searchsorted(at, texts_at)
+    count = lambda keys: np.diff(np.searchsorted(keys, texts_at))
+    counts = {"n_a": count(keys_a), "n_b": count(keys_b), "n_groups": np.diff(cut_of), "n_links": np.diff(link_of)}
     return counts, groups, [pairs[i:j] for i, j in zip(link_of[:-1], link_of[1:])]
 
 

@@ -566,9 +566,9 @@ def s_json_pointers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.json_pointer("props", "/k").alias("k"), X.json_pointer("props", "/missing", "none").alias("missing"))
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY user_id % 50, user_id % 7, event_id) AS place FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, row_number() OVER (ORDER BY user_id % 50, user_id % 7, event_id) AS place FROM events")
 def s_natural_order(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    e = table(spark, sf_dir, "events")
     name = F.concat(F.lit("file"), (F.col("user_id") % 50).cast("string"), F.lit("-"), (F.col("user_id") % 7).cast("string"))
     return numbered(e.select("event_id", X.natural_key(name).alias("name")), ["name", "event_id"], "place").select("event_id", "place")
 

@@ -18,10 +18,10 @@ from strandlog.operators import messages as M
 from strandlog.operators import scanner
 from strandlog.operators import tables as T
 from strandlog.operators.carry import numbered
-from strandlog.operators.shared import folder
+from strandlog.operators.shared import folder, kept
 from strandlog.plans.queries import ACCESS, EVENTS, FMT, LEVEL, access_log, events, stamp, table
 from strandlog.plans.registry import query
-from strandlog.sources import formats, growing, json_formats, sqlite, structured, times
+from strandlog.sources import formats, growing, json_formats, printed_formats, sqlite, structured, times
 
 SECOND = f"strftime(date_trunc('second', ts), {FMT})"
 
@@ -502,12 +502,12 @@ def u1_registered_functions(spark, sf_dir):
     return spark.sql("SELECT p_partkey, padl(p_brand, 12) AS padded, humanize_file_size(p_size * 100) AS size, leftstr(p_name, 5) AS start FROM part_rows")
 
 
-@query("SELECT event_id, event_type AS shop_kind, 'error' AS log_level FROM events WHERE event_type = 'error'")
+@query(f"SELECT event_id, event_type AS shop_kind, log_level FROM {EVENTS}")
 def u5_user_formats(spark, sf_dir):
     """A user's format is detected before the catalogue's, and parsed."""
     own = formats.Format("shop_log", (r"^(?<timestamp>\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) (?<level>[A-Z]+) #(?<event_id>\d+) (?<shop_kind>\w+)$",), ("yyyy-MM-dd HH:mm:ss",), {"event_id": "bigint"}, formats.WORDS, body="shop_kind", sample="2024-01-01 00:00:07 ERROR #1 view")
     line = F.concat(F.date_format("log_time", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.upper("log_level"), F.lit(" #"), F.col("event_id").cast("string"), F.lit(" "), F.col("event_type"))
-    lines = events(spark, sf_dir).where("event_type = 'error'").select("log_path", "file_line", line.alias("value"))
+    lines = events(spark, sf_dir).select("log_path", "file_line", line.alias("value"))
     mine = formats.detect(lines, formats.with_user_formats(formats.catalogue(), own)).where("log_format = 'shop_log'")
     return formats.parse(lines.join(mine.select("log_path"), "log_path", "left_semi"), own).select("event_id", "shop_kind", "log_level")
 
@@ -710,3 +710,42 @@ def d4_captures_in_order(spark, sf_dir):
     found = D.named_search_table(log, r"sent (?<size>\d+[KMG]?B) done", ["event_id"])
     rows = numbered(found.withColumn("_size", D.sort_key(found, "size")), ["_size", "event_id"], "place")
     return rows.select("event_id", "size", F.col("place").cast("bigint").alias("place"))
+
+
+_PRINTED = [f.name for f in printed_formats.PRINTED]
+_BY_SECONDS = [f.name for f in printed_formats.PRINTED if "SSS" not in f.times[0] and f.times[0] != printed_formats.ISO]
+
+
+def _printed_time(layout: str) -> Column:
+    """An event's time as the samples of formats of this layout have it."""
+    at = lambda form: F.date_format("log_time", form)
+    if layout == printed_formats.ISO:
+        return at("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if layout == printed_formats.CLF:
+        return at("dd/MMM/yyyy:HH:mm:ss xx")
+    if layout == printed_formats.WEEKDAY:
+        return at("EEE MMM d HH:mm:ss yyyy")
+    if layout.startswith("yyyy MMM d"):
+        return F.concat(at("MMM "), F.lpad(at("d"), 2, " "), at(" HH:mm:ss"))
+    if layout.startswith("MM/dd/yyyy"):
+        return F.concat(at("MM/dd/yyyy hh:mm:ss:SSS a"), F.lit(" UTC"))
+    return at(layout.replace("[.SSS]", ".SSS").replace("XXX", "xxx"))
+
+
+@query(
+    f"SELECT event_id, log_format, strftime(CASE WHEN log_format IN {tuple(_BY_SECONDS)} THEN date_trunc('second', ts) ELSE date_trunc('millisecond', ts) END, {FMT}) AS log_time, 'event ' || event_id AS log_body FROM (SELECT *, ({_PRINTED})[event_id % {len(_PRINTED)} + 1] AS log_format FROM events)"
+)
+def i5_printed_formats(spark, sf_dir):
+    """A file of each format that a layout describes: detected among the whole catalogue and parsed."""
+    from strandlog.streaming.ordered import parsed_as
+
+    line = F.lit(None).cast("string")
+    for i, f in enumerate(printed_formats.PRINTED):
+        text = F.replace(F.lit(f.sample), F.lit(printed_formats.SAMPLE_TIME[f.times[0]]), _printed_time(f.times[0]))
+        line = F.when(F.col("event_id") % len(_PRINTED) == i, F.replace(text, F.lit(printed_formats.BODY), F.concat(F.lit("event "), F.col("event_id").cast("string")))).otherwise(line)
+    lines = events(spark, sf_dir).select((F.col("event_id") % len(_PRINTED)).cast("string").alias("log_path"), F.floor(F.col("event_id") / len(_PRINTED)).alias("file_line"), line.alias("value"))
+    lines = kept(lines)  # each format reads its own part of it
+    found = kept(lines.join(formats.detect(lines).select("log_path", "log_format"), "log_path"))
+    out = parsed_as(found, _PRINTED, formats.catalogue(), 2024)
+    body = F.regexp_extract("log_body", r"event (\d+)", 0)
+    return out.select(F.regexp_extract("log_body", r"event (\d+)", 1).cast("bigint").alias("event_id"), "log_format", stamp("log_time").alias("log_time"), body.alias("log_body"))

@@ -255,8 +255,9 @@ def catalogue() -> dict[str, object]:
     """All formats, specific ones before those that match their lines as well."""
     from strandlog.sources.json_formats import JSON_FORMATS
     from strandlog.sources.more_formats import MORE
+    from strandlog.sources.printed_formats import PRINTED
 
-    return by_specificity({**JSON_FORMATS, **FORMATS, **{f.name: f for f in MORE}})
+    return by_specificity({**JSON_FORMATS, **FORMATS, **{f.name: f for f in (*MORE, *PRINTED)}})
 
 
 def with_user_formats(formats: dict[str, object], *own) -> dict[str, object]:

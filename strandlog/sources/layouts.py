@@ -14,6 +14,18 @@ KINDS = {
     "uuid": r"[\da-f]{8}-[\da-f]{4}-[\da-f]{4}-[\da-f]{4}-[\da-f]{12}",
     "word": r"\S+",
     "phrase": r"[^;=\n]*[^;=\s]",
+    "letters": r"[A-Za-z]+",
+    "code": r"(?:\d+|-)",
+    "real": r"-?\d+(?:\.\d+)?",
+    "stem": r'[^ ?"]+',
+    "stamp": r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?",
+    "slashed": r"\d{4}/\d\d/\d\d \d\d:\d\d:\d\d [+-]\d\d:\d\d",
+    "compact": r"\d{8} \d\d:\d\d:\d\d\.\d{3}",
+    "month": r"[A-Z][a-z]{2} [ \d]\d \d\d:\d\d:\d\d",
+    "weekday": r"[A-Z][a-z]{2} [A-Z][a-z]{2} [ \d]?\d \d\d:\d\d:\d\d (?:[A-Z]{3,4} )?\d{4}",
+    "halfday": r"\d\d/\d\d/\d{4} \d\d:\d\d:\d\d:\d{3} [AP]M [A-Z]+",
+    "clf": r"\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4}",
+    "rest": r".*",
     "line": r"[^\n]+",
     "text": r"[\s\S]*",
 }

@@ -17,7 +17,7 @@ from strandlog.operators import messages as M
 from strandlog.operators import shared
 from strandlog.operators import tables as T
 from strandlog.operators.carry import numbered
-from strandlog.sources import formats, json_formats, structured, times
+from strandlog.sources import printed_formats, formats, json_formats, structured, times
 
 
 def one(spark, *columns):
@@ -277,3 +277,34 @@ def test_statistics_of_parts(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", None), ("c", "y", 5.0)], "k string, p string, v double")
     got = {x.k: (x.n, x.mean, x.stdev) for x in A.merge_statistics(A.partial_statistics(rows, ["k", "p"], "v"), ["k"]).collect()}
     assert got["a"][:2] == (2, 2.0) and abs(got["a"][2] - 2**0.5) < 1e-9 and got["b"][0] == 0 and got["c"] == (1, 5.0, 0.0)
+
+
+@pytest.mark.parametrize("name", [f.name for f in printed_formats.PRINTED])
+def test_printed_formats_read_their_samples(spark, name):
+    fmt = formats.catalogue()[name]
+    row = formats.parse(spark.createDataFrame([("f", 0, fmt.sample)], "log_path string, file_line long, value string"), fmt, year=2024).first()
+    assert str(row.log_time)[:19] == "2024-01-01 00:00:07" and row.log_body.strip().removesuffix(")").endswith("value 6.55") and row.log_opid is not None or not fmt.opid
+    assert row.log_level == ("info" if name in ("fsck_hfs_log", "procstate_log", "cloudvm_ram_log", "mysql_gen_log", "mysql_slow_log", "xmlrpc_log") else "error")
+
+
+def test_printed_formats_further_lines(spark):
+    of = lambda name, line: formats.parse(spark.createDataFrame([("f", 0, line)], "log_path string, file_line long, value string"), formats.catalogue()[name], year=2024).first()
+    alb = of("alb_log", formats.catalogue()["alb_log"].sample)
+    assert (alb.client_ip, alb.client_port, alb.response_processing_time, alb.elb_status_code, alb.cs_uri_stem, alb.cs_uri_query) == ("10.0.0.8", 80, -1.0, 404, "http://shop.example:80/view", "k=1")
+    vmw = of("vmw_log", "[2011-04-01 15:14:34.203 F5A5AB90 info 'vm:/vmfs/a.vmx' opID=F6FC-d] Prepare")
+    assert (vmw.tid, vmw.comp, vmw.opid, vmw.log_level, vmw.log_body) == ("F5A5AB90", "vm:/vmfs/a.vmx", "F6FC-d", "info", "Prepare")
+    vdsm = of("vdsm_log", "2017-03-06 14:49:05,167 INFO  (vm/9e5d) [virt.vm] (vmId='9') started (vm:2104)")
+    assert (vdsm.thread, vdsm.logger, vdsm.src_line, vdsm.log_body) == ("vm/9e5d", "virt.vm", 2104, "(vmId='9') started")
+    assert str(of("mysql_slow_log", "# Time: 170213 16:00:33").log_time) == "2017-02-13 16:00:33"
+    assert of("sssd_log", "(Tue Mar 31 05:58:38 2015) [sssd] [start] (0x0100): Queueing").service == "sssd"
+
+
+def test_raise_error_raises(spark):
+    from strandlog.functions import registered
+
+    registered.register_all(spark)
+    rows = spark.createDataFrame([(1,), (-1,)], "v int")
+    checked = F.when(F.col("v") < 0, F.raise_error(F.lit("a negative value"))).otherwise(F.col("v"))
+    assert rows.where("v > 0").select(checked).first()[0] == 1
+    with pytest.raises(Exception, match="a negative value"):
+        rows.select(checked).collect()

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog.llm import alignment, periodic, quality_rules
+from strandlog.llm import alignment, periodic, quality, quality_rules
 
 DOCS = "doc_id long, text string, source string"
 
@@ -296,3 +296,70 @@ def test_rules_bound_false_rejections(spark):
     marks = spark.createDataFrame([(i, int(r.random() < 0.9)) for i in range(900)], "doc_id long, quality long")
     got = quality_rules.judged(docs, marks).where("not base_failed").agg(F.avg(F.col("kept").cast("int")).alias("kept")).first()
     assert got.kept >= 0.9
+
+
+def statistics_of(text):
+    t = (text or "").encode()
+    words = t.split()
+    lines = [x for x in t.split(b"\n") if x]
+    kinds = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:?-'\"()", "bang": b"!", "bar": b"|", "symbol": b"#$%&*+/<=>@[\\]^_`{}~", "line": b"\n", "blank": b" \t\r"}
+    size, n = max(len(t), 1), max(len(words), 1)
+    shares = [math.sqrt(sum(c in chars for c in t) / size) for chars in kinds.values()] + [math.sqrt(sum(c >= 0x80 for c in t) / size)]
+    odd = kinds["bang"] + kinds["bar"] + kinds["symbol"]
+    return [
+        *shares,
+        math.log1p(len(t)),
+        math.log1p(len(words)),
+        math.log1p(sum(map(len, words)) / n),
+        len(set(words)) / n,
+        math.sqrt(max(Counter(words).values(), default=0) / n),
+        math.sqrt((len(lines) - len(set(lines))) / (len(lines) + 4)),
+        math.sqrt(sum(w[-1] in odd for w in words) / n),
+        math.sqrt(sum(w[0] in kinds["upper"] for w in words) / n),
+        sum(len(w) <= 3 for w in words) / n,
+        math.log1p(len(words) / (1 + sum(w[-1:] in b".?!" for w in words))),
+    ]
+
+
+def scores_by_definition(rows, labels):
+    """Scores of a discriminant with shrunk covariances, from its densities."""
+    x = {d: np.array(statistics_of(t)) for d, t, *_ in rows}
+    learn = [(d, y) for d, y in labels if y in (0, 1) and d in x and zlib.crc32(str(d).encode()) % 5]
+    matrix, y = np.array([x[d] for d, _ in learn]), np.array([y for _, y in learn])
+    mean, scale = matrix.mean(axis=0), matrix.std(axis=0)
+    scale[scale < 1e-9] = 1
+    z = (matrix - mean) / scale
+    covs = [np.cov(z[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum(np.mean(y == k) * covs[k] for k in (0, 1))
+    out = {}
+    for d, row in x.items():
+        logs = []
+        for k in (0, 1):
+            cov = 0.8 * covs[k] + 0.1 * pooled + (0.1 + 1e-9) * np.eye(len(mean))
+            diff = (row - mean) / scale - z[y == k].mean(axis=0)
+            logs.append(math.log(np.mean(y == k)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * diff @ np.linalg.solve(cov, diff))
+        out[d] = 1 / (1 + math.exp(min(60, max(-60, logs[0] - logs[1]))))
+    return out
+
+
+def test_op10_by_definition(spark, tmp_path):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(300):
+        good = r.random() < 0.7
+        w = ["".join(r.choice("abcDé9") for _ in range(r.randint(1, 9))) + (r.choice(["", "!", "|", "#"]) if not good else r.choice(["", "", "."])) for _ in range(r.randint(0, 60))]
+        rows.append((i, r.choice([" ", "\n", "\t "]).join(w), "s"))
+        if r.random() < 0.8:
+            labels.append((i, int(good)))
+    rows += [(300, None, "s"), (301, "", None), (302, "x" * 50_000, "s"), (303, "same\n" * 2000, "s")]
+    labels += [(3, 1), (4, None), (5, 7), (999, 1)]
+    folder = written(spark, tmp_path, rows)
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    got = quality.op10_quality_classifier(spark, folder).collect()
+    want = scores_by_definition(rows, labels)
+    assert {x.doc_id: x.score for x in got} == pytest.approx(want, abs=1e-6)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 5 == 0) and x.predicted == (x.score >= 0.3) for x in got)
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], DOCS).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{empty}/labels.parquet")
+    assert quality.op10_quality_classifier(spark, str(empty)).collect() == []

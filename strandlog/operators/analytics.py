@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions.text import c, humanize_duration, level_ordinal
-from strandlog.operators.carry import near_rows
+from strandlog.operators.carry import near_rows, numbered, previous
 
 # -- aggregates ------------------------------------------------------------------
 
@@ -272,6 +272,34 @@ def access_report(log: DataFrame, top: int = 10) -> dict[str, DataFrame]:
     }
 
 
+def report_document(tables: dict[str, DataFrame], title: str) -> DataFrame:
+    """One row with `document`: the tables of a report as Markdown, a section each; columns `percent` with one decimal.
+
+    Rows go by hits, most first, then by their other columns. A report's tables are short lists, so one text holds them.
+    """
+    lines = None
+    for i, (name, table) in enumerate(tables.items()):
+        shown = [F.format_string("%.1f", x) if x == "percent" else F.coalesce(F.col(x).cast("string"), F.lit("-")) for x in table.columns]
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
+        rank = -F.col("hits") if "hits" in table.columns else F.lit(0)
+        head = "\n".join((f"## {name}", "", f"| {' | '.join(table.columns)} |", f"|{'---|' * len(table.columns)}"))
+        part = table.agg(F.array_sort(F.collect_list(F.struct(rank.cast("bigint").alias("rank"), row.alias("row")))).alias("rows"))
+        part = part.select(F.lit(i).alias("section"), F.concat_ws("\n", F.lit(head), F.transform("rows", lambda x: x.row)).alias("text"))
+        lines = part if lines is None else lines.unionByName(part)
+    whole = lines.agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("parts"))
+    return whole.select(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform("parts", lambda x: x.text), "\n\n"), F.lit("\n")).alias("document"))
+
+
+def leases(messages: DataFrame, key: list[str], order: list[str], time: str = "log_time") -> DataFrame:
+    """messages with lease_stop, the time of the key's next message, and lease, the microseconds until then; null for its last.
+
+    order makes all rows unique. A key's rows are worked off in blocks.
+    """
+    rows = numbered(messages, [*key, *order], "_n").withColumn("_back", -F.col("_n"))
+    rows = previous(rows, key, "_back", time, "lease_stop").drop("_n", "_back")
+    return rows.withColumn("lease", micros("lease_stop") - micros(time))
+
+
 def timeline(messages: DataFrame, kinds: dict[str, str | Column], time: str = "log_time", least: str | None = None, wanted: str | None = None) -> DataFrame:
     """Rows (kind, name, start, stop, total, errors, warnings) of the spans of files, operations, threads, tags, partitions.
 
@@ -325,9 +353,9 @@ def schema_id(text: Column | str) -> Column:
 
 
 def format_summary(messages: DataFrame, body: str = "log_body", time: str = "log_time") -> DataFrame:
-    """Templates of more than one message: total, first and last time and the length between, and the log formats, where told."""
+    """Templates of more than one message: total, first and last time, the length between, the first line, and the log formats, where told."""
     kinds = [F.array_sort(F.collect_set("log_format")).alias("log_formats")] if "log_format" in messages.columns else []
-    out = messages.groupBy(template(body).alias("format")).agg(F.count("*").alias("total"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), *kinds)
+    out = messages.groupBy(template(body).alias("format")).agg(F.count("*").alias("total"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.min_by(body, F.struct(time, body)).alias("first_line"), *kinds)
     return out.where("total > 1").withColumn("length", humanize_duration((micros("last_time") - micros("first_time")) / 1e6))
 
 

@@ -195,8 +195,7 @@ def q14_rate_acceleration(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS leases, max(lease) AS longest FROM (SELECT user_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS lease FROM events WHERE event_type = 'signup') WHERE lease IS NOT NULL GROUP BY 1")
 def q17_lease_intervals(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("log_time", "event_id")
-    rows = events(spark, sf_dir).where("event_type = 'signup'").withColumn("lease", F.lead(A.micros("log_time")).over(w) - A.micros("log_time")).where("lease is not null")
+    rows = A.leases(events(spark, sf_dir).where("event_type = 'signup'"), ["user_id"], ["log_time", "event_id"]).where("lease is not null")
     return rows.groupBy("user_id").agg(F.count("*").alias("leases"), F.max("lease").alias("longest"))
 
 

@@ -749,3 +749,20 @@ def i5_printed_formats(spark, sf_dir):
     out = parsed_as(found, _PRINTED, formats.catalogue(), 2024)
     body = F.regexp_extract("log_body", r"event (\d+)", 0)
     return out.select(F.regexp_extract("log_body", r"event (\d+)", 1).cast("bigint").alias("event_id"), "log_format", stamp("log_time").alias("log_time"), body.alias("log_body"))
+
+
+@query("SELECT event_type || ' of user #' AS format, arg_min(event_type || ' of user ' || user_id, (ts, event_type || ' of user ' || user_id)) AS first_line FROM events GROUP BY event_type")
+def q6_first_lines(spark, sf_dir):
+    body = F.concat("event_type", F.lit(" of user "), F.col("user_id").cast("string"))
+    return A.format_summary(events(spark, sf_dir).withColumn("log_body", body)).select("format", "first_line")
+
+
+@query(
+    f"WITH t AS (SELECT count(*) AS hits, count(DISTINCT (c_ip, cs_user_agent)) AS visitors, sum(sc_bytes)::BIGINT AS bytes FROM {ACCESS}), c AS (SELECT sc_status // 100 AS class, count(*) AS hits, count(DISTINCT (c_ip, cs_user_agent)) AS visitors, sum(sc_bytes)::BIGINT AS bytes FROM {ACCESS} GROUP BY 1) "
+    "SELECT '# Shop' || chr(10) || chr(10) || '## totals' || chr(10) || chr(10) || '| hits | visitors | bytes |' || chr(10) || '|---|---|---|' || chr(10) || (SELECT '| ' || hits || ' | ' || visitors || ' | ' || bytes || ' |' FROM t) || chr(10) || chr(10) || "
+    "'## classes' || chr(10) || chr(10) || '| class | hits | visitors | bytes |' || chr(10) || '|---|---|---|---|' || chr(10) || (SELECT string_agg('| ' || class || ' | ' || hits || ' | ' || visitors || ' | ' || bytes || ' |', chr(10) ORDER BY hits DESC, class) FROM c) || chr(10) AS document"
+)
+def k7_report_document(spark, sf_dir):
+    """The report of the web log as one Markdown text."""
+    tables = A.access_report(access_log(spark, sf_dir))
+    return A.report_document({"totals": tables["totals"], "classes": tables["classes"].drop("percent")}, "Shop")

@@ -127,3 +127,21 @@ def test_captures_sort_in_their_own_order(spark):
     assert D.guess_orders(r"(?<a>\S+) (?<b>\d+) (?<c>\d+(?:\.\d+){3}) (?<d>\d+ms|\d+s)") == {"c": "address", "d": "measure"}
     assert [x.size for x in D.in_order(found, "size").collect()] == ["900B", "9KB", "10KB", "1.5MB"]
     assert [x.ip for x in D.in_order(found.where("id >= 0").select("ip"), "ip").collect()] == ["9.9.9.9", "10.0.0.1", "10.0.0.9", "10.0.0.10"]
+
+
+def test_leases(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "b", None]), r.randint(0, 50)) for i in range(300)]
+    got = A.leases(spark.createDataFrame(rows, "i long, k string, t long").withColumn("log_time", F.timestamp_seconds("t")).repartition(3), ["k"], ["t", "i"])
+    want = {}
+    for key in ("a", "b", None):
+        own = sorted((t, i) for i, k, t in rows if k == key)
+        want |= {i: (following[0] - t) * 1_000_000 for (t, i), following in zip(own, own[1:])} | {own[-1][1]: None}
+    assert {x.i: x.lease for x in got.collect()} == want
+
+
+def test_report_document(spark):
+    table = spark.createDataFrame([("b", 1, 12.34), ("a", 3, 50.0), (None, 3, 37.66)], "name string, hits long, percent double")
+    got = A.report_document({"Names": table, "Empty": table.limit(0)}, "All").first().document
+    head = "| name | hits | percent |\n|---|---|---|"
+    assert got == f"# All\n\n## Names\n\n{head}\n| - | 3 | 37.7 |\n| a | 3 | 50.0 |\n| b | 1 | 12.3 |\n\n## Empty\n\n{head}\n"

@@ -65,6 +65,28 @@ def xpath_nodes(df: DataFrame, column: str, path: str) -> DataFrame:
     return df.withColumn("_n", udf(column)).select(*df.columns, F.inline("_n"))
 
 
+#: Functions whose value is a number, a text or a truth value; an expression that begins with one has one value.
+_ONE_VALUE = r"\s*(?:count|sum|number|floor|ceiling|round|string|concat|substring|substring-before|substring-after|normalize-space|translate|string-length|name|local-name|boolean|not|contains|starts-with)\s*\("
+
+
+def xpath_values(df: DataFrame, column: str, path: str) -> DataFrame:
+    """df's rows with match_index and value for each text or attribute that an XPath 1.0 expression finds in a row's XML.
+
+    An expression such as count(//a) gives one row with its value. Elements have no value of their own: ask for their
+    text(). A text that isn't one well-formed document, or declares a document type, gives no row.
+    """
+    import re
+
+    x = F.coalesce(F.col(column), F.lit(""))
+    inside = F.concat(F.lit("<_>"), F.regexp_replace(x, r"^\s*<\?xml[^>]*\?>", ""), F.lit("</_>"))
+    bad = F.from_xml(inside, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).getField("_bad")
+    alone = (F.xpath_int(inside, F.lit("count(/_/*)")) == 1) & (F.xpath_int(inside, F.lit("count(/_/text()[normalize-space()])")) == 0)
+    good = F.when(bad.isNull() & (F.trim(x) != ""), alone).otherwise(F.lit(False))
+    found = F.array(F.xpath_string(x, F.lit(path))) if re.match(_ONE_VALUE, path) else F.xpath(x, F.lit(path))
+    names = [c for c in df.columns if c not in ("match_index", "value")]
+    return df.withColumn("_v", F.when(good, found)).select(*names, F.posexplode("_v").alias("match_index", "value"))
+
+
 def json_each(df: DataFrame, column: str) -> DataFrame:
     """key and value (as JSON text) of the members of a row's JSON object."""
     return df.select(*df.columns, F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))

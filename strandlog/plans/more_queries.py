@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import text as X
@@ -145,6 +147,20 @@ def d8_xpath_nodes(spark, sf_dir):
     return T.xpath_nodes(table(spark, sf_dir, "events").select("event_id", xml.alias("x")), "x", "./u").select("event_id", "node_path", "node_text")
 
 
+@query(
+    "SELECT event_id, 'ids' AS asked, 0 AS match_index, event_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 'ids', 1, user_id::VARCHAR FROM events UNION ALL SELECT event_id, 'first', 0, event_type FROM events "
+    "UNION ALL SELECT event_id, 'count', 0, '3' FROM events UNION ALL SELECT event_id, 'later', 0, 'end' FROM events WHERE event_type = 'error'"
+)
+def d8_xpath_values(spark, sf_dir):
+    """Attributes, places, counts and conditions; every hundredth text is cut off and gives nothing, its whole copy does."""
+    eid, uid = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    xml = F.concat(F.lit("<e><u id='"), eid, F.lit("'>"), F.col("event_type"), F.lit("</u><u id='"), uid, F.lit("'>two</u><u>end</u></e>"))
+    texts = F.when(F.col("event_id") % 100 == 0, F.array(xml, F.substring(xml, F.lit(1), F.length(xml) - 3))).otherwise(F.array(xml))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(texts).alias("x"))
+    paths = {"ids": "//@id", "first": "/e/u[position()<2]/text()", "count": "count(//u)", "later": "//u[. = 'error']/following-sibling::u[last()]/text()"}
+    return functools.reduce(DataFrame.unionByName, (T.xpath_values(rows, "x", p).select("event_id", F.lit(n).alias("asked"), "match_index", "value") for n, p in paths.items()))
+
+
 _OPENS = "CASE WHEN {i} = 1 OR regexp_matches(n[{i} - 1], '[^a-z0-9]') THEN 3 ELSE 0 END"
 
 

@@ -145,3 +145,13 @@ def test_report_document(spark):
     got = A.report_document({"Names": table, "Empty": table.limit(0)}, "All").first().document
     head = "| name | hits | percent |\n|---|---|---|"
     assert got == f"# All\n\n## Names\n\n{head}\n| - | 3 | 37.7 |\n| a | 3 | 50.0 |\n| b | 1 | 12.3 |\n\n## Empty\n\n{head}\n"
+
+
+def test_xpath_values(spark):
+    texts = ["<a><b id='1'>x</b><b id='2'>y</b><b>z</b></a>", "<?xml version='1.0'?>\n<a><b id='9'/></a> ", "<a>", "not xml", "<a></a>trailing", "<a/><a/>", "<a><b></a></b>", "", None, "<a>&x;</a>", "<a id=1/>", "<!DOCTYPE a [<!ENTITY x 'y'>]><a>&x;</a>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").withColumn("value", F.lit(1))
+    got = lambda path: sorted((r.i, r.match_index, r.value) for r in T.xpath_values(rows, "x", path).collect())
+    assert got("//@id") == [(0, 0, "1"), (0, 1, "2"), (1, 0, "9")]
+    assert got("/a/b[position()<3]/text()") == [(0, 0, "x"), (0, 1, "y")]
+    assert got("count(//b)") == [(0, 0, "3"), (1, 0, "1")] and got("string(//b[2])") == [(0, 0, "y"), (1, 0, "")]
+    assert got("//b[@id > 1]/@id") == [(0, 0, "2"), (1, 0, "9")] and got("//none/text()") == []

@@ -62,6 +62,9 @@ JSON_FORMATS: dict[str, JsonFormat] = {
         JsonFormat("rust_tracing_log", (("target", "target", "string"),), ("timestamp", "level", "fields", "target"), ("timestamp", 0), "level", WORDS, "fields/message", ("target",), sample='{"timestamp":"2024-01-01T00:00:07.179575Z","level":"ERROR","fields":{"message":"value 6.55"},"target":"shop"}'),
         JsonFormat("nextcloud_log", (("req_id", "reqId", "string"), ("user", "user", "string"), ("app", "app", "string"), ("method", "method", "string"), ("url", "url", "string")), ("reqId", "level", "time", "app", "message"), ("time", 0), "level", (("fatal", "^4"), ("error", "^3"), ("warning", "^2"), ("info", "^1"), ("debug", "^0")), "message", ("req_id",), sample='{"reqId":"r1","level":3,"time":"2024-01-01T00:00:07+00:00","user":"u","app":"shop","method":"GET","url":"/view","message":"value 6.55"}'),
         JsonFormat("cloudflare_log", (("client_ip", "ClientIP", "string"), ("host", "ClientRequestHost", "string"), ("method", "ClientRequestMethod", "string"), ("status", "EdgeResponseStatus", "bigint"), ("bytes", "EdgeResponseBytes", "bigint"), ("ray_id", "RayID", "string")), ("ClientIP", "EdgeStartTimestamp", "RayID"), ("EdgeStartTimestamp", 0), "EdgeResponseStatus", (("error", "^[45]"), ("info", ".")), "ClientRequestURI", ("client_ip",), stamp_is="start", sample='{"ClientIP":"10.0.0.1","ClientRequestHost":"shop.example","ClientRequestMethod":"GET","ClientRequestURI":"/view","EdgeResponseStatus":500,"EdgeResponseBytes":655,"EdgeStartTimestamp":"2024-01-01T00:00:07Z","RayID":"r"}'),
+        JsonFormat("otel_collector_log", (("trace_id", "trace_id", "string"), ("span_id", "span_id", "string"), ("scope_name", "scope_name", "string"), ("severity_number", "severity_number", "bigint")), ("timestamp_ns", "severity", "body"), ("timestamp_ns", 1_000_000_000), "severity", WORDS, "body", ("trace_id",), sample='{"timestamp_ns":"1704067207179575000","severity":"ERROR","severity_number":17,"body":"value 6.55","trace_id":"t1","span_id":"s1","scope_name":"shop"}'),
+        JsonFormat("github_events_log", (("actor", "actor/login", "string"), ("repo", "repo/name", "string"), ("action", "payload/action", "string"), ("public", "public", "boolean")), ("id", "type", "actor", "repo", "created_at"), ("created_at", 0), "type", (("error", "^Error"), ("info", ".")), "type", ("actor",), sample='{"id":"8","type":"ErrorEvent value 6.55","actor":{"login":"u8"},"repo":{"name":"shop/app"},"payload":{"action":"opened"},"public":true,"created_at":"2024-01-01T00:00:07Z"}'),
+        JsonFormat("macosuni_log", (("process", "processImagePath", "string"), ("subsystem", "subsystem", "string"), ("category", "category", "string"), ("pid", "processID", "bigint"), ("tid", "threadID", "bigint")), ("timestamp", "messageType", "eventMessage", "processID"), ("timestamp", 0), "messageType", (("fatal", "^Fault"), ("error", "^Error"), ("debug", "^Debug"), ("info", "")), "eventMessage", ("pid", "tid"), sample='{"timestamp":"2024-01-01 00:00:07.179575+00:00","messageType":"Error","eventMessage":"value 6.55","processID":8,"threadID":9,"processImagePath":"/bin/shop","subsystem":"shop","category":"app"}'),
     )
 }
 
@@ -90,7 +93,7 @@ def parse_json_format(df: DataFrame, fmt: JsonFormat, line: str = "value") -> Da
 
     text, divisor = at(fmt.time[0]), fmt.time[1]
     # decimals: a double cannot hold the microseconds of a count of nanoseconds
-    stamp = F.timestamp_micros((text.try_cast("decimal(38,9)") * F.lit(1_000_000) / F.lit(divisor)).cast("bigint")) if divisor else F.try_to_timestamp(text)
+    stamp = F.timestamp_micros((text.try_cast("decimal(38,9)") * F.lit(1_000_000) / F.lit(divisor)).cast("bigint")) if divisor else F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d\d)(\d\d)$", "$1:$2"))
     if fmt.sub:
         stamp = F.timestamp_micros(F.unix_micros(F.date_trunc("second", stamp)) + (at(fmt.sub[0]).try_cast("decimal(38,0)") * F.lit(1_000_000) / F.lit(fmt.sub[1])).cast("bigint"))
     columns = {name: at(p).try_cast(kind) for name, p, kind in fmt.columns}

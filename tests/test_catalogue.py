@@ -308,3 +308,16 @@ def test_raise_error_raises(spark):
     assert rows.where("v > 0").select(checked).first()[0] == 1
     with pytest.raises(Exception, match="a negative value"):
         rows.select(checked).collect()
+
+
+@pytest.mark.parametrize("name", json_formats.JSON_FORMATS)
+def test_json_formats_read_their_samples(spark, name):
+    fmt = json_formats.JSON_FORMATS[name]
+    row = json_formats.parse_json_format(spark.createDataFrame([(fmt.sample,)], "value string"), fmt).first()
+    assert str(row.log_time)[:19] == "2024-01-01 00:00:07" and row.log_level == "error" and row.log_body and row.log_opid
+
+
+def test_json_times_with_a_zone_of_four_digits(spark):
+    fmt = json_formats.JSON_FORMATS["macosuni_log"]
+    row = json_formats.parse_json_format(spark.createDataFrame([(fmt.sample.replace("575+00:00", "575+0130"),)], "value string"), fmt).first()
+    assert str(row.log_time) == "2023-12-31 22:30:07.179575"

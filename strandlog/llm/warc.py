@@ -6,9 +6,10 @@ name the response they come from (WARC-Refers-To and its date), and carry its co
 ids are made from the source record's id, so a second run makes the same records.
 
 Defined results: a null html is an empty payload and gives an empty conversion; a null URL gives a record whose target
-is empty; equal pages give equal records. One row gives two rows and no shuffle, so sizes and skew don't matter. A tag
-or comment that is never closed stays as text; its first start takes all that follows along, so that a page of unclosed
-tags is read once and not once from each of them. The language is that of the first html tag.
+is empty; equal pages give equal records. One row gives two rows and no shuffle, so sizes and skew don't matter. Of a
+script, style, head or comment that is never closed its tag goes and what follows stays as text; a block tag that the page
+ends in goes; another < without its > stays. Each start that is never closed takes what follows along, so that a page of
+such starts is read once and not once from each of them. The language is that of the first html tag.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 DATE = "1970-01-01T00:00:00Z"
 SOURCE_TYPE = "text/html; charset=utf-8"
 
-#: What goes; in group 1, what an unclosed start leaves as it is.
-_DROPPED = (
-    r"(?is)<script\b.*?</script\s*>|(<script\b.*+)", r"(?is)<style\b.*?</style\s*>|(<style\b.*+)", r"(?s)<!--.*?-->|(<!--.*+)", r"(?is)<head\b.*?</head\s*>|(<head\b.*+)",
-)
+#: What goes; group 1 is what follows the tag of a start that is never closed.
+_DROPPED = tuple(
+    rf"(?is){start}(?:.*?{end}|[^>]*+>?+(.*+))" for start, end in ((r"<script\b", r"</script\s*>"), (r"<style\b", r"</style\s*>"), ("<!--", "-->"), (r"<head\b", r"</head\s*>"))
+)
 _TAGS = r"<[^>]*>|(<[^>]*+)"
-_BREAKS = r"(?i)</?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|body|html)\b[^>]*>"
+_BLOCK = r"</?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|body|html)\b[^>]*+"
+_BREAKS = rf"(?i){_BLOCK}(?:>|(\z))"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -45,8 +47,7 @@ def plain_text(html: Column) -> Column:
     out = html
     for pattern in _DROPPED:
         out = F.regexp_replace(out, pattern, "$1")
-    open_end = F.substring_index(out, ">", -1)  # no tag ends there
-    out = F.concat(F.regexp_replace(F.substring(out, F.lit(1), F.char_length(out) - F.char_length(open_end)), _BREAKS, "\n"), open_end)
+    out = F.regexp_replace(out, _BREAKS, "\n$1")
     out = _entities(F.regexp_replace(out, _TAGS, "$1"))
     for white in "\t\r\f":
         out = F.replace(out, F.lit(white), F.lit(" "))

@@ -108,7 +108,7 @@ def parse_json_format(df: DataFrame, fmt: JsonFormat, line: str = "value") -> Da
 
 def with_spans(rows: DataFrame, stamp_is: str = "end", time: str = "log_time", duration: str = "duration") -> DataFrame:
     """span_start and span_end: the time and the duration (seconds) before it, or after it where stamps mark starts."""
-    length = (F.coalesce(F.col(duration), F.lit(0.0)) * 1_000_000).cast("bigint")
+    length = F.rint(F.coalesce(F.col(duration), F.lit(0.0)) * 1_000_000).cast("bigint")  # 1.007 s is not 1,006,999 microseconds
     moved = F.timestamp_micros(F.unix_micros(time) + (length if stamp_is == "start" else -length))
     ends = (F.col(time), moved) if stamp_is == "start" else (moved, F.col(time))
     return rows.withColumns({"span_start": ends[0], "span_end": ends[1]})

@@ -575,7 +575,10 @@ def s_natural_order(spark, sf_dir):
 
 @query("SELECT event_id, (user_id + 256 * 10)::BIGINT AS number FROM events")
 def s_address_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", X.ipv4_number(F.concat(F.lit("::ffff:0.0.10."), F.col("user_id").cast("string"))).alias("number"))
+    """Every user has an address of their own, counted on from ::ffff:0.0.10.0 over all four bytes."""
+    n = F.col("user_id") + 256 * 10
+    address = F.concat(F.lit("::ffff:"), F.concat_ws(".", *(F.shiftright(n, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0))))
+    return table(spark, sf_dir, "events").select("event_id", X.ipv4_number(address).alias("number"))
 
 
 @query("SELECT p_partkey, round(p_size * 1024, 3) AS bytes FROM part")

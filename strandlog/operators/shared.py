@@ -26,6 +26,9 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores where it has fewer parts than there are; for costly steps on few small files."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """df dealt evenly over as many parts as shuffles have, one for each core at least; for costly steps.
+
+    The number of df's own parts says nothing of its rows: a file of few row groups gives many parts, most of them empty.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -8,9 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlog.operators.shared import spread
+
 _CAPTURE = "match_index int, capture_index int, capture_name string, capture_count int, range_start int, range_stop int, content string"
 
 
+def _inlined(rows: DataFrame, names: list[str], column: str, always: str) -> DataFrame:
+    """The columns of these names with the structs of a list column, one a row. always: a field that is never null.
+
+    Outer, since for a plain inline() the optimizer asks first whether there are any, and works the list out once more for it.
+    """
+    return rows.select(*names, F.inline_outer(column)).where(F.col(always).isNotNull())
+
+
 def regexp_capture(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """A row for each match and capture (0: the whole match) of each row's text, with 1-based places."""
     import re
@@ -31,7 +41,7 @@ def regexp_capture(df: DataFrame, column: str, pattern: str) -> DataFrame:
 
     kind = f"array<struct<{_CAPTURE.replace(' int', ':int').replace(' string', ':string')}>>"
     udf = F.pandas_udf(captures, kind)
-    return df.withColumn("_c", udf(column)).select(*df.columns, F.inline("_c"))
+    return _inlined(df.withColumn("_c", udf(column)), df.columns, "_c", "match_index")
 
 
 def xpath_nodes(df: DataFrame, column: str, path: str) -> DataFrame:
@@ -62,29 +72,69 @@ def xpath_nodes(df: DataFrame, column: str, path: str) -> DataFrame:
         return pd.Series(out)
 
     udf = F.pandas_udf(nodes, "array<struct<result:string,node_path:string,node_attr:string,node_text:string>>")
-    return df.withColumn("_n", udf(column)).select(*df.columns, F.inline("_n"))
+    return _inlined(spread(df).withColumn("_n", udf(column)), df.columns, "_n", "node_path")
 
 
 #: Functions whose value is a number, a text or a truth value; an expression that begins with one has one value.
 _ONE_VALUE = r"\s*(?:count|sum|number|floor|ceiling|round|string|concat|substring|substring-before|substring-after|normalize-space|translate|string-length|name|local-name|boolean|not|contains|starts-with)\s*\("
 
 
+#: What a check of plain tags, attributes and text leaves to Spark's own parsers.
+_NOT_PLAIN = r"[^\x00-\x7f]|<[?!]|[&:]"
+
+
+def _documents(texts: pd.Series) -> pd.Series:
+    """1: one well-formed document, 0: none, 2: a text with more to XML than plain ASCII tags, attributes and text."""
+    import re
+    from xml.parsers import expat
+
+    other = re.compile(_NOT_PLAIN).search
+
+    def kind(t: str | None) -> int:
+        if not t or other(t):
+            return 2 if t else 0
+        try:
+            expat.ParserCreate().Parse(t, True)
+        except expat.ExpatError:
+            return 0
+        return 1
+
+    return pd.Series([kind(t) for t in texts], dtype="int32")
+
+
+def _one_document(x: Column) -> Column:
+    """Whether a text is one well-formed document without a document type, by Spark's own parsers."""
+    inside = F.concat(F.lit("<_>"), F.regexp_replace(x, r"^\s*<\?xml[^>]*\?>", ""), F.lit("</_>"))
+    bad = F.from_xml(inside, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).getField("_bad")
+    alone = F.xpath_boolean(inside, F.lit("count(/_/*) = 1 and not(/_/text()[normalize-space()])"))
+    return F.when(bad.isNull() & (F.trim(x) != ""), alone).otherwise(F.lit(False))
+
+
 def xpath_values(df: DataFrame, column: str, path: str) -> DataFrame:
     """df's rows with match_index and value for each text or attribute that an XPath 1.0 expression finds in a row's XML.
 
     An expression such as count(//a) gives one row with its value. Elements have no value of their own: ask for their
     text(). A text that isn't one well-formed document, or declares a document type, gives no row.
     """
+    names = [c for c in df.columns if c not in ("match_index", "value")]
+    return xpath_values_of(df, column, {"": path}).select(*names, "match_index", "value")
+
+
+def xpath_values_of(df: DataFrame, column: str, paths: Mapping[str, str], asked: str = "asked") -> DataFrame:
+    """xpath_values() of several expressions in one pass over the rows, each text checked once; asked: an expression's name."""
     import re
 
-    x = F.coalesce(F.col(column), F.lit(""))
-    inside = F.concat(F.lit("<_>"), F.regexp_replace(x, r"^\s*<\?xml[^>]*\?>", ""), F.lit("</_>"))
-    bad = F.from_xml(inside, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).getField("_bad")
-    alone = (F.xpath_int(inside, F.lit("count(/_/*)")) == 1) & (F.xpath_int(inside, F.lit("count(/_/text()[normalize-space()])")) == 0)
-    good = F.when(bad.isNull() & (F.trim(x) != ""), alone).otherwise(F.lit(False))
-    found = F.array(F.xpath_string(x, F.lit(path))) if re.match(_ONE_VALUE, path) else F.xpath(x, F.lit(path))
-    names = [c for c in df.columns if c not in ("match_index", "value")]
-    return df.withColumn("_v", F.when(good, found)).select(*names, F.posexplode("_v").alias("match_index", "value"))
+    x, documents = F.coalesce(F.col(column), F.lit("")), F.pandas_udf(_documents, "int")
+    rows = spread(df).withColumn("_kind", documents(x))
+    good = F.when(F.col("_kind") == 2, _one_document(x)).otherwise(F.col("_kind") == 1)
+
+    def found(name: str, path: str) -> Column:
+        values = F.array(F.xpath_string(x, F.lit(path))) if re.match(_ONE_VALUE, path) else F.xpath(x, F.lit(path))
+        return F.transform(values, lambda v, i: F.struct(F.lit(name).alias(asked), i.alias("match_index"), v.alias("value")))
+
+    names = [c for c in df.columns if c not in (asked, "match_index", "value")]
+    values = F.when(good, F.flatten(F.array(*(found(n, p) for n, p in paths.items()))))
+    return _inlined(rows.withColumn("_v", values), names, "_v", "match_index")
 
 
 def json_each(df: DataFrame, column: str) -> DataFrame:
@@ -102,6 +152,7 @@ def json_tree(df: DataFrame, column: str) -> DataFrame:
         import json
 
         kinds = {dict: "object", list: "array", str: "text", bool: "true", int: "integer", float: "real", type(None): "null"}
+        written = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
         out = []
         for t in texts:
             rows: list[tuple] = []
@@ -112,7 +163,7 @@ def json_tree(df: DataFrame, column: str) -> DataFrame:
             while stack:
                 key, value, parent, fullkey, path = stack.pop()
                 kind = "false" if value is False else kinds[type(value)]
-                text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+                text = written(value)
                 rows.append((key, text, kind, None if kind in ("object", "array") else text, len(rows), parent, fullkey, path))
                 me = len(rows) - 1
                 if kind == "object":
@@ -126,7 +177,7 @@ def json_tree(df: DataFrame, column: str) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     kind = "array<struct<key:string,value:string,type:string,atom:string,id:int,parent:int,fullkey:string,path:string>>"
-    return df.withColumn("_n", F.pandas_udf(nodes, kind)(column)).select(*df.columns, F.inline("_n"))
+    return _inlined(spread(df).withColumn("_n", F.pandas_udf(nodes, kind)(column)), df.columns, "_n", "id")
 
 
 def flatten_json(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlog.functions import text as X
@@ -158,7 +156,7 @@ def d8_xpath_values(spark, sf_dir):
     texts = F.when(F.col("event_id") % 100 == 0, F.array(xml, F.substring(xml, F.lit(1), F.length(xml) - 3))).otherwise(F.array(xml))
     rows = table(spark, sf_dir, "events").select("event_id", F.explode(texts).alias("x"))
     paths = {"ids": "//@id", "first": "/e/u[position()<2]/text()", "count": "count(//u)", "later": "//u[. = 'error']/following-sibling::u[last()]/text()"}
-    return functools.reduce(DataFrame.unionByName, (T.xpath_values(rows, "x", p).select("event_id", F.lit(n).alias("asked"), "match_index", "value") for n, p in paths.items()))
+    return T.xpath_values_of(rows, "x", paths).select("event_id", "asked", "match_index", "value")
 
 
 _OPENS = "CASE WHEN {i} = 1 OR regexp_matches(n[{i} - 1], '[^a-z0-9]') THEN 3 ELSE 0 END"

@@ -33,9 +33,9 @@ from ._memory import tidy
 from ._shared import aside
 from ._words import chunks, texts_of
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 #: Pieces a task remembers, and their bytes; beyond either it starts afresh.
-REMEMBER, REMEMBER_BYTES = 400_000, 16 << 20
+REMEMBER, REMEMBER_BYTES = 100_000, 4 << 20
 NO_RANK = np.int64(1 << 40)
 
 # The code points of white space and the contractions that the public pattern names.

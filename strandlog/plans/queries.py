@@ -423,11 +423,20 @@ def d13_url_parts(spark, sf_dir):
     return out.select("page_id", "u.scheme", "u.host", "u.path", "u.query", "u.fragment")
 
 
-@query("SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9]+', 'x', 'g')) AS form FROM documents")
+_PLAIN = P.PLAIN.replace("'", "''")
+_HASH = "sha256('salt' || found[i])"
+_STAND_IN = f"({list(P.STAND_INS)})[strpos('0123456789abcdef', {_HASH}[1])] || '-' || ({list(P.STAND_INS)})[strpos('0123456789abcdef', {_HASH}[2])] || '-' || substr({_HASH}, 3)"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(range(1, len(between_) + 1), lambda i: between_[i] || CASE WHEN i <= len(found) THEN {_STAND_IN} ELSE '' END), '') END AS text, form "
+    f"FROM (SELECT doc_id, text, string_split_regex(text, '{_PLAIN}') AS between_, regexp_extract_all(text, '{_PLAIN}') AS found, sha256(regexp_replace(text, '[A-Za-z0-9]+', 'x', 'g')) AS form FROM documents)"
+)
 def d10_anonymize(spark, sf_dir):
-    """Personal tokens and words replaced, the texts' form as it was."""
-    out = P.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "salt", words=True)
-    return out.select("doc_id", F.sha2(F.regexp_replace("text", "[A-Za-z0-9]+", "x"), 256).alias("form"))
+    """The whole texts with personal tokens replaced by their hashes; and with tokens and words permuted, the texts' form as it was."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = P.anonymize(P.hashed(docs, "text", "hashed", "salt"), "text", "salt", words=True)
+    return out.select("doc_id", F.col("hashed").alias("text"), F.sha2(F.regexp_replace("text", "[A-Za-z0-9]+", "x"), 256).alias("form"))
 
 
 _TOKENS = {"email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "ipv4": r"\b(?:\d{1,2}|1\d\d)(?:\.(?:\d{1,2}|1\d\d)){3}\b", "phone": r"\+\d[\d ()-]{7,}\d", "word": r"[A-Za-z]{5,}"}

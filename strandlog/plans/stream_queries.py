@@ -55,9 +55,10 @@ def shuffled(spark: SparkSession, rows: DataFrame, parts: int = 4) -> DataFrame:
     n = rows.count() or 1
     moved = F.col("event_id") + F.pmod(F.xxhash64("event_id"), F.lit(max(1, n // 20)))
     part = F.least(F.floor(moved * parts / n), F.lit(parts - 1))
+    files = 1 + n // 200_000  # each has thousands of rows, so that none is missing
     for i in range(parts):  # one after another, so that the files' times order them
-        rows.where(part == i).repartition(1).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(f"{target}/{i}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
+        rows.where(part == i).repartition(files, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(f"{target}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{target}/*")
 
 
 def _batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:

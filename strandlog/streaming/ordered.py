@@ -4,7 +4,8 @@ A stateful function gets a key's rows of a batch in whatever order they come, in
 is a table instead: it is put together with what earlier batches left open, the operators for tables (carry() and its
 blocks) do the work however many rows a file has, and what stays open is written for the next batch. Tables of state and
 results are written under the batch's number, so a batch that is run again after a failure overwrites its own results
-and nothing is counted twice.
+and nothing is counted twice. What is known of a file (its last line and time, its format) is a row a file and is broadcast:
+a join by path would bring all of a file's lines into one task.
 
 `hold`: lines may come out of order across batches. A file's lines are kept back until the file has shown a time so much
 later, and are then worked off in line order; a line that comes after later ones of its file were given out is marked
@@ -80,8 +81,8 @@ def _released(rows: DataFrame, path: str, line: str, time: str, hold: str | None
     if hold is None or end:
         return rows, rows.limit(0)
     newest = rows.groupBy(path).agg(F.max(time).alias("_newest"))
-    old = rows.join(newest, path).where(F.col(time) <= F.col("_newest") - F.expr(f"INTERVAL {hold}"))
-    marked = rows.join(old.groupBy(path).agg(F.max(line).alias("_until")), path, "left")
+    old = rows.join(F.broadcast(newest), path).where(F.col(time) <= F.col("_newest") - F.expr(f"INTERVAL {hold}"))
+    marked = rows.join(F.broadcast(old.groupBy(path).agg(F.max(line).alias("_until"))), path, "left")
     ready = F.coalesce(F.col(line) <= F.col("_until"), F.lit(False))
     return marked.where(ready).drop("_until"), marked.where(~ready).drop("_until")
 
@@ -98,13 +99,13 @@ def repaired(stream: DataFrame, base: str, hold: str | None = None, time: str =
     out = T.StructType([*fields, T.StructField("log_actual_time", fields[time].dataType), T.StructField("time_skewed", T.BooleanType()), T.StructField("late_line", T.BooleanType())])
 
     def step(batch: DataFrame, state: Tables, end: bool) -> tuple[DataFrame, Tables]:
-        rows = state["held"].unionByName(batch.select(own)).join(state["heads"], path, "left")
+        rows = state["held"].unionByName(batch.select(own)).join(F.broadcast(state["heads"]), path, "left")
         is_late = F.coalesce(F.col(line) <= F.col("_line"), F.lit(False))
         late, rest = rows.where(is_late), rows.where(~is_late)
         ready, held = _released(rest, path, line, time, hold, end)
+        new = ready.groupBy(path).agg(F.max(line).cast("long").alias("_line"), F.greatest(F.max(time), F.max("_top")).alias("_top"))
         ready = carry(ready, [path], line, _run=("max", F.col(time))).withColumn("_run", F.greatest("_run", "_top"))
         done = ready.withColumn("late_line", F.lit(False)).unionByName(late.withColumn("_run", F.greatest(time, "_top")).withColumn("late_line", F.lit(True)))
-        new = ready.groupBy(path).agg(F.max(line).cast("long").alias("_line"), F.max("_run").alias("_top"))
         tops = state["heads"].unionByName(new).groupBy(path).agg(F.max("_line").alias("_line"), F.max("_top").alias("_top"))
         skewed = F.coalesce(F.col("_run") > F.col(time), F.lit(False))
         done = done.withColumn("log_actual_time", F.col(time)).withColumn("time_skewed", skewed).withColumn(time, F.coalesce("_run", time))
@@ -127,13 +128,13 @@ def assembled(stream: DataFrame, base: str, is_start: Column, path: str = "log_p
 
     def step(batch: DataFrame, state: Tables, end: bool) -> tuple[DataFrame, Tables]:
         opened = state["held"].groupBy(path).agg(F.min(line).alias("_open"))
-        new = batch.select(path, line, value).join(opened, path, "left")
+        new = batch.select(path, line, value).join(F.broadcast(opened), path, "left")
         is_late = F.coalesce(F.col(line) < F.col("_open"), F.lit(False))
         rows = state["held"].unionByName(new.where(~is_late).drop("_open"))
         starts = F.coalesce(is_start, F.lit(False))
         numbered = carry(rows.withColumn("_start", starts), [path], line, _message=("sum", F.col("_start").cast("bigint")))
         last = numbered.groupBy(path).agg(F.max("_message").alias("_last"))
-        marked = numbered.join(last, path)
+        marked = numbered.join(F.broadcast(last), path)
         stays = (F.col("_message") == F.col("_last")) & (F.col("_last") > 0) & F.lit(not end)
         done = assemble(marked.where(~stays).select(path, line, value), starts, path, line, value).withColumn("late_line", F.lit(False))
         late = new.where(is_late).select(path, line, value, F.lit(1).cast("long").alias("n_lines"), F.lit(True).alias("late_line"))
@@ -172,13 +173,13 @@ def recognized(stream: DataFrame, base: str, catalogue: Mapping[str, object] | N
 
     def step(batch: DataFrame, state: Tables, end: bool) -> tuple[DataFrame, Tables]:
         new = batch.select(*(F.col(f.name).cast(f.dataType) for f in LINE))
-        free = state["held"].unionByName(new.join(state["locks"], "log_path", "left_anti"))
+        free = state["held"].unionByName(new.join(F.broadcast(state["locks"]), "log_path", "left_anti"))
         seen = free.where(F.col("file_line") < sample).groupBy("log_path").agg(F.count_distinct("file_line").alias("n"))
         ripe = free.select("log_path").distinct() if end else seen.where(F.col("n") >= sample).select("log_path")
-        ready = free.join(ripe, "log_path", "left_semi")
+        ready = free.join(F.broadcast(ripe), "log_path", "left_semi")
         fixed = kept(state["locks"].unionByName(formats.detect(ready, known, sample=sample).select("log_path", "log_format")))
-        due = ready.unionByName(new.join(state["locks"], "log_path", "left_semi")).join(fixed, "log_path")
+        due = ready.unionByName(new.join(F.broadcast(state["locks"]), "log_path", "left_semi")).join(F.broadcast(fixed), "log_path")
         names = [x.log_format for x in fixed.select("log_format").distinct().collect() if x.log_format]  # as many as the catalogue has
-        return parsed_as(due, sorted(names), known, year), {"held": free.join(ripe, "log_path", "left_anti"), "locks": fixed}
+        return parsed_as(due, sorted(names), known, year), {"held": free.join(F.broadcast(ripe), "log_path", "left_anti"), "locks": fixed}
 
     return Batches(stream.sparkSession, base, step, {"held": LINE, "locks": locks}, MESSAGE)

@@ -33,7 +33,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 SPLIT_BYTES = 64 << 20
-READ_BYTES = 8 << 20
+READ_BYTES = 1 << 20
 FIRST_BYTES = 4096
 PACKED = {".gz": "gzip", ".bz2": "bz2", ".zst": "zstd", ".lz4": "lz4"}
 
@@ -117,7 +117,7 @@ def _lines(path: str, read, at: int, end: int, skip: bool) -> Iterator[pa.Record
     """The lines that begin in [at, end). read(n): the next bytes from `at` on, none at the end; skip: `at` is within a line."""
     rest = b""
     while at < end:
-        data = read(READ_BYTES)
+        data = read(min(READ_BYTES, max(end - at - len(rest), len(rest), 4096)))  # no more than the piece and its last line
         pieces = (rest + data).split(b"\n")
         rest = pieces.pop() if data else b""
         if not data and pieces[-1] == b"":

@@ -18,7 +18,7 @@ from strandlog.operators import messages as M
 from strandlog.operators import scanner
 from strandlog.operators import tables as T
 from strandlog.operators.carry import numbered
-from strandlog.operators.shared import folder, kept
+from strandlog.operators.shared import folder, kept, spread
 from strandlog.plans.queries import ACCESS, EVENTS, FMT, LEVEL, access_log, events, stamp, table
 from strandlog.plans.registry import query
 from strandlog.sources import formats, growing, json_formats, printed_formats, sqlite, structured, times
@@ -102,7 +102,7 @@ def _json_lines() -> dict[str, Column]:
     "(VALUES ('bunyan_log'), ('pino_log'), ('ecs_log'), ('journald_json_log'), ('caddy_log'), ('mongodb_json_log'), ('rust_tracing_log'), ('nextcloud_log')) AS f(log_format)"
 )
 def i6_json_formats(spark, sf_dir):
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     out = None
     for name, line in _json_lines().items():
         part = json_formats.parse_json_format(e.select("event_id", line.alias("value")), json_formats.JSON_FORMATS[name])

@@ -71,11 +71,8 @@ JSON_FORMATS: dict[str, JsonFormat] = {
 
 def matches(line: Column, fmt: JsonFormat) -> Column:
     """Whether the line is an object with all members that tell the format."""
-    keys = F.json_object_keys(line)
-    out = keys.isNotNull()
-    for name in fmt.needs:
-        out = out & F.array_contains(keys, name)
-    return F.coalesce(out, F.lit(False))
+    missing = F.array_except(F.array(*map(F.lit, fmt.needs)).cast("array<string>"), F.json_object_keys(line))  # the keys are named once: a filter works out each mention
+    return F.coalesce(F.size(missing) == 0, F.lit(False))
 
 
 def parse_json_format(df: DataFrame, fmt: JsonFormat, line: str = "value") -> DataFrame:
@@ -83,7 +80,9 @@ def parse_json_format(df: DataFrame, fmt: JsonFormat, line: str = "value") -> Da
 
     extras: the other top-level members as JSON texts. Lines that are no objects with the format's members go.
     """
-    rows = df.where(matches(F.col(line), fmt)).withColumn("_j", F.from_json(line, fmt.schema())).withColumn("_all", F.from_json(line, "map<string,variant>"))
+    # exploded, so that a line that is made by an expression is made once: a filter would be moved before that step
+    rows = df.withColumn("_line", F.explode_outer(F.array(line))).where(matches(F.col("_line"), fmt))
+    rows = rows.withColumn("_j", F.from_json("_line", fmt.schema())).withColumn("_all", F.from_json("_line", "map<string,variant>"))
 
     def at(pointer: str) -> Column:
         out = F.col("_j")
@@ -103,7 +102,7 @@ def parse_json_format(df: DataFrame, fmt: JsonFormat, line: str = "value") -> Da
     extras = F.transform_values(F.map_filter("_all", lambda k, v: ~F.array_contains(known, k)), lambda k, v: F.to_json(v))
     out = {"log_time": stamp, "log_level": level_of(F.coalesce(at(fmt.level), F.lit("")), fmt.levels), **columns, "log_opid": opid, "log_body": at(fmt.body), "duration": seconds, "log_format": F.lit(fmt.name), "extras": extras}
     rows = rows.select("*", *(x.alias(n) for n, x in out.items() if n not in df.columns))
-    return with_spans(rows, fmt.stamp_is).drop("_j", "_all")
+    return with_spans(rows, fmt.stamp_is).drop("_line", "_j", "_all")
 
 
 def with_spans(rows: DataFrame, stamp_is: str = "end", time: str = "log_time", duration: str = "duration") -> DataFrame:
